@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from repeatlens.scope import Scope, driver_scope
 from repeatlens.sources.driver_adapter import from_driver_tables
 from repeatlens.sources.tables import Marketplace
-from repeatlens.plans import kpis
+from repeatlens.plans import cohort, hypothesis, kpis, quality, rfm
 
 Job = Callable[[Marketplace, Scope], DataFrame]
 
@@ -23,6 +23,26 @@ JOBS: dict[str, Job] = {
     "regional_performance": kpis.regional_performance,
     "category_performance": kpis.category_performance,
     "top_products_per_category": kpis.top_products_per_category,
+    "dq_null_delivery": quality.null_delivery,
+    "dq_date_range": quality.date_range,
+    "dq_status_counts": quality.status_counts,
+    "dq_duplicate_orders": quality.duplicate_orders,
+    "dq_monthly_volume": quality.monthly_volume,
+    "dq_customer_key_grain": quality.customer_key_grain,
+    "dq_row_counts": quality.row_counts,
+    "rfm_base": rfm.rfm_base,
+    "rfm_describe": rfm.rfm_describe,
+    "one_time_vs_repeat": rfm.one_time_vs_repeat,
+    "first_orders": cohort.first_orders,
+    "customer_freq": cohort.customer_freq,
+    "hyp_delivery": hypothesis.delivery,
+    "hyp_category": hypothesis.category,
+    "hyp_payment": hypothesis.payment,
+    "hyp_geography": hypothesis.geography,
+    "order_top_category": cohort.order_top_category,
+    "rfm_scores": rfm.rfm_scores,
+    "rfm_segments": rfm.rfm_segments,
+    "rfm_segment_summary": rfm.rfm_segment_summary,
 }
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from repeatlens.scope import Scope, driver_scope
 from repeatlens.sources.driver_adapter import from_driver_tables
 from repeatlens.sources.tables import Marketplace
-from repeatlens.plans import cohort, hypothesis, kpis, quality, rfm
+from repeatlens.plans import (bi, cohort, features, hypothesis, kpis, modeling, quality, rfm,
+                              targeting)
 
 Job = Callable[[Marketplace, Scope], DataFrame]
 
@@ -43,6 +44,28 @@ JOBS: dict[str, Job] = {
     "rfm_scores": rfm.rfm_scores,
     "rfm_segments": rfm.rfm_segments,
     "rfm_segment_summary": rfm.rfm_segment_summary,
+    "customer_features": features.customer_features,
+    "features_imputed": features.features_imputed,
+    "target_balance": features.target_balance,
+    "features_one_hot": features.features_one_hot,
+    "class_weights": targeting.class_weights,
+    "stratified_folds": targeting.stratified_folds,
+    "stratified_split": targeting.stratified_split,
+    "roc_auc_rank": targeting.roc_auc_rank,
+    "confusion_matrix": targeting.confusion_matrix,
+    "classification_report": targeting.classification_report,
+    "top_decile_lift": targeting.top_decile_lift,
+    "revenue_concentration": bi.revenue_concentration,
+    "date_dim": bi.date_dim,
+    "fact_sales": bi.fact_sales,
+    "measure_by_dimension": bi.measure_by_dimension,
+    "row_count_reconciliation": bi.row_count_reconciliation,
+    # model jobs: rows-only checks (tree learners are not SQL)
+    "cv_model_comparison": modeling.cv_model_comparison,
+    "feature_importances": modeling.feature_importances,
+    "final_model_evaluation": modeling.final_model_evaluation,
+    "final_confusion_matrix": modeling.final_confusion_matrix,
+    "grid_search": modeling.grid_search,
 }
 
 

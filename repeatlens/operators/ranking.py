@@ -7,9 +7,12 @@ locally and adds per-partition offsets.  The offsets frame has one row per
 range partition, so the broadcast that carries it is bounded by the
 partition count, not by the data.
 
-The range exchange is deterministic (seeded sampling, total order), so a
-recomputed partition after an executor loss gets the same rows and the
-same numbers.
+The range-partitioned, sorted frame is checkpointed (reliable checkpoint
+in the session's ``spark.checkpoint.dir``) before it is read twice --
+once for per-partition totals, once for local numbering.  Range bounds
+come from sampling, so two independent evaluations of the exchange could
+cut the data differently; the checkpoint pins one cut, and survives the
+loss of executors.
 """
 
 from __future__ import annotations
@@ -39,10 +42,14 @@ def ranked_scan(df: DataFrame, order_by: Sequence[Column | str], out: str = "row
     """Add ``out`` = inclusive running total of ``weight`` (or of 1 per row,
     i.e. the 1-based global row number) over the total order ``order_by``.
     """
+    from repeatlens.session import ensure_checkpoint_dir
+
     cols = _cols(order_by)
     n = _partitions(df, num_partitions)
+    ensure_checkpoint_dir(df.sparkSession)
     parted = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn(_PID, F.spark_partition_id()))
+              .withColumn(_PID, F.spark_partition_id())
+              .checkpoint(eager=True))
     if weight is None:
         # monotonically_increasing_id = (partition << 33) + position, assigned
         # in the sorted iteration order -> local 1-based row number.

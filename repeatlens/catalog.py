@@ -65,7 +65,6 @@ JOBS: dict[str, Job] = {
     "feature_importances": modeling.feature_importances,
     "final_model_evaluation": modeling.final_model_evaluation,
     "final_confusion_matrix": modeling.final_confusion_matrix,
-    "grid_search": modeling.grid_search,
 }
 
 

@@ -37,7 +37,7 @@ def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42,
     ``_n_label``: the class size."""
     h = df.withColumn("_h", order_key_hash(key, seed, integral=integral_key))
     numbered = ranked_scan(h, [label, "_h", key], out="_rn")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_label"))
+    sizes = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("_n_label"))
     starts = sizes.select(label, "_n_label", F.coalesce(F.sum("_n_label").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return (numbered.join(F.broadcast(starts), label)  # one row per class

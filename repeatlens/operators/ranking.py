@@ -41,6 +41,9 @@ def ranked_scan(df: DataFrame, order_by: Sequence[Column | str], out: str = "row
                 weight: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = inclusive running total of ``weight`` (or of 1 per row,
     i.e. the 1-based global row number) over the total order ``order_by``.
+
+    The result reads from a checkpoint, so any further aggregate over it
+    (class sizes, n) is cheap and consistent with the numbering.
     """
     from repeatlens.session import ensure_checkpoint_dir
 
@@ -133,6 +136,37 @@ def qcut_values(value: Column | str, edges: Sequence[Column], labels: Sequence[i
     return F.when(dup, F.raise_error(F.lit("qcut: bin edges must be unique"))).otherwise(expr.cast("int"))
 
 
+def bounded_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles for a column with a bounded
+    domain (day counts, review scores, order counts).
+
+    Rows collapse to a (value, count) histogram with a partial aggregate;
+    the running count then runs over the *distinct values* only -- bounded
+    by the domain, not by the data -- and one conditional aggregate picks
+    the order statistics around each position p*(n-1).  Returns
+    (p, quantile) rows.
+    """
+    v = F.col(value)
+    hist = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cum = hist.select(
+        "_v",
+        F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
+        F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    aggs = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
+        aggs += [F.min(F.when(F.col("_cum") >= F.floor(h) + 1, F.col("_v"))).alias(f"lo{i}"),
+                 F.min(F.when(F.col("_cum") >= F.ceil(h) + 1, F.col("_v"))).alias(f"hi{i}"),
+                 F.max(h).alias(f"h{i}")]
+    row = cum.agg(*aggs)
+    items = []
+    for i, p in enumerate(probs):
+        lo, hi, h = (F.col(f"lo{i}").cast("double"), F.col(f"hi{i}").cast("double"), F.col(f"h{i}"))
+        items.append(F.struct(F.lit(float(p)).alias("p"),
+                              (lo + (hi - lo) * (h - F.floor(h))).alias("quantile")))
+    return row.select(F.explode(F.array(*items)).alias("q")).select("q.p", "q.quantile")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], tie: Sequence[str] = (),
                     num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy/pandas default) of any column.
@@ -143,7 +177,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], tie: Sequ
     """
     base = df.select(F.col(value).alias("_v"), *tie).filter(F.col("_v").isNotNull())
     numbered = ranked_scan(base, ["_v", *tie], out="_rn", num_partitions=num_partitions)
-    n = base.agg(F.count(F.lit(1)).alias("_n"))
+    n = numbered.agg(F.count(F.lit(1)).alias("_n"))
     pos = (n.select(F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "_n")
            .withColumn("_h", F.col("p") * (F.col("_n") - 1).cast("double"))
            .withColumn("_lo", F.floor("_h") + 1).withColumn("_hi", F.ceil("_h") + 1))

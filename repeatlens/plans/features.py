@@ -71,11 +71,11 @@ def customer_features(mp: Marketplace, scope: Scope) -> DataFrame:
 def features_imputed(mp: Marketplace, scope: Scope) -> DataFrame:
     """FEA-3: no_review flag, median-filled review score, rows without
     delivery timing dropped (median taken before the drop, as upstream)."""
-    from repeatlens.operators.ranking import exact_quantiles
+    from repeatlens.operators.ranking import bounded_quantiles
 
     f = customer_features(mp, scope)
-    med = exact_quantiles(f, "review_score", [0.5], tie=["customer_unique_id"]).select(
-        F.col("quantile").alias("_med"))
+    # mean review scores of one order: a bounded set of values
+    med = bounded_quantiles(f, "review_score", [0.5]).select(F.col("quantile").alias("_med"))
     out = (f.withColumn("_k", F.lit(1))
            .join(F.broadcast(med.withColumn("_k", F.lit(1))), "_k")  # one row
            .drop("_k"))
@@ -110,21 +110,16 @@ def one_hot_long(df: DataFrame, key: str, columns: list[str] = CATEGORICAL) -> D
 
     Dummies follow ``get_dummies(drop_first=True)``: the alphabetically
     first level of each column is the dropped baseline and NULL encodes as
-    all zeros.  The per-column minimum level is a one-row aggregate.
+    all zeros.  The per-column first levels are one single-row aggregate;
+    the dummies of all columns come out of one ``explode`` pass.
     """
-    parts = []
-    for c in columns:
-        first = df.agg(F.min(c).alias("_first"))
-        sel = (df.select(key, c).filter(F.col(c).isNotNull())
-               .withColumn("_k", F.lit(1))
-               .join(F.broadcast(first.withColumn("_k", F.lit(1))), "_k")
-               .filter(F.col(c) != F.col("_first"))
-               .select(key, F.concat(F.lit(c + "_"), F.col(c)).alias("feature")))
-        parts.append(sel)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    firsts = df.agg(*[F.min(c).alias(f"_first_{c}") for c in columns])
+    j = (df.select(key, *columns).withColumn("_k", F.lit(1))
+         .join(F.broadcast(firsts.withColumn("_k", F.lit(1))), "_k"))  # one row
+    dummies = F.array(*[F.when(F.col(c) != F.col(f"_first_{c}"), F.concat(F.lit(c + "_"), F.col(c)))
+                        for c in columns])
+    return (j.select(key, F.explode(dummies).alias("feature"))
+            .filter(F.col("feature").isNotNull()))
 
 
 def features_one_hot(mp: Marketplace, scope: Scope) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import (pct, round_half, safe_ratio, segment_of,
                                           seconds_between, to_double, ts_lit)
-from repeatlens.operators.ranking import (exact_quantiles, global_row_number, qcut_ranks,
+from repeatlens.operators.ranking import (bounded_quantiles, exact_quantiles, global_row_number, qcut_ranks,
                                           qcut_values, quantile_edges)
 from repeatlens.plans.base import scoped_orders, with_person
 from repeatlens.plans.kpis import customer_orders
@@ -60,7 +60,10 @@ def _describe_one(df: DataFrame, metric: str, tie: str) -> DataFrame:
         F.lit(metric).alias("metric"), F.col("n").cast("bigint").alias("count"),
         safe_ratio("sx", "n").alias("mean"),
         F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), "min", "max")
-    q = exact_quantiles(df, metric, DESCRIBE_PROBS, tie=[tie])
+    if metric == "monetary":  # near-unique values: range-partitioned order statistics
+        q = exact_quantiles(df, metric, DESCRIBE_PROBS, tie=[tie])
+    else:  # day counts and order counts: bounded domains
+        q = bounded_quantiles(df, metric, DESCRIBE_PROBS)
     qs = q.groupBy().pivot("p", list(DESCRIBE_PROBS)).agg(F.first("quantile"))
     names = {str(p): f"p{int(p * 100)}" for p in DESCRIBE_PROBS}
     qs = qs.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])

@@ -151,3 +151,15 @@ def test_confusion_and_report(spark):
     assert rep[1]["precision"] == pytest.approx(2 / 3)
     assert rep[1]["recall"] == pytest.approx(2 / 3)
     assert rep[0]["support"] == 3
+
+
+def test_bounded_quantiles_match_numpy(spark):
+    from repeatlens.operators.ranking import bounded_quantiles
+
+    rnd = random.Random(5)
+    vals = [rnd.randint(0, 30) / 2.0 for _ in range(257)]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "v double")
+    probs = [0.0, 0.2, 0.25, 0.5, 0.8, 1.0]
+    got = {r["p"]: r["quantile"] for r in bounded_quantiles(df, "v", probs).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)

@@ -34,7 +34,7 @@ def person_orders(mp: Marketplace, scope: Scope) -> DataFrame:
     first = F.min(F.struct(*[F.col(c) for c in ["order_purchase_timestamp", "order_id"]
                              + [c for c in FIRST_COLS if c not in ("order_purchase_timestamp", "order_id")]]))
     agg = o.groupBy("customer_unique_id").agg(
-        F.count_distinct("order_id").alias("frequency"), first.alias("f"))
+        F.count(F.lit(1)).alias("frequency"), first.alias("f"))
     return agg.select(
         "customer_unique_id", F.col("frequency").cast("bigint").alias("frequency"),
         *[F.col(f"f.{c}").alias(c) for c in FIRST_COLS],

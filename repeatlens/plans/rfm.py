@@ -32,7 +32,7 @@ def rfm_base(mp: Marketplace, scope: Scope) -> DataFrame:
 def one_time_vs_repeat(mp: Marketplace, scope: Scope) -> DataFrame:
     """QA-8: one-time vs repeat persons over the scope (orders, no item join)."""
     o = with_person(scoped_orders(mp, scope, cols=["order_id", "customer_id"]), mp)
-    per = o.groupBy("customer_unique_id").agg(F.count_distinct("order_id").alias("frequency"))
+    per = o.groupBy("customer_unique_id").agg(F.count(F.lit(1)).alias("frequency"))
     g = per.agg(F.count_if(F.col("frequency") == 1).alias("one_time_customers"),
                 F.count_if(F.col("frequency") > 1).alias("repeat_customers"),
                 F.count(F.lit(1)).alias("customers"))

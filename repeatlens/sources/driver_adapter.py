@@ -38,7 +38,11 @@ def from_driver_tables(spark: SparkSession, sf_dir: str) -> Marketplace:
     t = {n: read_driver_table(spark, sf_dir, n) for n in ("nation", "customer", "part", "orders", "lineitem")}
     orders_raw, line = t["orders"], t["lineitem"]
 
-    status = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in STATUS_MAP.items()])
+    # nested CASE: `order_status = 'delivered'` then folds branch by branch
+    # into `o_orderstatus = 'F'`, which reaches the Parquet scan
+    status = F.lit(None).cast("string")
+    for k, v in reversed(list(STATUS_MAP.items())):
+        status = F.when(F.col("o_orderstatus") == k, F.lit(v)).otherwise(status)
     shipped = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.max("l_shipdate").alias("order_delivered_customer_date"))
     orders = (

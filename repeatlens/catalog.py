@@ -47,6 +47,7 @@ JOBS: dict[str, Job] = {
     "customer_features": features.customer_features,
     "features_imputed": features.features_imputed,
     "target_balance": features.target_balance,
+    "features_null_report": features.features_null_report,
     "features_one_hot": features.features_one_hot,
     "class_weights": targeting.class_weights,
     "stratified_folds": targeting.stratified_folds,

@@ -80,13 +80,15 @@ def first_item_product(mp: Marketplace, scope: Scope) -> DataFrame:
                     F.col("k.product_id").alias("product_id")))
 
 
-def order_top_category(mp: Marketplace, scope: Scope) -> DataFrame:
+def order_top_category(mp: Marketplace, scope: Scope, first: DataFrame | None = None) -> DataFrame:
     """FEA-1: category of the highest-priced translated item of each first order.
 
     Ties on price go to the lowest (order_item_id, product_id, seller_id,
     quantity).  Persons whose first order has no translated item drop out.
+    Pass ``first`` (a cohort frame) to share its plan with the caller, so
+    Spark reuses one exchange instead of aggregating the orders twice.
     """
-    fo = first_orders(mp, scope).select("customer_unique_id", "order_id")
+    fo = (first if first is not None else first_orders(mp, scope)).select("customer_unique_id", "order_id")
     items = mp.order_items
     qty = [F.col("quantity")] if "quantity" in items.columns else []
     it = (fo.join(items.select("order_id", "order_item_id", "product_id", "seller_id", "price", *qty),

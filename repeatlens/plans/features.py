@@ -48,8 +48,9 @@ def review_summary(mp: Marketplace) -> DataFrame:
 
 def customer_features(mp: Marketplace, scope: Scope) -> DataFrame:
     """FEA-2: the 12-column feature table, one row per eligible customer."""
-    c = cohort(mp, scope).join(order_top_category(mp, scope).select("customer_unique_id", "category"),
-                               "customer_unique_id")
+    co = cohort(mp, scope)
+    top = order_top_category(mp, scope, first=co).select("customer_unique_id", "category")
+    c = co.join(top, "customer_unique_id")
     c = (c.join(payment_summary(mp), "order_id", "left")
          .join(review_summary(mp), "order_id", "left"))
     return c.select(
@@ -93,6 +94,11 @@ def null_report(df: DataFrame) -> DataFrame:
     return row.select(total.cast("bigint").alias("total_nulls"), *df.columns)
 
 
+def features_null_report(mp: Marketplace, scope: Scope) -> DataFrame:
+    """AGG-21: NULL cells left in the imputed feature table (total and per column)."""
+    return null_report(features_imputed(mp, scope))
+
+
 def target_balance(mp: Marketplace, scope: Scope) -> DataFrame:
     """FEA-4: class counts and shares of the repeat target."""
     from pyspark.sql import Window

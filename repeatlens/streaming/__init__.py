@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analyses this package rebuilds are batch jobs over closed time
+windows (no watermark, event-time window, stateful operator or streaming
+source appears in any of them), so no Structured Streaming operator is
+provided.  The batch jobs are pure functions of DataFrames; a caller that
+lands new orders incrementally can run them per micro-batch with
+``foreachBatch`` on whatever it reads.
+"""

@@ -14,6 +14,7 @@ from repeatlens.operators.ranking import (bounded_quantiles, exact_quantiles, gl
 from repeatlens.plans.base import scoped_orders, with_person
 from repeatlens.plans.kpis import customer_orders
 from repeatlens.scope import Scope
+from repeatlens.session import materialize
 from repeatlens.sources.tables import Marketplace
 
 
@@ -72,7 +73,7 @@ def _describe_one(df: DataFrame, metric: str, tie: str) -> DataFrame:
 
 def rfm_describe(mp: Marketplace, scope: Scope) -> DataFrame:
     """QA-7: pandas-style describe() of recency, frequency and monetary."""
-    base = rfm_base(mp, scope)
+    base = materialize(rfm_base(mp, scope))  # read by six aggregates
     parts = [_describe_one(base, mtr, "customer_unique_id")
              for mtr in ("recency_days", "frequency", "monetary")]
     out = reduce(DataFrame.unionByName, parts)
@@ -88,7 +89,7 @@ def rfm_scores(mp: Marketplace, scope: Scope) -> DataFrame:
     day counts); the monetary rank comes from the range-partitioned
     ``global_row_number``, never a single-partition window.
     """
-    base = rfm_base(mp, scope)
+    base = materialize(rfm_base(mp, scope))  # edges, n and the rank all read it
     edges = quantile_edges(base, "recency_days", 5)
     n = base.agg(F.count(F.lit(1)).alias("_n"))
     ranked = global_row_number(base, ["monetary", "customer_unique_id"], out="_m_rank")

@@ -50,3 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="repeatlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Write ``df`` once to the session's checkpoint folder and read it back.
+
+    Used for per-person intermediates that a job reads several times (the
+    RFM base, the feature table): without it every consumer re-runs the
+    whole orders x items x customers chain.  A reliable checkpoint also
+    cuts the lineage, so a lost executor does not replay that chain.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -111,5 +111,16 @@ def order_key_hash(key: Column | str, seed: int = 42, integral: bool = True) ->
     return F.pmod(base * F.lit(_LEHMER_MUL) + F.lit(seed), F.lit(_LEHMER_MOD))
 
 
+def with_scalars(df, one_row) -> "DataFrame":
+    """Append the columns of a single-row frame to every row of ``df``.
+
+    Expressed as one scalar subquery (``DataFrame.scalar()``) returning a
+    struct: no join, no broadcast of anything data-sized; Spark evaluates
+    the subquery once and reuses it.
+    """
+    s = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.select("*", *[s.getField(c).alias(c) for c in one_row.columns])
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x

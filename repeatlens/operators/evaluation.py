@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatlens.functions.columns import order_key_hash
+from repeatlens.functions.columns import order_key_hash, with_scalars
 from repeatlens.operators.ranking import exact_quantiles, ranked_scan
 
 
@@ -103,15 +103,15 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Precision, recall, F1 and support per class (from the confusion cells)."""
-    cm = confusion_matrix(df, label, prediction)
-    parts = []
+    y, p = F.col(label), F.col(prediction)
+    aggs = []
     for cls in (0, 1):
-        tp = F.sum(F.when((F.col("label") == cls) & (F.col("prediction") == cls), F.col("n")).otherwise(0))
-        pp = F.sum(F.when(F.col("prediction") == cls, F.col("n")).otherwise(0))
-        sp = F.sum(F.when(F.col("label") == cls, F.col("n")).otherwise(0))
-        parts.append(cm.agg(tp.alias("tp"), pp.alias("pp"), sp.alias("support"))
-                     .select(F.lit(cls).alias("class"), "tp", "pp", "support"))
-    r = parts[0].unionByName(parts[1])
+        aggs += [F.count_if((y == cls) & (p == cls)).alias(f"tp{cls}"),
+                 F.count_if(p == cls).alias(f"pp{cls}"), F.count_if(y == cls).alias(f"sp{cls}")]
+    row = df.agg(*aggs)  # one pass over the scored rows
+    r = row.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("class"), F.col(f"tp{c}").alias("tp"), F.col(f"pp{c}").alias("pp"),
+                 F.col(f"sp{c}").alias("support")) for c in (0, 1)])).alias("r")).select("r.*")
     prec = F.try_divide(F.col("tp").cast("double"), F.col("pp").cast("double"))
     rec = F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double"))
     return r.select(
@@ -129,7 +129,7 @@ def top_fraction_lift(df: DataFrame, label: str, score: str, quantile: float = 0
     baseline rate, flagged rate and lift."""
     q = exact_quantiles(df, score, [quantile], tie=[tie] if tie else []).select(
         F.col("quantile").alias("cutoff"))
-    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(q.withColumn("_k", F.lit(1))), "_k")
+    j = with_scalars(df, q)
     flag = F.col(score).cast("double") >= F.col("cutoff")
     g = j.agg(F.first("cutoff").alias("cutoff"),
               F.count_if(flag).alias("flagged"),

@@ -8,13 +8,12 @@ dimension the way a separate filter on a dimension table can.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import (month_label, pct, round_half, to_double,
-                                          total_revenue, weekday_sun0, year_month_sort)
+                                          total_revenue, weekday_sun0, with_scalars,
+                                          year_month_sort)
 from repeatlens.plans.base import scoped_orders, with_person
 from repeatlens.plans.kpis import exec_kpis, regional_performance
 from repeatlens.scope import Scope
@@ -33,7 +32,7 @@ def revenue_concentration(mp: Marketplace, scope: Scope) -> DataFrame:
     Windows run over the per-state aggregate (one row per state)."""
     st = regional_performance(mp, scope)
     tot = exec_kpis(mp, scope).select("total_customers")
-    j = st.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k")
+    j = with_scalars(st, tot)
     allw = Window.partitionBy()
     order = Window.orderBy(F.desc("revenue"), "customer_state")
     cum = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,19 +92,20 @@ def measure_by_dimension(mp: Marketplace, scope: Scope) -> DataFrame:
 
     Every breakdown is a grouping of the same scoped fact, so each sums to
     the grand total (categories without a translation show as 'unknown')."""
-    f = fact_sales(mp, scope)
-    dims = {
-        "state": F.col("customer_state"),
-        "category": F.coalesce(F.col("category"), F.lit("unknown")),
-        "month": F.col("year_month_sort").cast("string"),
-    }
-    parts = [f.groupBy(expr.alias("member")).agg(total_revenue("price").alias("rev"))
-             .select(F.lit(name).alias("dimension"), "member", "rev")
-             for name, expr in dims.items()]
-    parts.append(f.agg(total_revenue("price").alias("rev"))
-                 .select(F.lit("total").alias("dimension"), F.lit("all").alias("member"), "rev"))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select("dimension", "member", to_double("rev").alias("total_revenue"))
+    f = fact_sales(mp, scope).select(
+        F.col("customer_state").alias("state"),
+        F.coalesce(F.col("category"), F.lit("unknown")).alias("category"),
+        F.col("year_month_sort").cast("string").alias("month"),
+        "price")
+    # one pass: GROUPING SETS over the fact (partial aggregation per set),
+    # instead of re-running the fact's joins once per dimension
+    g = f.groupingSets([["state"], ["category"], ["month"], []], "state", "category", "month") \
+        .agg(total_revenue("price").alias("rev"), F.grouping_id().alias("gid"))
+    dim = (F.when(F.col("gid") == 3, F.lit("state")).when(F.col("gid") == 5, F.lit("category"))
+           .when(F.col("gid") == 6, F.lit("month")).otherwise(F.lit("total")))
+    member = (F.when(F.col("gid") == 3, F.col("state")).when(F.col("gid") == 5, F.col("category"))
+              .when(F.col("gid") == 6, F.col("month")).otherwise(F.lit("all")))
+    return g.select(dim.alias("dimension"), member.alias("member"), to_double("rev").alias("total_revenue"))
 
 
 def row_count_reconciliation(mp: Marketplace, scope: Scope) -> DataFrame:
@@ -113,7 +113,7 @@ def row_count_reconciliation(mp: Marketplace, scope: Scope) -> DataFrame:
     f = fact_sales(mp, scope).agg(F.count_distinct("order_id").alias("fact_orders"),
                                   F.sum(F.col("price").cast("decimal(18,2)")).alias("fact_revenue"))
     k = exec_kpis(mp, scope).select("total_orders", "total_revenue")
-    j = f.withColumn("_k", F.lit(1)).join(k.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    j = with_scalars(f, k)
     return j.select(F.col("fact_orders").cast("bigint"), F.col("total_orders").alias("sql_orders"),
                     to_double("fact_revenue").alias("fact_revenue"),
                     F.col("total_revenue").alias("sql_revenue"),

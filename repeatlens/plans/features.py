@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatlens.functions.columns import days_between, round_half, weekday_sun0
+from repeatlens.functions.columns import days_between, round_half, weekday_sun0, with_scalars
 from repeatlens.plans.cohort import cohort, order_top_category
 from repeatlens.scope import Scope
 from repeatlens.session import materialize
@@ -78,9 +78,7 @@ def features_imputed(mp: Marketplace, scope: Scope) -> DataFrame:
     f = materialize(customer_features(mp, scope))  # read by the median and the fill
     # mean review scores of one order: a bounded set of values
     med = bounded_quantiles(f, "review_score", [0.5]).select(F.col("quantile").alias("_med"))
-    out = (f.withColumn("_k", F.lit(1))
-           .join(F.broadcast(med.withColumn("_k", F.lit(1))), "_k")  # one row
-           .drop("_k"))
+    out = with_scalars(f, med)
     return (out.withColumn("no_review", F.col("review_score").isNull().cast("int"))
             .withColumn("review_score", F.coalesce("review_score", "_med"))
             .drop("_med")
@@ -121,8 +119,7 @@ def one_hot_long(df: DataFrame, key: str, columns: list[str] = CATEGORICAL) -> D
     the dummies of all columns come out of one ``explode`` pass.
     """
     firsts = df.agg(*[F.min(c).alias(f"_first_{c}") for c in columns])
-    j = (df.select(key, *columns).withColumn("_k", F.lit(1))
-         .join(F.broadcast(firsts.withColumn("_k", F.lit(1))), "_k"))  # one row
+    j = with_scalars(df.select(key, *columns), firsts)
     dummies = F.array(*[F.when(F.col(c) != F.col(f"_first_{c}"), F.concat(F.lit(c + "_"), F.col(c)))
                         for c in columns])
     return (j.select(key, F.explode(dummies).alias("feature"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import (customer_type, pct, round_half, safe_ratio,
                                           seconds_between)
-from repeatlens.plans.base import product_categories, scoped_orders
+from repeatlens.plans.base import product_categories
 from repeatlens.plans.cohort import cohort, first_item_product, person_orders
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace

@@ -21,6 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repeatlens.functions.columns import with_scalars
 from repeatlens.operators.evaluation import (classification_report, confusion_matrix,
                                              prob_positive, roc_auc, stratified_folds,
                                              stratified_split, top_fraction_lift,
@@ -59,8 +60,7 @@ def model_frame(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -
     after dropping that level they encode as all zeros (as get_dummies)."""
     f = features_imputed(mp, scope)
     firsts = f.agg(*[F.min(c).alias(f"_first_{c}") for c in CATEGORICAL])
-    f = (f.withColumn("_k", F.lit(1)).join(F.broadcast(firsts.withColumn("_k", F.lit(1))), "_k")
-         .drop("_k"))
+    f = with_scalars(f, firsts)
     for c in CATEGORICAL:
         f = f.withColumn(c, F.coalesce(F.col(c), F.col(f"_first_{c}"))).drop(f"_first_{c}")
     f = f.na.drop(subset=MODEL_NUMERIC)
@@ -112,8 +112,8 @@ def _evaluator(p: ModelParams) -> BinaryClassificationEvaluator:
 def dummy_scores(df: DataFrame, p: ModelParams) -> DataFrame:
     """Stratified dummy: predicts 1 with the training prior, at random."""
     prior = df.agg(F.avg("label").alias("_prior"))
-    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(prior.withColumn("_k", F.lit(1))), "_k")
-    return j.withColumn("score", (F.rand(p.seed) < F.col("_prior")).cast("double")).drop("_k", "_prior")
+    j = with_scalars(df, prior)
+    return j.withColumn("score", (F.rand(p.seed) < F.col("_prior")).cast("double")).drop("_prior")
 
 
 def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
@@ -173,14 +173,10 @@ def final_model_evaluation(mp: Marketplace, scope: Scope, p: ModelParams = Model
     scored = scored.cache()
     auc = roc_auc(scored, LABEL, "score").select("auc")
     lift = top_fraction_lift(scored, LABEL, "score", p.top_quantile, tie=KEY)
-    k = F.lit(1)
-    out = (auc.withColumn("_k", k).join(lift.withColumn("_k", k), "_k")
-           .join(classification_report(scored, LABEL, "prediction").filter("class = 1")
-                 .select(F.col("precision").alias("precision_repeat"),
-                         F.col("recall").alias("recall_repeat"),
-                         F.col("f1").alias("f1_repeat")).withColumn("_k", k), "_k")
-           .drop("_k"))
-    return out
+    rep = (classification_report(scored, LABEL, "prediction").filter("class = 1")
+           .select(F.col("precision").alias("precision_repeat"),
+                   F.col("recall").alias("recall_repeat"), F.col("f1").alias("f1_repeat")))
+    return with_scalars(with_scalars(auc, lift), rep)
 
 
 def final_confusion_matrix(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:

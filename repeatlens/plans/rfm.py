@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import (pct, round_half, safe_ratio, segment_of,
-                                          seconds_between, to_double, ts_lit)
+                                          seconds_between, to_double, ts_lit, with_scalars)
 from repeatlens.operators.ranking import (bounded_quantiles, exact_quantiles, global_row_number, qcut_ranks,
                                           qcut_values, quantile_edges)
 from repeatlens.plans.base import scoped_orders, with_person
@@ -103,15 +103,12 @@ def rfm_scores(mp: Marketplace, scope: Scope) -> DataFrame:
 
 
 def _attach_many(big: DataFrame, *one_rows: DataFrame) -> DataFrame:
-    """Append the columns of single-row frames to every row of ``big``.
-
-    Each single-row frame is broadcast (one row: a proven size bound) and
-    joined on a constant key.
-    """
-    out = big.withColumn("_k", F.lit(1))
+    """Append the columns of single-row frames to every row of ``big``
+    (scalar subqueries, see ``functions.columns.with_scalars``)."""
+    out = big
     for r in one_rows:
-        out = out.join(F.broadcast(r.withColumn("_k", F.lit(1))), "_k")
-    return out.drop("_k")
+        out = with_scalars(out, r)
+    return out
 
 
 def rfm_segments(mp: Marketplace, scope: Scope) -> DataFrame:

@@ -57,7 +57,9 @@ def _flagged(mp: Marketplace, scope: Scope) -> DataFrame:
 
     t = _test_rows(mp, scope)
     cut = exact_quantiles(t, SCORE, [TOP_Q], tie=[KEY]).select(F.col("quantile").alias("cutoff"))
-    j = t.withColumn("_k", F.lit(1)).join(F.broadcast(cut.withColumn("_k", F.lit(1))), "_k")
+    from repeatlens.functions.columns import with_scalars
+
+    j = with_scalars(t, cut)
     # a customer without a score (no payment rows) is not targeted
     flag = F.coalesce(F.col(SCORE) >= F.col("cutoff"), F.lit(False))
     return j.withColumn("prediction", flag.cast("int"))

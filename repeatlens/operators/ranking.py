@@ -57,7 +57,7 @@ def ranked_scan(df: DataFrame, order_by: Sequence[Column | str], out: str = "row
         # in the sorted iteration order -> local 1-based row number.
         local = parted.withColumn(
             _LOCAL, F.monotonically_increasing_id()
-            - F.shiftleft(F.col(_PID).cast("bigint"), 33) + F.lit(1))
+            - F.shiftleft(F.spark_partition_id().cast("bigint"), 33) + F.lit(1))
         totals = parted.groupBy(_PID).agg(F.count(F.lit(1)).alias("_rl_total"))
     else:
         local = _local_cumsum(parted, weight)

@@ -30,12 +30,6 @@ def _cols(order_by: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ranked_scan(df: DataFrame, order_by: Sequence[Column | str], out: str = "row_number",
                 weight: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = inclusive running total of ``weight`` (or of 1 per row,
@@ -47,9 +41,12 @@ def ranked_scan(df: DataFrame, order_by: Sequence[Column | str], out: str = "row
     from repeatlens.session import ensure_checkpoint_dir
 
     cols = _cols(order_by)
-    n = _partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    parted = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # Without a fixed count AQE sizes the range partitions from the data
+    # (coalescing only merges adjacent ranges, so the global order holds).
+    ranged = (df.repartitionByRange(num_partitions, *cols) if num_partitions
+              else df.repartitionByRange(*cols))
+    parted = (ranged.sortWithinPartitions(*cols)
               .withColumn(_PID, F.spark_partition_id())
               .checkpoint(eager=True))
     if weight is None:

@@ -31,8 +31,9 @@ def person_orders(mp: Marketplace, scope: Scope) -> DataFrame:
     the earliest eligible order *is* the earliest order whenever it exists.
     """
     o = with_person(scoped_orders(mp, scope), mp, state=True)
-    first = F.min(F.struct(*[F.col(c) for c in ["order_purchase_timestamp", "order_id"]
-                             + [c for c in FIRST_COLS if c not in ("order_purchase_timestamp", "order_id")]]))
+    order_key = ["order_purchase_timestamp", "order_id"]  # struct order = sort order
+    payload = [c for c in FIRST_COLS if c not in order_key]
+    first = F.min(F.struct(*order_key, *payload))
     agg = o.groupBy("customer_unique_id").agg(
         F.count(F.lit(1)).alias("frequency"), first.alias("f"))
     return agg.select(

@@ -83,18 +83,11 @@ GEOLOCATION = T.StructType([
     T.StructField("geolocation_state", _S, True),
 ])
 
-# fixed values: table name -> raw CSV file name of the public dataset
-CSV_FILES = {
-    "customers": "olist_customers_dataset.csv",
-    "orders": "olist_orders_dataset.csv",
-    "order_items": "olist_order_items_dataset.csv",
-    "order_payments": "olist_order_payments_dataset.csv",
-    "order_reviews": "olist_order_reviews_dataset.csv",
-    "products": "olist_products_dataset.csv",
-    "sellers": "olist_sellers_dataset.csv",
-    "geolocation": "olist_geolocation_dataset.csv",
-    "category_translation": "product_category_name_translation.csv",
-}
+# default raw file name per table; pass ``files={table: name}`` to the
+# readers for files named differently
+CSV_FILES = {name: f"{name}.csv" for name in (
+    "customers", "orders", "order_items", "order_payments", "order_reviews", "products",
+    "sellers", "geolocation", "category_translation")}
 
 SCHEMAS = {
     "customers": CUSTOMERS,

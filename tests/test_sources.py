@@ -30,8 +30,8 @@ RAW = {
                      "r1,o1,5,,\"great, fast\",2017-02-11 00:00:00,2017-02-12 00:00:00\n",
     "products": "product_id,product_category_name,product_name_lenght,product_description_lenght,"
                 "product_photos_qty,product_weight_g,product_length_cm,product_height_cm,product_width_cm\n"
-                "p1,beleza_saude,10,100,1,100,10,10,10\np2,,,,,,,,\n",
-    "category_translation": "product_category_name,product_category_name_english\nbeleza_saude,health_beauty\n",
+                "p1,cat_x,10,100,1,100,10,10,10\np2,,,,,,,,\n",
+    "category_translation": "product_category_name,product_category_name_english\ncat_x,cat_x_en\n",
     "sellers": "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,01000,sao paulo,SP\n",
     "geolocation": "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,"
                    "geolocation_state\n01000,-23.5,-46.6,sao paulo,SP\n",

@@ -48,6 +48,7 @@ def exec_kpis(mp: Marketplace, scope: Scope) -> DataFrame:
         to_double("revenue").alias("total_revenue"),
         round_half(safe_ratio("revenue", "total_orders"), 2).alias("avg_order_value"),
         round_half(to_double("freight"), 2).alias("total_freight"),
+        round_half(pct("freight", "revenue"), 1).alias("freight_share_pct"),
     )
 
 

@@ -29,7 +29,13 @@ def date_range(mp: Marketplace, scope: Scope | None = None) -> DataFrame:
 
 
 def status_counts(mp: Marketplace, scope: Scope | None = None) -> DataFrame:
-    return mp.orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
+    """Orders per status and their share (the window runs over the statuses)."""
+    from pyspark.sql import Window
+
+    g = mp.orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
+    return g.select("order_status", "orders",
+                    round_half(pct("orders", F.sum("orders").over(Window.partitionBy())), 1)
+                    .alias("share_pct"))
 
 
 def duplicate_orders(mp: Marketplace, scope: Scope | None = None) -> DataFrame:

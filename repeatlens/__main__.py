@@ -1,4 +1,8 @@
-"""``python -m repeatlens [names...]``: Spark vs DuckDB parity at sf0.01."""
+"""``python -m repeatlens [--sf=DIR] [--explain] [names...]``.
+
+Default: Spark vs DuckDB parity for the named queries (all when none).
+``--explain`` prints each query's formatted physical plan instead.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,12 @@ def main(argv: list[str]) -> int:
         if a.startswith("--sf="):
             sf_dir = a.split("=", 1)[1]
     spark = local_session()
+    if "--explain" in argv:
+        qs = catalog.queries()
+        for name in names or list(qs):
+            print(f"===== {name}")
+            qs[name](spark, sf_dir).explain("formatted")
+        return 0
     con = duckdb_connection(sf_dir)
     qs, sqls = catalog.queries(), oracle.build()
     bad = 0

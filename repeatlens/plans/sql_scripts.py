@@ -38,7 +38,7 @@ def scripts(scope: Scope, p: str = "rl_") -> dict[str, str]:
   SELECT order_id, sum(price) AS order_revenue, sum(freight_value) AS order_freight
   FROM {p}order_items GROUP BY order_id)"""
     cohort = f"""person AS (
-  SELECT c.customer_unique_id, count(1) AS frequency,
+  SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS frequency,
          min(struct(o.order_purchase_timestamp, o.order_id, o.order_delivered_customer_date,
                     o.order_estimated_delivery_date, c.customer_state)) AS f
   FROM {p}orders o JOIN {p}customers c ON c.customer_id = o.customer_id
@@ -61,7 +61,7 @@ cohort AS (
     q["exec_kpis"] = f"""
 WITH {order_totals},
 per_person AS (
-  SELECT c.customer_unique_id, count(1) AS frequency, sum(t.order_revenue) AS monetary,
+  SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS frequency, sum(t.order_revenue) AS monetary,
          sum(t.order_freight) AS freight
   FROM {p}orders o JOIN order_totals t ON t.order_id = o.order_id
   JOIN {p}customers c ON c.customer_id = o.customer_id
@@ -79,7 +79,7 @@ FROM g"""
 WITH {order_totals},
 monthly AS (
   SELECT date_format(o.order_purchase_timestamp, 'yyyy-MM') AS order_month,
-         sum(t.order_revenue) AS revenue, count(1) AS orders
+         sum(t.order_revenue) AS revenue, count(DISTINCT o.order_id) AS orders
   FROM {p}orders o JOIN order_totals t ON t.order_id = o.order_id
   WHERE {scoped} GROUP BY 1),
 lagged AS (SELECT *, lag(revenue) OVER (ORDER BY order_month) AS prev FROM monthly)
@@ -91,7 +91,8 @@ FROM lagged ORDER BY order_month"""
     q["regional_performance"] = f"""
 WITH {order_totals},
 per AS (
-  SELECT c.customer_state, c.customer_unique_id, count(1) AS n_orders, sum(t.order_revenue) AS revenue
+  SELECT c.customer_state, c.customer_unique_id, count(DISTINCT o.order_id) AS n_orders,
+         sum(t.order_revenue) AS revenue
   FROM {p}orders o JOIN order_totals t ON t.order_id = o.order_id
   JOIN {p}customers c ON c.customer_id = o.customer_id
   WHERE {scoped} GROUP BY 1, 2),
@@ -130,7 +131,8 @@ ORDER BY revenue DESC, category, product_id LIMIT {s.top_products_total}"""
     q["rfm_base"] = f"""
 WITH {order_totals},
 co AS (
-  SELECT c.customer_unique_id, max(o.order_purchase_timestamp) AS last_order_date, count(1) AS frequency,
+  SELECT c.customer_unique_id, max(o.order_purchase_timestamp) AS last_order_date,
+         count(DISTINCT o.order_id) AS frequency,
          sum(t.order_revenue) AS monetary
   FROM {p}orders o JOIN order_totals t ON t.order_id = o.order_id
   JOIN {p}customers c ON c.customer_id = o.customer_id
@@ -143,7 +145,7 @@ FROM co"""
 
     q["one_time_vs_repeat"] = f"""
 WITH per AS (
-  SELECT c.customer_unique_id, count(1) AS frequency
+  SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS frequency
   FROM {p}orders o JOIN {p}customers c ON c.customer_id = o.customer_id
   WHERE {scoped} GROUP BY 1),
 g AS (SELECT count_if(frequency = 1) AS one_time_customers, count_if(frequency > 1) AS repeat_customers,
@@ -186,7 +188,7 @@ first_items AS (
     AND o.order_purchase_timestamp < TIMESTAMP_NTZ '{s.eligible_before}'
   GROUP BY 1),
 freq AS (
-  SELECT c.customer_unique_id, count(1) AS frequency
+  SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS frequency
   FROM {p}orders o JOIN {p}customers c ON c.customer_id = o.customer_id
   WHERE {scoped} GROUP BY 1),
 g AS (

@@ -28,15 +28,18 @@ FEATURE_COLUMNS = ["customer_unique_id", "customer_state", "category", "frequenc
 
 
 def payment_summary(mp: Marketplace) -> DataFrame:
-    """Per order: summed value, max instalments, main payment type by value."""
-    p = mp.order_payments
-    by_type = p.groupBy("order_id", "payment_type").agg(F.sum("payment_value").alias("v"))
-    main = by_type.groupBy("order_id").agg(
-        F.min(F.struct((-F.col("v")).alias("nv"), F.col("payment_type"))).alias("m"))
-    tot = p.groupBy("order_id").agg(
-        F.sum("payment_value").alias("payment_value"),
-        F.max("payment_installments").alias("payment_installments"))
-    return tot.join(main.select("order_id", F.col("m.payment_type").alias("payment_type")), "order_id")
+    """Per order: summed value, max instalments, main payment type by value.
+
+    One pass over the payments: (order, type) partial sums, then per order
+    the totals and the type with the largest value (ties: type name)."""
+    by_type = mp.order_payments.groupBy("order_id", "payment_type").agg(
+        F.sum("payment_value").alias("v"), F.max("payment_installments").alias("mi"))
+    return by_type.groupBy("order_id").agg(
+        F.sum("v").alias("payment_value"),
+        F.max("mi").alias("payment_installments"),
+        F.min(F.struct((-F.col("v")).alias("nv"), F.col("payment_type"))).alias("m"),
+    ).select("order_id", "payment_value", "payment_installments",
+             F.col("m.payment_type").alias("payment_type"))
 
 
 def review_summary(mp: Marketplace) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from repeatlens.functions.columns import order_key_hash, with_scalars
 from repeatlens.operators.ranking import exact_quantiles, ranked_scan
@@ -31,10 +32,13 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
 
 
 def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42,
-                      integral_key: bool = True) -> DataFrame:
+                      integral_key: bool | None = None) -> DataFrame:
     """Adds ``_rn_label``: 1-based position of the row inside its class after
     a seeded pseudo-random shuffle (hash of the key, ties by key) and
-    ``_n_label``: the class size."""
+    ``_n_label``: the class size.  Integral keys use a portable integer
+    hash, other keys ``xxhash64`` (detected from the schema by default)."""
+    if integral_key is None:
+        integral_key = isinstance(df.schema[key].dataType, IntegralType)
     h = df.withColumn("_h", order_key_hash(key, seed, integral=integral_key))
     numbered = ranked_scan(h, [label, "_h", key], out="_rn")
     sizes = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("_n_label"))
@@ -46,7 +50,7 @@ def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42,
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
-                     integral_key: bool = True, out: str = "fold") -> DataFrame:
+                     integral_key: bool | None = None, out: str = "fold") -> DataFrame:
     """Deterministic stratified k-fold ids 0..k-1: every fold gets floor or
     ceil of each class's n/k rows."""
     r = rank_within_label(df, label, key, seed, integral_key)
@@ -55,7 +59,7 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.25,
-                     seed: int = 42, integral_key: bool = True, out: str = "is_test") -> DataFrame:
+                     seed: int = 42, integral_key: bool | None = None, out: str = "is_test") -> DataFrame:
     """Per class, the first ceil(n_class * test_fraction) shuffled rows are test."""
     r = rank_within_label(df, label, key, seed, integral_key)
     cut = F.ceil(F.col("_n_label").cast("double") * F.lit(float(test_fraction)))

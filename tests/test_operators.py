@@ -163,3 +163,10 @@ def test_bounded_quantiles_match_numpy(spark):
     got = {r["p"]: r["quantile"] for r in bounded_quantiles(df, "v", probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
+
+
+def test_stratified_folds_string_keys(spark):
+    rows = [(f"person-{i:04d}", int(i % 10 == 0)) for i in range(200)]
+    f = ev.stratified_folds(spark.createDataFrame(rows, "k string, y int"), "y", "k").toPandas()
+    assert sorted(f[f.y == 1].groupby("fold").size().tolist()) == [4, 4, 4, 4, 4]
+    assert sorted(f[f.y == 0].groupby("fold").size().tolist()) == [36, 36, 36, 36, 36]

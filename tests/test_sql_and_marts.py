@@ -47,3 +47,15 @@ def test_write_dashboard_marts(spark):
     fact = spark.read.parquet(paths["fact_sales"])
     assert fact.count() == 3 and "year_month_sort" in fact.columns
     assert any(n.startswith("year_month_sort=") for n in os.listdir(paths["fact_sales"]))
+
+
+def test_run_report_writes_every_analysis(spark):
+    from repeatlens.catalog import JOBS
+    from repeatlens.report import MODEL_JOBS, run_report
+
+    mp = _mp(spark)
+    out = tempfile.mkdtemp(prefix="repeatlens-report-")
+    t = run_report(spark, mp, SCOPE, out)
+    expected = {n for n in JOBS if n not in MODEL_JOBS} | {"dashboard_marts"}
+    assert set(t) == expected
+    assert spark.read.parquet(f"{out}/exec_kpis").collect()[0].total_revenue == 35.0

@@ -215,20 +215,20 @@ def final_confusion_matrix(mp: Marketplace, scope: Scope, p: ModelParams = Model
 
 
 def grid_search(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
-    """ML-18: small boosting grid on the *same* fold column as the comparison."""
+    """ML-18: boosting grid (depth x learning rate) on the *same* fold column
+    as the model comparison, so its scores are comparable with it."""
+    import numpy as np
+
     spark = mp.orders.sparkSession
     ensure_checkpoint_dir(spark)
     data = model_frame(mp, scope, p)
     feats, _ = feature_stages(data)
-    data = feats.transform(data).cache()
+    data = feats.transform(data).select("label", "weight", "fold", "features", KEY).cache()
     gbt = _estimators(1, p)["Gradient Boosting"]
-    grid = (ParamGridBuilder().addGrid(gbt.maxDepth, [2, 3])
-            .addGrid(gbt.stepSize, [0.05, 0.1]).build())
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=_evaluator(p),
-                        foldCol="fold", numFolds=p.folds, seed=p.seed, parallelism=2)
-    m = cv.fit(data)
-    rows = [(int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), float(a), float(s))
-            for pm, a, s in zip(grid, m.avgMetrics, m.stdMetrics)]
+    grid = [(d, st) for d in (2, 3) for st in (0.05, 0.1)]
+    ests = {f"{d}/{st}": gbt.copy({gbt.maxDepth: d, gbt.stepSize: st}) for d, st in grid}
+    res = cross_validate(ests, data, p)
     data.unpersist()
+    rows = [(d, st, float(np.mean(res[f"{d}/{st}"])), float(np.std(res[f"{d}/{st}"]))) for d, st in grid]
     return spark.createDataFrame(rows, "max_depth int, step_size double, mean_roc_auc double, std double") \
-        .orderBy(F.desc("mean_roc_auc"))
+        .orderBy(F.desc("mean_roc_auc"), "max_depth", "step_size")

@@ -22,7 +22,7 @@ from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
 
 MODEL_JOBS = ("cv_model_comparison", "feature_importances", "final_model_evaluation",
-              "final_confusion_matrix")
+              "final_confusion_matrix", "grid_search")
 
 
 def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str, fmt: str = "parquet",

@@ -7,7 +7,8 @@ import pytest
 from repeatlens.catalog import queries
 
 SF = "/root/testdata/sf0.01"
-ML = {"cv_model_comparison", "feature_importances", "final_model_evaluation", "final_confusion_matrix"}
+ML = {"cv_model_comparison", "feature_importances", "final_model_evaluation", "final_confusion_matrix",
+      "grid_search"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
 

@@ -70,6 +70,8 @@ def to_double(x: Column | str) -> Column:
 
 
 def customer_type(frequency: Column | str) -> Column:
+    """'One-time' for a single order in the window, else 'Repeat'."""
+    # fixed values: customer type labels of the reference
     return F.when(_c(frequency) == 1, F.lit("One-time")).otherwise(F.lit("Repeat"))
 
 

@@ -130,6 +130,7 @@ def one_hot_long(df: DataFrame, key: str, columns: list[str] = CATEGORICAL) -> D
 
 
 def features_one_hot(mp: Marketplace, scope: Scope) -> DataFrame:
+    """FEA-5: dummies of the imputed feature table (sparse long form)."""
     return one_hot_long(features_imputed(mp, scope), "customer_unique_id")
 
 

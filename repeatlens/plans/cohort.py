@@ -22,30 +22,38 @@ FIRST_COLS = ["order_id", "order_purchase_timestamp", "order_delivered_customer_
               "order_estimated_delivery_date", "customer_state"]
 
 
-def person_orders(mp: Marketplace, scope: Scope) -> DataFrame:
+def person_orders(mp: Marketplace, scope: Scope,
+                  payload: list[str] | None = FIRST_COLS) -> DataFrame:
     """Per person over the full window: frequency and the first order.
 
-    ``first_*`` describe the person's earliest order (ties broken by
-    order_id); ``eligible`` says whether it precedes ``eligible_before``.
-    Because the eligibility window shares its start with the full window,
-    the earliest eligible order *is* the earliest order whenever it exists.
+    ``payload`` lists the first order's columns to carry (``order_id`` and
+    the purchase time always come along); ``None`` skips the first order.
+    Column pruning cannot look inside the aggregate's struct, so a job
+    asks only for what it reads -- e.g. no delivery dates for the state
+    or payment comparison.  ``eligible`` says whether the first order
+    precedes ``eligible_before``; since the eligibility window shares its
+    start with the full window, the earliest eligible order *is* the
+    earliest order whenever it exists.
     """
-    o = with_person(scoped_orders(mp, scope), mp, state=True)
     order_key = ["order_purchase_timestamp", "order_id"]  # struct order = sort order
-    payload = [c for c in FIRST_COLS if c not in order_key]
-    first = F.min(F.struct(*order_key, *payload))
-    agg = o.groupBy("customer_unique_id").agg(
-        F.count_distinct("order_id").alias("frequency"), first.alias("f"))
-    return agg.select(
-        "customer_unique_id", F.col("frequency").cast("bigint").alias("frequency"),
-        *[F.col(f"f.{c}").alias(c) for c in FIRST_COLS],
-        (F.col("f.order_purchase_timestamp") < ts_lit(scope.eligible_before)).alias("eligible"),
-    )
+    extra = [c for c in (payload or []) if c not in order_key]
+    order_cols = [c for c in extra if c != "customer_state"]
+    o = with_person(scoped_orders(mp, scope, cols=["order_id", "customer_id", *order_key[:1], *order_cols]),
+                    mp, state="customer_state" in extra)
+    aggs = [F.count_distinct("order_id").alias("frequency")]
+    if payload is not None:
+        aggs.append(F.min(F.struct(*order_key, *extra)).alias("f"))
+    agg = o.groupBy("customer_unique_id").agg(*aggs)
+    cols = ["customer_unique_id", F.col("frequency").cast("bigint").alias("frequency")]
+    if payload is not None:
+        cols += [F.col(f"f.{c}").alias(c) for c in ["order_id", "order_purchase_timestamp", *extra]]
+        cols.append((F.col("f.order_purchase_timestamp") < ts_lit(scope.eligible_before)).alias("eligible"))
+    return agg.select(*cols)
 
 
 def customer_freq(mp: Marketplace, scope: Scope) -> DataFrame:
     """COH-2: scoped order count per person (no item join)."""
-    return person_orders(mp, scope).select("customer_unique_id", "frequency")
+    return person_orders(mp, scope, payload=None)
 
 
 def first_orders(mp: Marketplace, scope: Scope) -> DataFrame:
@@ -54,10 +62,13 @@ def first_orders(mp: Marketplace, scope: Scope) -> DataFrame:
             .select("customer_unique_id", *FIRST_COLS))
 
 
-def cohort(mp: Marketplace, scope: Scope) -> DataFrame:
-    """First eligible order joined with its person's full-window frequency."""
-    return (person_orders(mp, scope).filter("eligible")
-            .select("customer_unique_id", "frequency", *FIRST_COLS))
+def cohort(mp: Marketplace, scope: Scope, payload: list[str] = FIRST_COLS) -> DataFrame:
+    """First eligible order (``order_id``, purchase time + ``payload``) with
+    its person's full-window frequency."""
+    po = person_orders(mp, scope, payload)
+    keep = ["order_id", "order_purchase_timestamp"] + [c for c in payload
+                                                         if c not in ("order_id", "order_purchase_timestamp")]
+    return po.filter("eligible").select("customer_unique_id", "frequency", *keep)
 
 
 def first_item_product(mp: Marketplace, scope: Scope) -> DataFrame:
@@ -89,7 +100,7 @@ def order_top_category(mp: Marketplace, scope: Scope, first: DataFrame | None =
     Pass ``first`` (a cohort frame) to share its plan with the caller, so
     Spark reuses one exchange instead of aggregating the orders twice.
     """
-    fo = (first if first is not None else first_orders(mp, scope)).select("customer_unique_id", "order_id")
+    fo = (first if first is not None else cohort(mp, scope, payload=[])).select("customer_unique_id", "order_id")
     items = mp.order_items
     qty = [F.col("quantity")] if "quantity" in items.columns else []
     it = (fo.join(items.select("order_id", "order_item_id", "product_id", "seller_id", "price", *qty),

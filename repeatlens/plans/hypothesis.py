@@ -47,7 +47,8 @@ def delivery(mp: Marketplace, scope: Scope) -> DataFrame:
     with k reviews counts k times), as the reference does; the averages are
     weighted the same way.  ``distinct_customers`` gives the person count.
     """
-    c = cohort(mp, scope).join(reviews_per_order(mp), "order_id", "left")
+    c = cohort(mp, scope, ["order_delivered_customer_date", "order_estimated_delivery_date"]) \
+        .join(reviews_per_order(mp), "order_id", "left")
     w = F.greatest(F.coalesce(F.col("review_rows"), F.lit(0)), F.lit(1))
     dsec = seconds_between("order_purchase_timestamp", "order_delivered_customer_date")
     lsec = seconds_between("order_estimated_delivery_date", "order_delivered_customer_date")
@@ -74,7 +75,7 @@ def delivery(mp: Marketplace, scope: Scope) -> DataFrame:
 def category(mp: Marketplace, scope: Scope) -> DataFrame:
     """HYP-2: repeat rate by category of the first purchased item (>= min buyers)."""
     fi = first_item_product(mp, scope).join(product_categories(mp), "product_id")
-    freq = person_orders(mp, scope).select("customer_unique_id", "frequency")
+    freq = person_orders(mp, scope, payload=None)
     g = fi.join(freq, "customer_unique_id").groupBy("category").agg(
         F.count_if(F.col("frequency") == 1).alias("one_time"),
         F.count_if(F.col("frequency") > 1).alias("repeat"),
@@ -89,7 +90,7 @@ def category(mp: Marketplace, scope: Scope) -> DataFrame:
 
 def payment(mp: Marketplace, scope: Scope) -> DataFrame:
     """HYP-3: instalments and payment value per payment row, by customer type."""
-    c = cohort(mp, scope).join(payments_per_order(mp), "order_id")
+    c = cohort(mp, scope, payload=[]).join(payments_per_order(mp), "order_id")
     g = c.groupBy(customer_type("frequency").alias("customer_type")).agg(
         F.sum("payment_rows").alias("payment_rows"),
         F.sum("sum_inst").alias("sum_inst"), F.sum("n_inst").alias("n_inst"),
@@ -105,7 +106,7 @@ def payment(mp: Marketplace, scope: Scope) -> DataFrame:
 
 def geography(mp: Marketplace, scope: Scope) -> DataFrame:
     """HYP-4: repeat rate by state of the first order (>= min customers)."""
-    g = cohort(mp, scope).groupBy("customer_state").agg(
+    g = cohort(mp, scope, ["customer_state"]).groupBy("customer_state").agg(
         F.count(F.lit(1)).alias("customers"),
         F.count_if(F.col("frequency") > 1).alias("repeat"),
     )

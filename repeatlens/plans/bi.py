@@ -15,7 +15,7 @@ from repeatlens.functions.columns import (month_label, pct, round_half, to_doubl
                                           total_revenue, weekday_sun0, with_scalars,
                                           year_month_sort)
 from repeatlens.plans.base import scoped_orders, with_person
-from repeatlens.plans.kpis import exec_kpis, regional_performance
+from repeatlens.plans.kpis import exec_kpis, regional_performance, state_person
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
 
@@ -31,7 +31,8 @@ def revenue_concentration(mp: Marketplace, scope: Scope) -> DataFrame:
 
     Windows run over the per-state aggregate (one row per state)."""
     st = regional_performance(mp, scope)
-    tot = exec_kpis(mp, scope).select("total_customers")
+    # total persons from the same (state, person) aggregate: one chain, reused
+    tot = state_person(mp, scope).agg(F.count_distinct("customer_unique_id").alias("total_customers"))
     j = with_scalars(st, tot)
     allw = Window.partitionBy()
     order = Window.orderBy(F.desc("revenue"), "customer_state")

@@ -73,6 +73,14 @@ def monthly_revenue_trend(mp: Marketplace, scope: Scope) -> DataFrame:
     ).orderBy("order_month")
 
 
+def state_person(mp: Marketplace, scope: Scope) -> DataFrame:
+    """(state, person) grain: distinct orders and revenue."""
+    return (_orders_with_revenue(mp, scope, state=True)
+            .groupBy("customer_state", "customer_unique_id")
+            .agg(F.count_distinct("order_id").alias("n_orders"),
+                 F.sum("order_revenue").alias("revenue")))
+
+
 def regional_performance(mp: Marketplace, scope: Scope) -> DataFrame:
     """Per customer state: distinct customers and orders, revenue, AOV.
 
@@ -80,11 +88,7 @@ def regional_performance(mp: Marketplace, scope: Scope) -> DataFrame:
     (one state held 42 % of customers upstream) is absorbed by the partial
     aggregation of the second level.
     """
-    per = (_orders_with_revenue(mp, scope, state=True)
-           .groupBy("customer_state", "customer_unique_id")
-           .agg(F.count_distinct("order_id").alias("n_orders"),
-                F.sum("order_revenue").alias("revenue")))
-    st = per.groupBy("customer_state").agg(
+    st = state_person(mp, scope).groupBy("customer_state").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum("n_orders").alias("orders"),
         F.sum("revenue").alias("revenue"))

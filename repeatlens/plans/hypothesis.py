@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from repeatlens.functions.columns import (customer_type, pct, round_half, safe_ratio,
                                           seconds_between)
 from repeatlens.plans.base import product_categories
-from repeatlens.plans.cohort import cohort, first_item_product, person_orders
+from repeatlens.plans.cohort import cohort, first_item_and_frequency
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
 
@@ -74,9 +74,8 @@ def delivery(mp: Marketplace, scope: Scope) -> DataFrame:
 
 def category(mp: Marketplace, scope: Scope) -> DataFrame:
     """HYP-2: repeat rate by category of the first purchased item (>= min buyers)."""
-    fi = first_item_product(mp, scope).join(product_categories(mp), "product_id")
-    freq = person_orders(mp, scope, payload=None)
-    g = fi.join(freq, "customer_unique_id").groupBy("category").agg(
+    fi = first_item_and_frequency(mp, scope).join(product_categories(mp), "product_id")
+    g = fi.groupBy("category").agg(
         F.count_if(F.col("frequency") == 1).alias("one_time"),
         F.count_if(F.col("frequency") > 1).alias("repeat"),
         F.count(F.lit(1)).alias("total_first_time_buyers"),

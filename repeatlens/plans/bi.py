@@ -123,7 +123,7 @@ def row_count_reconciliation(mp: Marketplace, scope: Scope) -> DataFrame:
 
 
 def write_dashboard_marts(mp: Marketplace, scope: Scope, out_dir: str, fmt: str = "parquet",
-                          include_models: bool = False) -> dict[str, str]:
+                          include_models: bool = False, model_params=None) -> dict[str, str]:
     """BI-6 / SNK-3: write the tables behind the three dashboard pages.
 
     Overview: KPI cards, monthly trend, states, categories; customer page:
@@ -146,9 +146,10 @@ def write_dashboard_marts(mp: Marketplace, scope: Scope, out_dir: str, fmt: str
     if include_models:
         from repeatlens.plans import modeling
 
-        marts["model_comparison"] = modeling.cv_model_comparison(mp, scope)
-        marts["feature_importances"] = modeling.feature_importances(mp, scope)
-        marts["model_lift"] = modeling.final_model_evaluation(mp, scope)
+        mpar = model_params or modeling.ModelParams()
+        marts["model_comparison"] = modeling.cv_model_comparison(mp, scope, mpar)
+        marts["feature_importances"] = modeling.feature_importances(mp, scope, mpar)
+        marts["model_lift"] = modeling.final_model_evaluation(mp, scope, mpar)
     paths = {}
     for name, df in marts.items():
         path = f"{out_dir.rstrip('/')}/{name}"

@@ -65,3 +65,14 @@ def test_planted_signal_is_recovered(spark):
     assert ev.roc_auc(df, "y", "x").collect()[0].auc == pytest.approx(1.0)
     rnd = df.withColumn("r", F.rand(42))
     assert 0.4 < ev.roc_auc(rnd, "y", "r").collect()[0].auc < 0.6
+
+
+def test_dashboard_marts_with_models(spark, mp):
+    import tempfile
+
+    from repeatlens.plans import bi
+
+    out = tempfile.mkdtemp(prefix="repeatlens-marts-ml-")
+    paths = bi.write_dashboard_marts(mp, driver_scope(), out, include_models=True, model_params=FAST)
+    assert spark.read.parquet(paths["model_comparison"]).count() == 4
+    assert spark.read.parquet(paths["model_lift"]).count() == 1

@@ -29,7 +29,8 @@ BUCKET_KEYS = {
 def write_colocated(spark: SparkSession, mp: Marketplace, database: str, location: str,
                     buckets: int) -> None:
     """Write the canonical tables as bucketed external tables under ``location``."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    # the database itself lives under ``location`` too (shared storage on a cluster)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location.rstrip('/')}/_database'")
     for name, df in mp.tables().items():
         w = df.write.mode("overwrite").format("parquet").option("path", f"{location.rstrip('/')}/{name}")
         key = BUCKET_KEYS.get(name)

@@ -95,24 +95,27 @@ def first_item_product(mp: Marketplace, scope: Scope) -> DataFrame:
 def first_item_and_frequency(mp: Marketplace, scope: Scope) -> DataFrame:
     """Frequency and first purchased item per person from one aggregate.
 
-    Orders LEFT JOIN items: ``count(DISTINCT order_id)`` counts every scoped
-    order (with or without items), and a conditional ``min(struct)`` over
-    eligible item rows picks the first item exactly as
-    ``first_item_product`` does.  One person-keyed shuffle instead of two.
-    Persons without an eligible item-bearing order get NULL ``product_id``.
+    Items are first rolled up to each order's first item (lowest item id,
+    product, seller, price, quantity) -- a partial aggregate, so an order
+    holding a third of all items collapses map-side -- and LEFT-joined 1:1
+    to the scoped orders.  Per person, ``count(DISTINCT order_id)`` counts
+    every scoped order (with or without items) and a conditional
+    ``min(struct(purchase time, order_id, first item))`` over eligible
+    item-bearing orders picks the first item exactly as
+    ``first_item_product`` does.  Persons without one get NULL ``product_id``.
     """
     o = with_person(scoped_orders(mp, scope, cols=["order_id", "customer_id", "order_purchase_timestamp"]), mp)
     items = mp.order_items
     qty = [F.col("quantity")] if "quantity" in items.columns else []
-    it = o.join(items.select("order_id", "order_item_id", "product_id", "seller_id", "price", *qty),
-                "order_id", "left")
-    eligible = (F.col("order_purchase_timestamp") < ts_lit(scope.eligible_before)) & F.col("order_item_id").isNotNull()
-    key = F.when(eligible, F.struct("order_purchase_timestamp", "order_id", "order_item_id", "product_id",
-                                    "seller_id", "price", *qty))
+    first_in_order = items.groupBy("order_id").agg(
+        F.min(F.struct("order_item_id", "product_id", "seller_id", "price", *qty)).alias("fi"))
+    it = o.join(first_in_order, "order_id", "left")
+    eligible = (F.col("order_purchase_timestamp") < ts_lit(scope.eligible_before)) & F.col("fi").isNotNull()
+    key = F.when(eligible, F.struct("order_purchase_timestamp", "order_id", "fi"))
     agg = it.groupBy("customer_unique_id").agg(F.count_distinct("order_id").alias("frequency"),
                                                 F.min(key).alias("k"))
     return agg.select("customer_unique_id", F.col("frequency").cast("bigint").alias("frequency"),
-                      F.col("k.product_id").alias("product_id"))
+                      F.col("k.fi.product_id").alias("product_id"))
 
 
 def order_top_category(mp: Marketplace, scope: Scope, first: DataFrame | None = None) -> DataFrame:

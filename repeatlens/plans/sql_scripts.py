@@ -177,20 +177,21 @@ FROM g"""
 
     q["hyp_category"] = f"""
 WITH {cats},
+first_in_order AS (
+  SELECT order_id, min(struct(order_item_id, product_id, seller_id, price, quantity)) AS fi
+  FROM {p}order_items GROUP BY order_id),
 per AS (
   SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS frequency,
-         min(CASE WHEN o.order_purchase_timestamp < TIMESTAMP_NTZ '{s.eligible_before}'
-                       AND oi.order_item_id IS NOT NULL
-                  THEN struct(o.order_purchase_timestamp, o.order_id, oi.order_item_id, oi.product_id,
-                              oi.seller_id, oi.price, oi.quantity) END) AS k
+         min(CASE WHEN o.order_purchase_timestamp < TIMESTAMP_NTZ '{s.eligible_before}' AND f.fi IS NOT NULL
+                  THEN struct(o.order_purchase_timestamp, o.order_id, f.fi) END) AS k
   FROM {p}orders o JOIN {p}customers c ON c.customer_id = o.customer_id
-  LEFT JOIN {p}order_items oi ON oi.order_id = o.order_id
+  LEFT JOIN first_in_order f ON f.order_id = o.order_id
   WHERE {scoped}
   GROUP BY 1),
 g AS (
   SELECT pc.category, count_if(per.frequency = 1) AS one_time, count_if(per.frequency > 1) AS `repeat`,
          count(1) AS total_first_time_buyers
-  FROM per JOIN product_categories pc ON pc.product_id = per.k.product_id
+  FROM per JOIN product_categories pc ON pc.product_id = per.k.fi.product_id
   GROUP BY pc.category)
 SELECT category, one_time, `repeat`, {_r(_pct('`repeat`', 'total_first_time_buyers'), 1)} AS repeat_rate_pct,
        total_first_time_buyers

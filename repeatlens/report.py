@@ -26,23 +26,26 @@ MODEL_JOBS = ("cv_model_comparison", "feature_importances", "final_model_evaluat
 
 
 def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str, fmt: str = "parquet",
-               include_models: bool = False) -> dict[str, float]:
-    """Write each analysis; returns seconds per analysis."""
+               include_models: bool = False) -> dict[str, float | str]:
+    """Write each analysis; returns seconds per analysis, or the error text
+    of an analysis that failed (e.g. RFM scores raise, like pandas ``qcut``,
+    when recency quantile edges repeat) -- the others still run."""
     from repeatlens.catalog import JOBS
     from repeatlens.plans.bi import write_dashboard_marts
     from repeatlens.sources.sinks import write_table
 
-    timings: dict[str, float] = {}
-    for name, job in JOBS.items():
-        if name in MODEL_JOBS and not include_models:
-            continue
+    steps = {name: (lambda job=job, name=name: write_table(job(mp, scope), f"{out_dir.rstrip('/')}/{name}", fmt))
+             for name, job in JOBS.items() if include_models or name not in MODEL_JOBS}
+    steps["dashboard_marts"] = lambda: write_dashboard_marts(mp, scope, f"{out_dir.rstrip('/')}/marts", fmt)
+    result: dict[str, float | str] = {}
+    for name, step in steps.items():
         t0 = time.perf_counter()
-        write_table(job(mp, scope), f"{out_dir.rstrip('/')}/{name}", fmt)
-        timings[name] = round(time.perf_counter() - t0, 3)
-    t0 = time.perf_counter()
-    write_dashboard_marts(mp, scope, f"{out_dir.rstrip('/')}/marts", fmt)
-    timings["dashboard_marts"] = round(time.perf_counter() - t0, 3)
-    return timings
+        try:
+            step()
+            result[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # noqa: BLE001 -- reported per analysis
+            result[name] = f"error: {str(exc).splitlines()[0][:300]}"
+    return result
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -60,7 +63,10 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = SparkSession.getActiveSession() or local_session()
     mp = read_marketplace_csv(spark, a.csv) if a.csv else read_marketplace_parquet(spark, a.parquet)
-    print(json.dumps(run_report(spark, mp, Scope(), a.out, a.fmt, a.models)))
+    result = run_report(spark, mp, Scope(), a.out, a.fmt, a.models)
+    print(json.dumps(result))
+    if any(isinstance(v, str) for v in result.values()):
+        raise SystemExit(1)
 
 
 if __name__ == "__main__":

@@ -146,10 +146,13 @@ def write_dashboard_marts(mp: Marketplace, scope: Scope, out_dir: str, fmt: str
     if include_models:
         from repeatlens.plans import modeling
 
+        from repeatlens.session import materialize
+
         mpar = model_params or modeling.ModelParams()
-        marts["model_comparison"] = modeling.cv_model_comparison(mp, scope, mpar)
-        marts["feature_importances"] = modeling.feature_importances(mp, scope, mpar)
-        marts["model_lift"] = modeling.final_model_evaluation(mp, scope, mpar)
+        frame = materialize(modeling.model_frame(mp, scope, mpar))  # built once, read by 3 jobs
+        marts["model_comparison"] = modeling.cv_model_comparison(mp, scope, mpar, frame)
+        marts["feature_importances"] = modeling.feature_importances(mp, scope, mpar, frame=frame)
+        marts["model_lift"] = modeling.final_model_evaluation(mp, scope, mpar, frame)
     paths = {}
     for name, df in marts.items():
         path = f"{out_dir.rstrip('/')}/{name}"

@@ -147,13 +147,16 @@ def cross_validate(estimators: dict, data: DataFrame, p: ModelParams) -> dict[st
     return out
 
 
-def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
-    """ML-6..10, ML-17: mean and (population) std of fold ROC-AUC per model, best first."""
+def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
+                        frame: DataFrame | None = None) -> DataFrame:
+    """ML-6..10, ML-17: mean and (population) std of fold ROC-AUC per model, best first.
+
+    ``frame``: a prebuilt ``model_frame`` to reuse across model jobs."""
     import numpy as np
 
     spark = mp.orders.sparkSession
     ensure_checkpoint_dir(spark)
-    data = model_frame(mp, scope, p)
+    data = frame if frame is not None else model_frame(mp, scope, p)
     feats, _ = feature_stages(data)
     data = feats.transform(data).select("label", "weight", "fold", "features", KEY).cache()
     n = data.count()
@@ -171,11 +174,12 @@ def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelPar
         .orderBy(F.desc("mean_roc_auc"))
 
 
-def final_model(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()):
+def final_model(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
+                frame: DataFrame | None = None):
     """Fit the boosting model on the stratified 75 % split; returns
     (scored test frame, fitted model, feature names)."""
     ensure_checkpoint_dir(mp.orders.sparkSession)
-    data = model_frame(mp, scope, p)
+    data = frame if frame is not None else model_frame(mp, scope, p)
     feats, names = feature_stages(data)
     data = stratified_split(feats.transform(data), LABEL, KEY, p.test_fraction, p.seed)
     train, test = data.filter(~F.col("is_test")), data.filter("is_test")
@@ -187,18 +191,19 @@ def final_model(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()):
 
 
 def feature_importances(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
-                        top: int = 15) -> DataFrame:
+                        top: int = 15, frame: DataFrame | None = None) -> DataFrame:
     """ML-15: top feature importances of the final model."""
     spark = mp.orders.sparkSession
-    _, model, names = final_model(mp, scope, p)
+    _, model, names = final_model(mp, scope, p, frame)
     imp = model.featureImportances.toArray().tolist()
     rows = sorted(zip(names, imp), key=lambda t: (-t[1], t[0]))[:top]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def final_model_evaluation(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
+def final_model_evaluation(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
+                           frame: DataFrame | None = None) -> DataFrame:
     """ML-12..16: hold-out ROC-AUC, confusion cells and top-decile lift."""
-    scored, _, _ = final_model(mp, scope, p)
+    scored, _, _ = final_model(mp, scope, p, frame)
     scored = scored.cache()
     auc = roc_auc(scored, LABEL, "score").select("auc")
     lift = top_fraction_lift(scored, LABEL, "score", p.top_quantile, tie=KEY)

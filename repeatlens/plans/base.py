@@ -31,11 +31,15 @@ def scoped_orders(mp: Marketplace, scope: Scope, end: str | None = None,
     """Orders with the scope status purchased in [window_start, end)."""
     end = end or scope.window_end
     o = mp.orders
-    return o.filter(
-        (F.col("order_status") == F.lit(scope.status))
-        & (F.col("order_purchase_timestamp") >= ts_lit(scope.window_start))
-        & (F.col("order_purchase_timestamp") < ts_lit(end))
-    ).select(*(cols or ORDER_COLS))
+    cond = ((F.col("order_status") == F.lit(scope.status))
+            & (F.col("order_purchase_timestamp") >= ts_lit(scope.window_start))
+            & (F.col("order_purchase_timestamp") < ts_lit(end)))
+    if "purchase_month" in o.columns:
+        # month-partitioned storage: the implied month bounds prune directories
+        last = F.date_format(F.timestamp_add("SECOND", F.lit(-1), ts_lit(end)), "yyyy-MM")
+        cond = cond & (F.col("purchase_month") >= F.date_format(ts_lit(scope.window_start), "yyyy-MM")) \
+            & (F.col("purchase_month") <= last)
+    return o.filter(cond).select(*(cols or ORDER_COLS))
 
 
 def order_totals(mp: Marketplace) -> DataFrame:

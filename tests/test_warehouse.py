@@ -26,3 +26,17 @@ def test_colocated_tables_avoid_order_shuffle(spark):
     a = sorted(hypothesis.payment(wh, s).collect())
     b = sorted(hypothesis.payment(mp, s).collect())
     assert a == b
+
+
+def test_month_partitioned_orders_prune_and_match(spark):
+    from repeatlens.sources.csv_source import read_marketplace_parquet, write_canonical
+
+    mp = from_driver_tables(spark, SF)
+    out = tempfile.mkdtemp(prefix="repeatlens-canon-")
+    write_canonical(mp, out, partition_orders_by_month=True)
+    pmp = read_marketplace_parquet(spark, out)
+    s = driver_scope()
+    plan = kpis.exec_kpis(pmp, s)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(purchase_month" in plan
+    assert kpis.exec_kpis(pmp, s).collect() == kpis.exec_kpis(mp, s).collect()
+    assert sorted(hypothesis.geography(pmp, s).collect()) == sorted(hypothesis.geography(mp, s).collect())

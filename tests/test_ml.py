@@ -76,3 +76,9 @@ def test_dashboard_marts_with_models(spark, mp):
     paths = bi.write_dashboard_marts(mp, driver_scope(), out, include_models=True, model_params=FAST)
     assert spark.read.parquet(paths["model_comparison"]).count() == 4
     assert spark.read.parquet(paths["model_lift"]).count() == 1
+
+
+def test_fixed_seed_repeats(mp):
+    a = modeling.final_model_evaluation(mp, driver_scope(), FAST).collect()[0]
+    b = modeling.final_model_evaluation(mp, driver_scope(), FAST).collect()[0]
+    assert a == b

@@ -134,15 +134,31 @@ def features_one_hot(mp: Marketplace, scope: Scope) -> DataFrame:
     return one_hot_long(features_imputed(mp, scope), "customer_unique_id")
 
 
-def one_hot_wide(df: DataFrame, columns: list[str] = CATEGORICAL) -> DataFrame:
+MAX_LEVELS = 10_000
+
+
+def checked_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[str]:
+    """Distinct non-NULL levels of a categorical column, sorted.
+
+    Only a vocabulary may reach the driver: at most ``max_levels + 1``
+    values are fetched, and more than ``max_levels`` raises instead of
+    collecting a data-sized column."""
+    got = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct()
+           .limit(max_levels + 1).collect()]
+    if len(got) > max_levels:
+        raise ValueError(f"{column}: more than {max_levels} levels; not a categorical vocabulary")
+    return sorted(got)
+
+
+def one_hot_wide(df: DataFrame, columns: list[str] = CATEGORICAL, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Wide 0/1 dummies for inspection (level names become columns).
 
-    The level list per column is collected to the driver; it is a
-    vocabulary (states, categories, payment types), bounded in size.
+    The level list per column reaches the driver through ``checked_levels``
+    (a vocabulary: states, categories, payment types; size-checked).
     """
     out = df
     for c in columns:
-        levels = sorted(r[0] for r in df.select(c).distinct().filter(F.col(c).isNotNull()).collect())
+        levels = checked_levels(df, c, max_levels)
         for lv in levels[1:]:
             out = out.withColumn(f"{c}_{lv}", (F.coalesce(F.col(c) == lv, F.lit(False))).cast("int"))
         out = out.drop(c)

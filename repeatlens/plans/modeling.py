@@ -75,8 +75,13 @@ def feature_stages(df: DataFrame) -> tuple[PipelineModel, list[str]]:
 
     StringIndexer ``alphabetDesc`` gives the alphabetically first level the
     last index; OneHotEncoder(dropLast) then drops exactly that level.
-    Levels are a bounded vocabulary; fitting them on the full table uses no
+    Levels are a vocabulary, size-checked before the fit (the indexer keeps
+    its label list on the driver); fitting them on the full table uses no
     label information."""
+    from repeatlens.plans.features import checked_levels
+
+    for c in CATEGORICAL:
+        checked_levels(df, c)
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc")
            for c in CATEGORICAL]
     enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],

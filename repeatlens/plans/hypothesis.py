@@ -1,10 +1,12 @@
 """HYP-1..4: cohort-controlled comparisons of one-time and repeat buyers.
 
-All four start from ``cohort.cohort`` (first eligible order + full-window
-frequency, one aggregate).  Review and payment rows are rolled up to one
-row per order *before* they meet the cohort, and the reference's row-level
-averages are rebuilt from per-order counts and sums, so the result equals
-the fan-out join's averages without materialising the fan-out.
+HYP-1/3/4 start from ``cohort.cohort`` (first eligible order + full-window
+frequency, one aggregate); HYP-2 from ``cohort.first_item_and_frequency``
+(first purchased item + frequency, one aggregate).  Review and payment
+rows are rolled up to one row per order *before* they meet the cohort,
+and the reference's row-level averages are rebuilt from per-order counts
+and sums, so the result equals the fan-out join's averages without
+materialising the fan-out.
 """
 
 from __future__ import annotations

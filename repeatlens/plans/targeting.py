@@ -20,42 +20,45 @@ LABEL, KEY, SCORE = "repeat_customer", "customer_unique_id", "payment_value"
 TEST_FRACTION, FOLDS, SEED, TOP_Q = 0.25, 5, 42, 0.9
 
 
-def _base(mp: Marketplace, scope: Scope) -> DataFrame:
-    return features_imputed(mp, scope).select(KEY, LABEL, SCORE)
+def _base(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    """Key, label and score from ``features`` (a prebuilt ``features_imputed``
+    mart) or, by default, from a fresh feature build."""
+    f = features if features is not None else features_imputed(mp, scope)
+    return f.select(KEY, LABEL, SCORE)
 
 
-def class_weights(mp: Marketplace, scope: Scope) -> DataFrame:
-    return ev.class_weights(_base(mp, scope), LABEL)
+def class_weights(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    return ev.class_weights(_base(mp, scope, features), LABEL)
 
 
-def stratified_folds(mp: Marketplace, scope: Scope) -> DataFrame:
-    return ev.stratified_folds(_base(mp, scope), LABEL, KEY, FOLDS, SEED).select(KEY, LABEL, "fold")
+def stratified_folds(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    return ev.stratified_folds(_base(mp, scope, features), LABEL, KEY, FOLDS, SEED).select(KEY, LABEL, "fold")
 
 
-def stratified_split(mp: Marketplace, scope: Scope) -> DataFrame:
-    return ev.stratified_split(_base(mp, scope), LABEL, KEY, TEST_FRACTION, SEED).select(
+def stratified_split(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    return ev.stratified_split(_base(mp, scope, features), LABEL, KEY, TEST_FRACTION, SEED).select(
         KEY, LABEL, "is_test")
 
 
-def _test_rows(mp: Marketplace, scope: Scope) -> DataFrame:
-    return ev.stratified_split(_base(mp, scope), LABEL, KEY, TEST_FRACTION, SEED).filter("is_test")
+def _test_rows(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    return ev.stratified_split(_base(mp, scope, features), LABEL, KEY, TEST_FRACTION, SEED).filter("is_test")
 
 
-def roc_auc_rank(mp: Marketplace, scope: Scope) -> DataFrame:
-    return ev.roc_auc(_base(mp, scope), LABEL, SCORE)
+def roc_auc_rank(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    return ev.roc_auc(_base(mp, scope, features), LABEL, SCORE)
 
 
-def top_decile_lift(mp: Marketplace, scope: Scope) -> DataFrame:
+def top_decile_lift(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
     from repeatlens.functions.columns import round_half
 
-    out = ev.top_fraction_lift(_test_rows(mp, scope), LABEL, SCORE, TOP_Q, tie=KEY)
+    out = ev.top_fraction_lift(_test_rows(mp, scope, features), LABEL, SCORE, TOP_Q, tie=KEY)
     return out.withColumn("cutoff", round_half("cutoff", 4))
 
 
-def _flagged(mp: Marketplace, scope: Scope) -> DataFrame:
+def _flagged(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
     from repeatlens.operators.ranking import exact_quantiles
 
-    t = _test_rows(mp, scope)
+    t = _test_rows(mp, scope, features)
     cut = exact_quantiles(t, SCORE, [TOP_Q], tie=[KEY]).select(F.col("quantile").alias("cutoff"))
     from repeatlens.functions.columns import with_scalars
 
@@ -65,9 +68,9 @@ def _flagged(mp: Marketplace, scope: Scope) -> DataFrame:
     return j.withColumn("prediction", flag.cast("int"))
 
 
-def confusion_matrix(mp: Marketplace, scope: Scope) -> DataFrame:
-    return ev.confusion_matrix(_flagged(mp, scope), LABEL, "prediction")
+def confusion_matrix(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    return ev.confusion_matrix(_flagged(mp, scope, features), LABEL, "prediction")
 
 
-def classification_report(mp: Marketplace, scope: Scope) -> DataFrame:
-    return ev.classification_report(_flagged(mp, scope), LABEL, "prediction")
+def classification_report(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+    return ev.classification_report(_flagged(mp, scope, features), LABEL, "prediction")

@@ -58,3 +58,15 @@ def test_null_delivery_count(mp):
     rows = {r.order_status: r for r in quality.null_delivery(mp).collect()}
     assert rows["delivered"].orders == 4933
     assert rows["delivered"].missing_delivery_date == 74
+
+
+def test_targeting_with_prebuilt_feature_mart(spark, mp):
+    from repeatlens.parity import compare
+    from repeatlens.plans import features, targeting
+    from repeatlens.session import materialize
+
+    s = driver_scope()
+    mart = materialize(features.features_imputed(mp, s))
+    for fn in (targeting.roc_auc_rank, targeting.top_decile_lift, targeting.classification_report):
+        ok, msg = compare(fn(mp, s, features=mart).toPandas(), fn(mp, s).toPandas())
+        assert ok, (fn.__name__, msg)

@@ -16,7 +16,7 @@ import argparse
 import json
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
@@ -34,7 +34,36 @@ def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str,
     from repeatlens.plans.bi import write_dashboard_marts
     from repeatlens.sources.sinks import write_table
 
-    steps = {name: (lambda job=job, name=name: write_table(job(mp, scope), f"{out_dir.rstrip('/')}/{name}", fmt))
+    from repeatlens.plans import features, modeling, targeting
+    from repeatlens.session import materialize
+
+    # shared marts, built once on first use and read by every consumer
+    shared: dict[str, DataFrame] = {}
+
+    def mart() -> DataFrame:
+        if "features" not in shared:
+            shared["features"] = materialize(features.features_imputed(mp, scope))
+        return shared["features"]
+
+    def frame() -> DataFrame:
+        if "frame" not in shared:
+            shared["frame"] = materialize(modeling.model_frame(mp, scope))
+        return shared["frame"]
+
+    targeting_jobs = {"class_weights", "stratified_folds", "stratified_split", "roc_auc_rank",
+                      "confusion_matrix", "classification_report", "top_decile_lift"}
+    model_jobs = {"cv_model_comparison": modeling.cv_model_comparison,
+                  "feature_importances": modeling.feature_importances,
+                  "final_model_evaluation": modeling.final_model_evaluation}
+
+    def build(name: str, job) -> DataFrame:
+        if name in targeting_jobs:
+            return getattr(targeting, name)(mp, scope, features=mart())
+        if name in model_jobs:
+            return model_jobs[name](mp, scope, frame=frame())
+        return job(mp, scope)
+
+    steps = {name: (lambda job=job, name=name: write_table(build(name, job), f"{out_dir.rstrip('/')}/{name}", fmt))
              for name, job in JOBS.items() if include_models or name not in MODEL_JOBS}
     steps["dashboard_marts"] = lambda: write_dashboard_marts(mp, scope, f"{out_dir.rstrip('/')}/marts", fmt)
     result: dict[str, float | str] = {}

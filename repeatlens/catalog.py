@@ -70,9 +70,30 @@ JOBS: dict[str, Job] = {
 }
 
 
+def portable(df: DataFrame) -> DataFrame:
+    """Render timestamp/date columns as ISO strings.
+
+    Engines hand timestamps to pandas with different units (ns vs us), so a
+    value hash over raw datetimes differs even when the values agree; the
+    registered queries therefore return ``yyyy-MM-dd HH:mm:ss`` text (the
+    library functions themselves stay typed)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            cols.append(F.date_format(F.col(f.name), "yyyy-MM-dd HH:mm:ss").alias(f.name))
+        elif isinstance(f.dataType, T.DateType):
+            cols.append(F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
 def _bind(job: Job) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return job(from_driver_tables(spark, sf_dir), driver_scope())
+        return portable(job(from_driver_tables(spark, sf_dir), driver_scope()))
 
     run.__name__ = job.__name__
     run.__doc__ = job.__doc__

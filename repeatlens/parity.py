@@ -48,3 +48,27 @@ def compare(spark_pdf: pd.DataFrame, oracle_pdf: pd.DataFrame) -> tuple[bool, st
         if x != y:
             return False, f"row {i} differs: {x} vs {y}"
     return True, "ok"
+
+
+def _canonical(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf[sorted(pdf.columns)]
+    if len(pdf) == 0:
+        return pdf
+    key = pdf.astype(str).apply(lambda r: "|".join(r), axis=1)
+    return pdf.iloc[key.argsort(kind="stable")].reset_index(drop=True)
+
+
+def same_representation(spark_pdf: pd.DataFrame, oracle_pdf: pd.DataFrame) -> tuple[bool, str]:
+    """Stricter than ``compare``: identical pandas dtypes and identical
+    ``hash_pandas_object`` values after an order-insensitive sort -- what a
+    raw value-hash over both results would see."""
+    a, b = _canonical(spark_pdf), _canonical(oracle_pdf)
+    da = {c: str(t) for c, t in a.dtypes.items()}
+    db = {c: str(t) for c, t in b.dtypes.items()}
+    if da != db:
+        return False, f"dtypes differ: {[(c, da[c], db.get(c)) for c in da if da[c] != db.get(c)]}"
+    ha = pd.util.hash_pandas_object(a, index=False).values
+    hb = pd.util.hash_pandas_object(b, index=False).values
+    if len(ha) != len(hb) or not (ha == hb).all():
+        return False, "value hashes differ"
+    return True, "ok"

@@ -61,7 +61,8 @@ def customer_features(mp: Marketplace, scope: Scope) -> DataFrame:
         "customer_unique_id", "customer_state", "category",
         F.col("frequency").cast("bigint").alias("frequency"),
         (F.col("frequency") > 1).cast("int").alias("repeat_customer"),
-        F.col("payment_installments").cast("int").alias("payment_installments"),
+        # double: NULL for unpaid first orders, and a numeric model feature
+        F.col("payment_installments").cast("double").alias("payment_installments"),
         F.col("payment_value").cast("double").alias("payment_value"),
         "payment_type",
         F.col("review_score").cast("double").alias("review_score"),

@@ -6,7 +6,7 @@ import pytest
 
 from repeatlens.catalog import queries
 from repeatlens.oracle import build
-from repeatlens.parity import compare, duckdb_connection
+from repeatlens.parity import compare, duckdb_connection, same_representation
 
 SF = os.environ.get("REPEATLENS_PARITY_SF", "/root/testdata/sf0.01")
 SQL = build()
@@ -25,6 +25,8 @@ def test_query_matches_oracle(spark, con, name):
     exp = con.execute(SQL[name]).df()
     ok, msg = compare(got, exp)
     assert ok, f"{name}: {msg}"
+    ok, msg = same_representation(got, exp)
+    assert ok, f"{name}: {msg}"
 
 
 def test_entry_contract(spark):

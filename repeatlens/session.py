@@ -8,9 +8,11 @@ folder when the cluster already names one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -41,8 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the session names.
 
     ``spark.checkpoint.dir`` (a shared, durable folder on a cluster) wins;
-    only when nothing is configured -- local tests -- a fresh scratch folder
-    is created.
+    only a ``local`` master with nothing configured -- tests -- gets a fresh
+    scratch folder.  Any other master without the setting is an error: a
+    machine-local folder would be invisible to the other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,11 +53,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set and the master is {sc.master}: name a folder "
+                "that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="repeatlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the checkpoint folder and read it back.
+
+    Cuts the lineage like a checkpoint, but compressed and columnar, so
+    later readers still prune columns and push filters down.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Write ``df`` once to the session's checkpoint folder and read it back.
 

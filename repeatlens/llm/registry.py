@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import near_dup
+from repeatlens.llm import near_dup, quality
 
-_QUERIES = [near_dup.op10_minhash_near_dedup]
-_ORACLES: dict[str, str] = {}
+_QUERIES = [quality.op9_quality_rules, near_dup.op10_minhash_near_dedup]
+_ORACLES: dict[str, str] = {"op9_quality_rules": quality.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,6 +37,8 @@ from repeatlens.session import write_shared
 MINIMA = 384
 BITS = 2
 ROWS = 5
+#: Ids of 16 bytes; see ``_where_id``.
+BROADCAST_IDS = 500_000
 
 _FEATURES = [
     T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType()),
@@ -66,17 +68,20 @@ def features(df: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
     return flat_map(rows, make, T.StructType([rows.schema["id"], *_FEATURES]))
 
 
-def shingle_sets(df: DataFrame, text_col: str) -> DataFrame:
-    """(fp, shingles) of each text that has words."""
+def shingle_sets(df: DataFrame, text_col: str, keep_text: bool = False) -> DataFrame:
+    """(fp, shingles) of each text that has words, or (fp, text)."""
+    text = T.StructField("text", T.StringType())
+    ids = T.StructField("shingles", T.ArrayType(T.LongType(), False))
+
     def make():
         def one(text):
             s = hashing.shingles(text)
-            return [(hashing.fingerprint(s), s.view("int64"))] if len(s) else []
+            return [(hashing.fingerprint(s), text if keep_text else s.view("int64"))] if len(
+                s) else []
         return one
 
     return flat_map(df.select(F.col(text_col).alias("text")), make, T.StructType(
-        [T.StructField("fp", T.BinaryType()),
-         T.StructField("shingles", T.ArrayType(T.LongType(), False))]))
+        [T.StructField("fp", T.BinaryType()), text if keep_text else ids]))
 
 
 def agreeing_minima(a: Column, b: Column) -> Column:
@@ -197,19 +202,8 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     return connected_components(links).select(F.col("id").alias("vid"), "component")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Texts link when 100 * intersection >= ``percent`` * union of their
-    shingle sets; component_id is the smallest id reachable, its own
-    included; kept marks the rows whose id it is.  Repeated rows share a
-    component (all rows with its smallest id are kept).  A text without
-    words (or null) links with nothing.  A null id never names a component
-    that has another id; alone, its component is null and it is kept.  Other
-    columns are ignored.  Empty input, empty result.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _marks(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, fp, n_shingles, component_id and kept of (doc_id, text) rows."""
     feats = write_shared(features(docs, "doc_id", "text", percent / 100), "minhash")
     classes = write_shared(
         feats.filter("fp is not null").groupBy("fp")
@@ -229,21 +223,68 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
               .select("fp", F.coalesce("smallest", "rep").alias("smallest")))
     out = feats.select("id", "n_shingles", "fp").join(by_set, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("smallest"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles",
+    return out.select(F.col("id").alias("doc_id"), "fp", "n_shingles",
                       component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Texts link when 100 * intersection >= ``percent`` * union of their
+    shingle sets; component_id is the smallest id reachable, its own
+    included; kept marks the rows whose id it is.  Repeated rows share a
+    component (all rows with its smallest id are kept).  A text without
+    words (or null) links with nothing.  A null id never names a component
+    that has another id; alone, its component is null and it is kept.  Other
+    columns are ignored.  Empty input, empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _marks(rows, percent).drop("fp")
+
+
+def _where_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` semi- or anti-joined with (unique) ids, nulls matching.
+
+    Up to ``BROADCAST_IDS`` ids go to every task, so that texts are not
+    shuffled; beyond it both sides are."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), how)
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one row.
+    """The rows of ``docs`` that stay, with their columns: one per component.
 
-    Of rows that share the smallest id (repeated rows) one stays; texts
-    without words all stay, as they link with nothing.
+    Of repeated rows (and of linked rows with one id) the one with the
+    smallest text stays.  Texts without words all stay, as they link with
+    nothing.
     """
-    marks = near_duplicates(docs, percent, id_col, text_col)
-    gone = marks.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marks = write_shared(_marks(rows, percent), "marks")
+    ids = marks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    out = _where_id(docs, id_col, ids.filter("not kept or n > 1"), "left_anti")
+    again = ids.filter("kept and n > 1")
+    if again.isEmpty():
+        return out
+
+    # ids of several rows: only these are told apart by their sets
+    twice = _where_id(docs, id_col, again, "left_semi")
+    packed = twice.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                          F.struct("*").alias("row"))
+    sets = shingle_sets(packed.select("text").distinct(), "text", keep_text=True)
+    placed = packed.join(sets, "text", "left").withColumn("fp", F.coalesce("fp", F.lit(b"")))
+    kept = (marks.filter("kept").select("doc_id", F.coalesce("fp", F.lit(b"")).alias("fp"),
+                                        F.col("component_id").alias("c")).distinct())
+    chosen = placed.alias("p").join(kept.alias("k"), F.col("p.doc_id").eqNullSafe(
+        F.col("k.doc_id")) & (F.col("p.fp") == F.col("k.fp"))).select("p.row", "p.text", "p.fp", "c")
+    empty = chosen.filter(F.col("fp") == F.lit(b"")).select("row.*")
+    one = (chosen.filter(F.col("fp") != F.lit(b"")).groupBy("c")
+           .agg(F.min_by("row", "text").alias("row")).select("row.*"))
+    return out.unionByName(one).unionByName(empty)
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

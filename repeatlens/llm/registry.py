@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import near_dup, quality
-
-_QUERIES = [quality.op9_quality_rules, near_dup.op10_minhash_near_dedup]
-_ORACLES: dict[str, str] = {"op9_quality_rules": quality.oracle()}
+from repeatlens.llm import decontam, near_dup, quality, secrets
+
+_QUERIES = [
+    secrets.op5_secret_scans, decontam.op8_benchmark_decontamination,
+    quality.op9_quality_rules, near_dup.op10_minhash_near_dedup,
+]
+_ORACLES = {
+    "op5_secret_scans": secrets.oracle(), "op9_quality_rules": quality.oracle(),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

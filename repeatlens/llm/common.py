@@ -71,3 +71,24 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def append_column(df: DataFrame, source: str, make: Callable[[], Callable], field: T.StructField,
+                  rows: int = 128) -> DataFrame:
+    """``df`` with a column computed from ``source`` value by value, as in
+    ``flat_map``; the other columns pass through as Arrow arrays."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(field.dataType)
+    at = df.columns.index(source)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            names = [*batch.schema.names, field.name]
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                new = pa.array([fn(v) for v in part.column(at)], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns, new], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, field]))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import decontam, near_dup, quality, secrets
+from repeatlens.llm import bpe, decontam, near_dup, quality, secrets
 
 _QUERIES = [
+    bpe.op1_bpe_codec,
     secrets.op5_secret_scans, decontam.op8_benchmark_decontamination,
     quality.op9_quality_rules, near_dup.op10_minhash_near_dedup,
 ]

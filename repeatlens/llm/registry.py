@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import bpe, decontam, near_dup, quality, secrets
+from repeatlens.llm import bpe, decontam, license_scan, near_dup, quality, secrets, url_filter
 
 _QUERIES = [
-    bpe.op1_bpe_codec,
-    secrets.op5_secret_scans, decontam.op8_benchmark_decontamination,
+    bpe.op1_bpe_codec, license_scan.op4_license_scans, secrets.op5_secret_scans,
+    url_filter.op6_url_filters, decontam.op8_benchmark_decontamination,
     quality.op9_quality_rules, near_dup.op10_minhash_near_dedup,
 ]
 _ORACLES = {
-    "op5_secret_scans": secrets.oracle(), "op9_quality_rules": quality.oracle(),
+    "op5_secret_scans": secrets.oracle(), "op6_url_filters": url_filter.oracle(),
+    "op9_quality_rules": quality.oracle(),
 }
 
 

@@ -1,12 +1,58 @@
-"""The training-data pipeline: STAGES over ``documents``, one after another."""
+"""The training-data pipeline: STAGES over ``documents``, one after another.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
+written as Parquet and reread as the next stage's ``docs``.  All but the last
+return the columns of ``documents``.  Nulls, empty and very long texts,
+repeated rows and empty tables are handled as the operators' docstrings say:
+null and empty texts are rejected by the first stage, and of repeated rows
+one stays after the second.
+"""
 
 from __future__ import annotations
 
-from repeatlens.llm import near_dup
+from repeatlens.llm import bpe, decontam, near_dup, quality, secrets
+from repeatlens.llm.common import table
+from repeatlens.session import write_shared
+
+
+def quality_rules(spark, docs, sf_dir: str):
+    """Drops the documents that the quality rules reject."""
+    return quality.drop_rejected(docs)
+
+
+def near_dedup(spark, docs, sf_dir: str):
+    """Keeps one document, that with the smallest id, of each group."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def decontamination(spark, docs, sf_dir: str):
+    """Drops the documents that hold an item of ``benchmark``."""
+    return decontam.drop_leaky(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark, docs, sf_dir: str):
+    """Masks live-looking credentials; the documents stay."""
+    return secrets.redact(docs)
+
+
+def bpe_codec(spark, docs, sf_dir: str):
+    """doc_id, lang, source, token ids and their number, and the digest of
+    the text that the ids decode to."""
+    from pyspark.sql import functions as F
+
+    path = bpe.default_tokenizer()
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
+    return bpe.decode(ids, path).select(
+        "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-#: (name, function); a function takes (spark, docs, sf_dir).
 STAGES = [
-    ("near_dedup", lambda spark, docs, sf_dir: near_dup.drop_near_duplicates(docs)),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("bpe_codec", bpe_codec),
 ]
 
 #: MinHash, edit distance and BPE are not SQL; tests/llm compares with brute force.
@@ -14,9 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
-    from repeatlens.session import write_shared
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
         docs = write_shared(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

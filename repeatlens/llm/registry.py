@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import bpe, decontam, license_scan, near_dup, quality, secrets, url_filter
+from repeatlens.llm import (bpe, decontam, license_scan, near_dup, quality, secrets, url_filter,
+                            warc)
 
 _QUERIES = [
-    bpe.op1_bpe_codec, license_scan.op4_license_scans, secrets.op5_secret_scans,
+    bpe.op1_bpe_codec, warc.op3_warc_archives, license_scan.op4_license_scans, secrets.op5_secret_scans,
     url_filter.op6_url_filters, decontam.op8_benchmark_decontamination,
     quality.op9_quality_rules, near_dup.op10_minhash_near_dedup,
 ]
 _ORACLES = {
+    "op3_warc_archives": warc.oracle(),
     "op5_secret_scans": secrets.oracle(), "op6_url_filters": url_filter.oracle(),
     "op9_quality_rules": quality.oracle(),
 }

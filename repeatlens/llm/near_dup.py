@@ -1,8 +1,8 @@
 """MinHash near-duplicates: banding, packed b-bit signatures, exact links.
 
 1. Every text becomes its set of word shingles (``hashing``), a 128-bit name
-   of that set, band keys over ``ROWS`` minima each, and the low ``BITS``
-   bits of ``MINIMA`` minima packed into longs.
+   of that set, band keys over a few minima each, and the low ``BITS`` bits
+   of some hundred minima packed into longs (``Scheme``).
 2. Texts with equal sets form a *class*; only classes go on, so a group of
    exact copies costs one row however large it is.
 3. Classes that share a band key are candidates.  Each class is first paired
@@ -24,6 +24,7 @@ errors (3e-5 at the threshold itself).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,38 +35,56 @@ from repeatlens.llm.common import flat_map, table
 from repeatlens.llm.components import connected_components
 from repeatlens.session import write_shared
 
-MINIMA = 384
 BITS = 2
-ROWS = 5
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts are compared: link from ``percent`` similarity on; bands of
+    ``rows`` minima, enough of them to find a pair at the threshold with
+    probability ``recall``; ``minima`` (a multiple of 32, at least the bands'
+    need) packed into the signature."""
+
+    percent: int = 85
+    rows: int = 5
+    recall: float = 1 - 1e-6
+    minima: int = 384
+
+    @property
+    def bands(self) -> int:
+        return hashing.tune_bands(self.percent / 100, self.recall, self.rows)
+
+
 #: Ids of 16 bytes; see ``_where_id``.
 BROADCAST_IDS = 500_000
 
-_FEATURES = [
+FEATURES = [
     T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("sig", T.ArrayType(T.LongType(), False)),
     T.StructField("keys", T.ArrayType(T.LongType(), False)),
 ]
 
 
-def features(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def describe(shingles, scheme: Scheme) -> tuple:
+    """(fp, n_shingles, sig, keys) of a set of shingle hashes."""
+    if not len(shingles):
+        return None, 0, None, None
+    m = hashing.minima(shingles, scheme.minima)
+    return (hashing.fingerprint(shingles), len(shingles), hashing.pack_low_bits(m, BITS),
+            hashing.band_keys(m, scheme.bands, scheme.rows))
+
+
+def features(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
     """id, set name, set size, packed signature and band keys of each text.
 
     Texts without words (null too) have a null name and size 0.
     """
-    bands = hashing.tune_bands(threshold, 1 - 1e-6, ROWS)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def make():
-        def one(i, text):
-            s = hashing.shingles(text)
-            if not len(s):
-                return [(i, None, 0, None, None)]
-            m = hashing.minima(s, MINIMA)
-            return [(i, hashing.fingerprint(s), len(s), hashing.pack_low_bits(m, BITS),
-                     hashing.band_keys(m, bands, ROWS))]
-        return one
+        return lambda i, text: [(i, *describe(hashing.shingles(text), scheme))]
 
-    return flat_map(rows, make, T.StructType([rows.schema["id"], *_FEATURES]))
+    return flat_map(rows, make, T.StructType([rows.schema["id"], *FEATURES]))
 
 
 def shingle_sets(df: DataFrame, text_col: str, keep_text: bool = False) -> DataFrame:
@@ -84,30 +103,29 @@ def shingle_sets(df: DataFrame, text_col: str, keep_text: bool = False) -> DataF
         [T.StructField("fp", T.BinaryType()), text if keep_text else ids]))
 
 
-def agreeing_minima(a: Column, b: Column) -> Column:
+def agreeing_minima(a: Column, b: Column, minima: int) -> Column:
     """How many of the packed low-bit values of two signatures agree."""
-    total = F.lit(MINIMA)
+    total = F.lit(minima)
     low = 0x5555555555555555
-    for i in range(MINIMA * BITS // 64):
+    for i in range(minima * BITS // 64):
         x = a[i].bitwiseXOR(b[i])
         total = total - F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(low)))
     return total
 
 
-def estimated_similarity(agreeing: Column) -> Column:
+def estimated_similarity(agreeing: Column, minima: int) -> Column:
     """Similarity from b-bit agreement: unequal minima agree by chance once in 2^b."""
     chance = 2.0 ** -BITS
-    return (agreeing / F.lit(float(MINIMA)) - chance) / (1 - chance)
-
-
-def _least_estimate(threshold: float, errors: float = 4.0) -> float:
-    p = threshold + (1 - threshold) * 2.0 ** -BITS
-    return threshold - errors * (p * (1 - p) / MINIMA) ** 0.5 / (1 - 2.0 ** -BITS)
+    return (agreeing / F.lit(float(minima)) - chance) / (1 - chance)
 
 
-def close_enough(threshold: float) -> Column:
-    return estimated_similarity(agreeing_minima(F.col("a_sig"), F.col("b_sig"))) >= F.lit(
-        _least_estimate(threshold))
+def close_enough(scheme: Scheme, errors: float = 4.0) -> Column:
+    """Is the estimate at most ``errors`` standard errors below the threshold?"""
+    threshold, chance = scheme.percent / 100, 2.0 ** -BITS
+    p = threshold + (1 - threshold) * chance
+    least = threshold - errors * (p * (1 - p) / scheme.minima) ** 0.5 / (1 - chance)
+    return estimated_similarity(agreeing_minima(
+        F.col("a_sig"), F.col("b_sig"), scheme.minima), scheme.minima) >= F.lit(least)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
@@ -136,13 +154,13 @@ def verified(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
 
 
 def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
-                 percent: int) -> DataFrame:
+                 scheme: Scheme) -> DataFrame:
     """(vid, component) for every class that is linked to another one.
 
     ``classes``: vid (long, stable), fp, rep (what ``fetch`` finds a text
     by), n_shingles, sig, keys.  component: the smallest linked vid.
     """
-    threshold = percent / 100
+    percent = scheme.percent
     members = classes.select("vid", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.min("vid").alias("hub"), F.count("*").alias("n"))
     buckets = write_shared(members.join(shared.filter("n > 1"), "key"), "buckets")
@@ -151,7 +169,7 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     def check(pairs: DataFrame) -> DataFrame:
         signed = (pairs.join(sig.withColumnsRenamed({"vid": "a", "sig": "a_sig"}), "a")
                   .join(sig.withColumnsRenamed({"vid": "b", "sig": "b_sig"}), "b"))
-        near = signed.filter(close_enough(threshold)).select("a", "b")
+        near = signed.filter(close_enough(scheme)).select("a", "b")
         return write_shared(verified(near, classes, fetch, percent), "links")
 
     def open_buckets(found: DataFrame) -> DataFrame:
@@ -194,7 +212,7 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
                       & (F.col("a_comp") < F.col("b_comp"))
                       & (100 * F.least("a_n_shingles", "b_n_shingles")
                          >= percent * F.greatest("a_n_shingles", "b_n_shingles"))
-                      & close_enough(threshold)
+                      & close_enough(scheme)
                       & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")))
             .select(F.least("a_vid", "b_vid").alias("a"), F.greatest("a_vid", "b_vid").alias("b"))
             .join(tried, ["a", "b"], "left_anti"))
@@ -202,9 +220,9 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     return connected_components(links).select(F.col("id").alias("vid"), "component")
 
 
-def _marks(docs: DataFrame, percent: int) -> DataFrame:
+def _marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc_id, fp, n_shingles, component_id and kept of (doc_id, text) rows."""
-    feats = write_shared(features(docs, "doc_id", "text", percent / 100), "minhash")
+    feats = write_shared(features(docs, "doc_id", "text", scheme), "minhash")
     classes = write_shared(
         feats.filter("fp is not null").groupBy("fp")
         .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
@@ -215,7 +233,7 @@ def _marks(docs: DataFrame, percent: int) -> DataFrame:
         reps = wanted.select("rep").distinct()
         return shingle_sets(docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi"), "text")
 
-    linked = link_classes(classes, fetch, percent)
+    linked = link_classes(classes, fetch, scheme)
     named = classes.select("vid", "fp", "rep").join(linked, "vid")
     least = named.groupBy("component").agg(F.min("rep").alias("smallest"))
     by_set = (classes.select("vid", "fp", "rep")
@@ -241,7 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     columns are ignored.  Empty input, empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _marks(rows, percent).drop("fp")
+    return _marks(rows, Scheme(percent)).drop("fp")
 
 
 def _where_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
@@ -264,7 +282,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     nothing.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = write_shared(_marks(rows, percent), "marks")
+    marks = write_shared(_marks(rows, Scheme(percent)), "marks")
     ids = marks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     out = _where_id(docs, id_col, ids.filter("not kept or n > 1"), "left_anti")
     again = ids.filter("kept and n > 1")

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import (bpe, decontam, license_scan, near_dup, quality, secrets, toxicity,
-                            url_filter, warc)
+from repeatlens.llm import (bpe, decontam, license_scan, near_dup, para_dedup, quality, secrets,
+                            toxicity, url_filter, warc)
 
 _QUERIES = [
-    bpe.op1_bpe_codec, warc.op3_warc_archives, license_scan.op4_license_scans, secrets.op5_secret_scans,
+    bpe.op1_bpe_codec, para_dedup.op2_substring_dedup, warc.op3_warc_archives,
+    license_scan.op4_license_scans, secrets.op5_secret_scans,
     url_filter.op6_url_filters, toxicity.op7_toxicity, decontam.op8_benchmark_decontamination,
     quality.op9_quality_rules, near_dup.op10_minhash_near_dedup,
 ]

@@ -16,10 +16,10 @@ has an arc follows from them (``Automaton.arc``); rows are worked out when
 first used and kept.  Written out, 49,000 states with 49,000 labels each
 would not fit an executor.
 
-Encoding walks a pre-split word once.  Each of its prefixes has one correct
-tokenization, so one token is kept per position: the one that ends there and
-that the state of the token before it has an arc for.  Decoding emits the
-labels of the arcs.
+Encoding walks a pre-split word by the table, longest token first.  Each
+prefix of a word has one correct tokenization, so each position is entered
+with one token at most, and a walk that had to turn back costs no more than
+one look at each position.  Decoding emits the labels of the arcs.
 
 Normalization and word splitting are what ``word_bpe`` files ask for (NFC,
 lower case, white space dropped).
@@ -77,7 +77,8 @@ class Automaton:
         self.left: list[int] = [-1] * size
         self.copied: list[int] = [-1] * size  # the state it was copied from
         self.cut: dict[tuple[int, int], int] = {}  # (state, arc) -> rank of its loss
-        self.known: dict[tuple[int, int], bool] = {}
+        #: rows of the transition table that were looked up: state -> arc -> is there
+        self.rows: dict[int, dict[int, bool]] = {}
         made: set[int] = set()
         parts = {vocab[x] for pair in merges for x in pair}
         results = {vocab[a + b] for a, b in merges}
@@ -93,9 +94,11 @@ class Automaton:
                 ready.add(w)
             else:
                 raise ValueError(f"merge {rank} ({a!r}, {b!r}) can never apply")
-        #: all beginnings of tokens, as they stand in words
-        self.heads = {t[:i] for t in (t.removesuffix(suffix) for t in vocab)
+        #: all beginnings of tokens, as they stand in words; the token's id if
+        #: it may stand before the end of a word, else -1
+        self.heads = {t[:i]: -1 for t in (t.removesuffix(suffix) for t in vocab)
                       for i in range(1, len(t) + 1)}
+        self.heads.update((t, i) for t, i in vocab.items() if not suffix or not t.endswith(suffix))
 
     def _state_at(self, t: int, rank: int) -> int:
         """What the state of token t was a copy of just after gadget ``rank``."""
@@ -124,39 +127,59 @@ class Automaton:
                 return False  # u | u u: the first two merge
             x = u  # the arc uv was added where u could be read
 
-    def follows(self, t: int, x: int) -> bool:
-        key = (t, x)
-        ok = self.known.get(key)
-        if ok is None:
-            if len(self.known) > 4_000_000:
-                self.known.clear()
-            ok = self.known[key] = self.arc(t, x, len(self.born) + 1)
-        return ok
+    def _options(self, word: str, start: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens that the word has at ``start``, by length."""
+        heads, out, n = self.heads, [], len(word)
+        for end in range(start + 1, n):
+            x = heads.get(word[start:end])
+            if x is None:
+                return out
+            if x >= 0:
+                out.append((end, x))
+        x = self.ids.get(word[start:] + self.suffix)
+        if x is not None:
+            out.append((n, x))
+        return out
 
     def walk(self, word: str) -> list[int]:
-        """Token ids of one pre-split word, given in byte symbols."""
+        """Token ids of one pre-split word, given in byte symbols.
+
+        Takes the longest token that the state has an arc for and goes back
+        where none is left.  At most one token can end a path to a position,
+        so a position that led nowhere is never entered again.
+        """
         n = len(word)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        ids, heads, follows, suffix = self.ids, self.heads, self.follows, self.suffix
-        for start in range(n):
-            before = last[start]
-            if start and before < 0:
-                continue  # no tokenization ends here: only for a symbol without id
-            for end in range(start + 1, n + 1):
-                part = word[start:end]
-                if part not in heads:
-                    break
-                if last[end] < 0:  # starts ascend, so the longest token comes first
-                    x = ids.get(part + suffix if end == n else part)
-                    if x is not None and (start == 0 or follows(before, x)):
-                        last[end], back[end] = x, start
-        if n and last[n] < 0:
-            raise ValueError(f"{word!r} has a symbol that the vocabulary lacks")
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
+        if not n:
+            return []
+        path: list[int] = []
+        ends, options, dead = [0], [self._options(word, 0)], set()
+        row: dict[int, bool] | None = None
+        while True:
+            left = options[-1]
+            while left:
+                end, x = left.pop()
+                if end in dead:
+                    continue
+                if row is not None:
+                    ok = row.get(x)
+                    if ok is None:
+                        ok = row[x] = self.arc(path[-1], x, len(self.born) + 1)
+                    if not ok:
+                        continue
+                path.append(x)
+                if end == n:
+                    return path
+                ends.append(end)
+                options.append(self._options(word, end))
+                row = self.rows.setdefault(x, {})
+                break
+            else:
+                dead.add(ends.pop())
+                options.pop()
+                if not ends:
+                    raise ValueError(f"{word!r} has a symbol that the vocabulary lacks")
+                path.pop()
+                row = self.rows[path[-1]] if path else None
 
 
 def _ranges(prop: str) -> str:
@@ -211,7 +234,9 @@ class Codec:
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.automaton.walk("".join([BYTES[b] for b in word.encode()])))
+        plain = word.isascii() and word.isalnum()  # these bytes stand for themselves
+        ids = tuple(self.automaton.walk(
+            word if plain else "".join([BYTES[b] for b in word.encode()])))
         if len(word) <= CACHE_SYMBOLS:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()

@@ -12,7 +12,7 @@
 4. The remaining pairs are decided on the full sets, in integers.
 5. A second round takes the best linked member of each bucket as its hub.
    Pairs of one bucket that are still in different components are then
-   compared too -- all of them, by the packed signatures inside the join --
+   compared too -- all of them, by finer signatures inside the join --
    so no link that could merge two components is lost.  Pairs within one
    component need no look: they cannot change the result.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +44,14 @@ class Scheme:
     """How texts are compared: link from ``percent`` similarity on; bands of
     ``rows`` minima, enough of them to find a pair at the threshold with
     probability ``recall``; ``minima`` (a multiple of 32, at least the bands'
-    need) packed into the signature."""
+    need) packed into every text's signature, ``fine`` ones into the
+    signatures of the few texts that need a closer look."""
 
     percent: int = 85
     rows: int = 5
     recall: float = 1 - 1e-6
-    minima: int = 384
+    minima: int = 128
+    fine: int = 1024
 
     @property
     def bands(self) -> int:
@@ -119,13 +122,37 @@ def estimated_similarity(agreeing: Column, minima: int) -> Column:
     return (agreeing / F.lit(float(minima)) - chance) / (1 - chance)
 
 
-def close_enough(scheme: Scheme, errors: float = 4.0) -> Column:
-    """Is the estimate at most ``errors`` standard errors below the threshold?"""
-    threshold, chance = scheme.percent / 100, 2.0 ** -BITS
+def _least(percent: int, minima: int, errors: float = 4.0) -> float:
+    """The estimate that lies ``errors`` standard errors below the threshold."""
+    threshold, chance = percent / 100, 2.0 ** -BITS
     p = threshold + (1 - threshold) * chance
-    least = threshold - errors * (p * (1 - p) / scheme.minima) ** 0.5 / (1 - chance)
+    return threshold - errors * (p * (1 - p) / minima) ** 0.5 / (1 - chance)
+
+
+def close_enough(percent: int, minima: int) -> Column:
     return estimated_similarity(agreeing_minima(
-        F.col("a_sig"), F.col("b_sig"), scheme.minima), scheme.minima) >= F.lit(least)
+        F.col("a_sig"), F.col("b_sig"), minima), minima) >= F.lit(_least(percent, minima))
+
+
+def closer_look(percent: int, minima: int) -> Column:
+    """``close_enough`` on long signatures: as a loop, since an expression
+    of so many terms would be too long to be compiled."""
+    low = F.lit(0x5555555555555555)
+    apart = F.aggregate(
+        F.zip_with("a_fine", "b_fine", lambda a, b: a.bitwiseXOR(b)), F.lit(0),
+        lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(low)))
+    return estimated_similarity(F.lit(minima) - apart, minima) >= F.lit(_least(percent, minima))
+
+
+def fine_signatures(sets: DataFrame, minima: int) -> DataFrame:
+    """(fp, sig) of (fp, shingles), with ``minima`` minima."""
+    def make():
+        def one(fp, shingles):
+            s = np.array(shingles, np.int64).view(np.uint64)
+            return [(fp, hashing.pack_low_bits(hashing.minima(s, minima), BITS))]
+        return one
+
+    return flat_map(sets.select("fp", "shingles"), make, T.StructType([FEATURES[0], FEATURES[2]]))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
@@ -169,7 +196,7 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     def check(pairs: DataFrame) -> DataFrame:
         signed = (pairs.join(sig.withColumnsRenamed({"vid": "a", "sig": "a_sig"}), "a")
                   .join(sig.withColumnsRenamed({"vid": "b", "sig": "b_sig"}), "b"))
-        near = signed.filter(close_enough(scheme)).select("a", "b")
+        near = signed.filter(close_enough(percent, scheme.minima)).select("a", "b")
         return write_shared(verified(near, classes, fetch, percent), "links")
 
     def open_buckets(found: DataFrame) -> DataFrame:
@@ -203,17 +230,23 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     tried = tried.union(spokes)
 
     # all other pairs of a bucket that could join two components, each at
-    # the smallest key that both have
-    side = classes.select("vid", "n_shingles", "sig", "keys")
-    still = open_buckets(connected_components(links)).join(side, "vid")
+    # the smallest key that both have; by signatures fine enough to leave few
+    still = open_buckets(connected_components(links))
+    side = classes.join(still.select("vid").distinct(), "vid", "left_semi").select(
+        "vid", "fp", "rep", "n_shingles", "sig", "keys")
+    fine = (fine_signatures(fetch(side), scheme.fine).dropDuplicates(["fp"])
+            .withColumnRenamed("sig", "fine"))
+    side = write_shared(side.join(fine, "fp").drop("fp", "rep"), "fine")
+    still = still.join(side, "vid")
     left, right = (still.select(*(F.col(c).alias(f"{x}_{c}") for c in still.columns))
                    for x in "ab")
     rest = (left.join(right, (F.col("a_key") == F.col("b_key"))
                       & (F.col("a_comp") < F.col("b_comp"))
                       & (100 * F.least("a_n_shingles", "b_n_shingles")
                          >= percent * F.greatest("a_n_shingles", "b_n_shingles"))
-                      & close_enough(scheme)
-                      & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")))
+                      & close_enough(percent, scheme.minima)
+                      & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key"))
+                      & closer_look(percent, scheme.fine))
             .select(F.least("a_vid", "b_vid").alias("a"), F.greatest("a_vid", "b_vid").alias("b"))
             .join(tried, ["a", "b"], "left_anti"))
     links = links.union(write_shared(verified(rest, classes, fetch, percent), "links"))

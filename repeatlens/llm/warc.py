@@ -29,6 +29,8 @@ from repeatlens.llm.common import flat_map, table
 from repeatlens.session import shared_path, write_shared
 
 RECORDS_PER_FILE = 2000
+#: Archives are written once and read once here; the fastest level suits.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Shorter payloads are always stored.
 REVISIT_BYTES = 1000
 #: Up to this many payloads that recur are broadcast (some 200 bytes each).
@@ -81,7 +83,7 @@ def write_arc(pages: DataFrame, path: str, records: int = RECORDS_PER_FILE) -> N
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     rows = pages.select("url", "date", "html").mapInArrow(run, "value string")
-    rows.write.option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+    rows.write.option("maxRecordsPerFile", records).options(**GZIP).text(path)
 
 
 class _Stream:
@@ -230,7 +232,7 @@ def to_warc(records: DataFrame, order: Column, least: int = REVISIT_BYTES) -> Da
 def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
     """Writes (value) rows as gzip WARC files; two line ends close a record."""
     (records.select(F.col("value").cast("string")).write
-     .option("maxRecordsPerFile", per_file).option("compression", "gzip")
+     .option("maxRecordsPerFile", per_file).options(**GZIP)
      .option("lineSep", "\r\n\r\n").text(path))
 
 

@@ -31,9 +31,12 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +44,14 @@ from pyspark.sql import types as T
 
 from repeatlens.llm.common import append_column, table
 
-#: Words of up to so many symbols, and so many of them, are remembered by a
-#: task; longer and further ones are walked again.
+#: Words of up to so many symbols are remembered, at least so many of them and
+#: at most twice as many; others are walked again.
 CACHE_SYMBOLS = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 #: Characters whose class and lower case are the same in every Unicode
 #: version from 13 on; texts with others go through the library's tables.
-_PLAIN = regex.compile(r"[\x00-ͷ΄-ԠḀ-ỿ‐-‧‰-⁞"
+_PLAIN = re.compile(r"[\x00-ͷ΄-ԠḀ-ỿ‐-‧‰-⁞"
                        r"₠-₿ぁ-ゖァ-ヺ一-龥가-힣]*")
 
 
@@ -218,7 +221,10 @@ class Codec:
         self.marks = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.spec = spec
         self.library = None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.table = None
+        #: words seen lately and before that, with their ids as packed int32
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Normalized words."""
@@ -233,35 +239,50 @@ class Codec:
         return [bytes(symbol[c] for c in w).decode()
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        plain = word.isascii() and word.isalnum()  # these bytes stand for themselves
-        ids = tuple(self.automaton.walk(
-            word if plain else "".join([BYTES[b] for b in word.encode()])))
+    def _word(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            plain = word.isascii() and word.isalnum()  # these bytes stand for themselves
+            ids = array("i", self.automaton.walk(
+                word if plain else "".join([BYTES[b] for b in word.encode()]))).tobytes()
         if len(word) <= CACHE_SYMBOLS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = ids
+            if len(self.new) >= CACHE_WORDS:
+                self.old, self.new = self.new, {}
+            self.new[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text (null: none)."""
-        known, ids = self.cache.get, []
-        at = 0
+        out, at = [], 0
         text = text or ""
         for mark in chain(self.marks.finditer(text), [None]):
             part = text[at:mark.start() if mark else len(text)]
-            ids.extend(chain.from_iterable(
-                [known(w) or self._word(w) for w in self.split(part)]))
+            known = self.new.get
+            out.extend([known(w) or self._word(w) for w in self.split(part)])
             if mark:
-                ids.append(self.special[mark.group()])
+                out.append(array("i", [self.special[mark.group()]]).tobytes())
                 at = mark.end()
-        return np.array(ids, np.int32)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
         """Arc labels joined by blanks; ids without a label are skipped."""
         label = self.labels.get
         return " ".join([s for s in map(label, ids) if s is not None])
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of a whole Arrow array (null: '')."""
+        if self.table is None:
+            self.table = pa.array([self.labels.get(i) for i in range(max(self.labels) + 1)])
+        ids = lists.flatten()
+        if len(ids):
+            edge = pc.min_max(ids)
+            if edge["min"].as_py() < 0 or edge["max"].as_py() >= len(self.table):
+                return pa.array([self.decode(x or ()) for x in lists.to_pylist()], pa.string())
+        counts = pc.fill_null(pc.list_value_length(lists), 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        words = pa.ListArray.from_arrays(offsets, self.table.take(ids))
+        return pc.binary_join(words, " ")
+
 
 _CODECS: dict[str, Codec] = {}
 
@@ -291,7 +312,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     def make():
         codec = _codec(spec.value)
-        return lambda v: codec.encode(v.as_py())
+        return lambda texts: [codec.encode(v.as_py()) for v in texts]
 
     field = T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))
     return append_column(docs, text_col, make, field)
@@ -304,7 +325,7 @@ def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "token_ids",
 
     def make():
         codec = _codec(spec.value)
-        return lambda v: codec.decode(v.values.to_pylist() if v.is_valid else ())
+        return codec.decode_lists
 
     return append_column(docs, ids_col, make, T.StructField(text_col, T.StringType()))
 

@@ -75,8 +75,9 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def append_column(df: DataFrame, source: str, make: Callable[[], Callable], field: T.StructField,
                   rows: int = 128) -> DataFrame:
-    """``df`` with a column computed from ``source`` value by value, as in
-    ``flat_map``; the other columns pass through as Arrow arrays."""
+    """``df`` with a column computed from ``source``; the other columns pass
+    through as Arrow arrays.  ``make()`` runs once per task and returns a
+    function from an Arrow array of at most ``rows`` values to the new ones."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(field.dataType)
@@ -88,7 +89,8 @@ def append_column(df: DataFrame, source: str, make: Callable[[], Callable], fiel
             names = [*batch.schema.names, field.name]
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
-                new = pa.array([fn(v) for v in part.column(at)], kind)
+                new = fn(part.column(at))
+                new = new if isinstance(new, pa.Array) else pa.array(new, kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, new], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, field]))

@@ -88,11 +88,12 @@ def test_sample_bounds(spark):
 
 def test_odd_rows_and_empty_tables(spark):
     rows, labels = corpus(100)
-    d = with_clashes(docs(spark, rows + odd_rows()), "toxic", "h", "n", "score")
-    lab = spark.createDataFrame(labels + [(None, 1, 1), (0, 1, None), (6, 0, 1), (6, 0, 0),
+    odd = [(None if r[0] is None else 1000 + r[0], *r[1:]) for r in odd_rows()]
+    d = with_clashes(docs(spark, rows + odd), "toxic", "h", "n", "score")
+    lab = spark.createDataFrame(labels + [(None, 1, 1), (0, 1, None), (1006, 0, 1), (1006, 0, 0),
                                           (10**9, 1, 1)], LABELS)
     out = X.score(d, X.train(d, lab)).collect()
-    assert len(out) == 100 + len(odd_rows())
+    assert len(out) == 100 + len(odd)
     text = {r.doc_id: r.text for r in d.collect()}
     assert all(r.score == 0 for r in out if not (text[r.doc_id] or "").strip())
     empty = docs(spark, [])

@@ -47,7 +47,9 @@ from repeatlens.llm.common import append_column, table
 #: Words of up to so many symbols are remembered, at least so many of them and
 #: at most twice as many; others are walked again.
 CACHE_SYMBOLS = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+#: Worked-out cells of the transition table that a task keeps.
+CACHE_ARCS = 300_000
 
 #: Characters whose class and lower case are the same in every Unicode
 #: version from 13 on; texts with others go through the library's tables.
@@ -79,9 +81,10 @@ class Automaton:
         self.born = [-1] * size          # rank of the gadget that made a state
         self.left: list[int] = [-1] * size
         self.copied: list[int] = [-1] * size  # the state it was copied from
-        self.cut: dict[tuple[int, int], int] = {}  # (state, arc) -> rank of its loss
+        self.cut: list[dict[int, int] | None] = [None] * size  # state -> {lost arc: rank}
         #: rows of the transition table that were looked up: state -> arc -> is there
         self.rows: dict[int, dict[int, bool]] = {}
+        self.filled = 0
         made: set[int] = set()
         parts = {vocab[x] for pair in merges for x in pair}
         results = {vocab[a + b] for a, b in merges}
@@ -91,57 +94,64 @@ class Automaton:
             if w in made or not {u, v} <= ready:
                 raise ValueError(f"merge {rank} ({a!r}, {b!r}) is out of order")
             if self.arc(u, v, rank):  # else some earlier merge always takes a part
-                self.cut[u, v] = rank
+                self.cut[u] = (self.cut[u] or {}) | {v: rank}
                 self.born[w], self.left[w], self.copied[w] = rank, u, v
                 made.add(w)
                 ready.add(w)
             else:
                 raise ValueError(f"merge {rank} ({a!r}, {b!r}) can never apply")
-        #: all beginnings of tokens, as they stand in words; the token's id if
-        #: it may stand before the end of a word, else -1
-        self.heads = {t[:i]: -1 for t in (t.removesuffix(suffix) for t in vocab)
-                      for i in range(1, len(t) + 1)}
-        self.heads.update((t, i) for t, i in vocab.items() if not suffix or not t.endswith(suffix))
-
-    def _state_at(self, t: int, rank: int) -> int:
-        """What the state of token t was a copy of just after gadget ``rank``."""
-        while self.born[t] > rank:
+        #: all tokens letter by letter, with the ids (at "") of those that may
+        #: stand before the end of a word
+        self.trie: dict = {}
+        for t, i in vocab.items():
+            node = self.trie
+            for c in t.removesuffix(suffix):
+                node = node.setdefault(c, {})
+            if not suffix or not t.endswith(suffix):
+                node[""] = i
+
+    def _ancestors(self, t: int) -> list[tuple[int, int]]:
+        """(state, since which rank) of the state of token t and of what it is
+        a copy of, down to a symbol's."""
+        out = [(t, self.born[t])]
+        while out[-1][1] >= 0:
             t = self.copied[t]
-        return t
+            out.append((t, self.born[t]))
+        return out
 
     def arc(self, t: int, x: int, rank: int) -> bool:
         """Had the state of token t an arc x before gadget ``rank``?"""
+        states, cut, born = self._ancestors(t), self.cut, self.born
         while True:
-            state, until = t, rank
-            while True:  # an arc lost by the state or by what it is a copy of
-                if self.born[state] < until:
-                    lost = self.cut.get((state, x))
-                    if lost is not None and self.born[state] < lost < until:
+            until = rank
+            for state, since in states:  # an arc lost by the state or by what it is a copy of
+                if since < until:
+                    lost = cut[state]
+                    if lost is not None and lost.get(x, until) < until:
                         return False
-                    until = self.born[state]
-                    if until < 0:
-                        break
-                state = self.copied[state]
-            rank = self.born[x]
+                    until = since
+            rank = born[x]
             if rank < 0:
                 return True  # a symbol: all states began with it
             u = self.left[x]
-            if u == self.copied[x] and self._state_at(t, rank) == u:
+            if u == self.copied[x] and next(s for s, since in states if since <= rank) == u:
                 return False  # u | u u: the first two merge
             x = u  # the arc uv was added where u could be read
 
     def _options(self, word: str, start: int) -> list[tuple[int, int]]:
         """(end, token) of the tokens that the word has at ``start``, by length."""
-        heads, out, n = self.heads, [], len(word)
-        for end in range(start + 1, n):
-            x = heads.get(word[start:end])
-            if x is None:
+        node, out, end = self.trie, [], start
+        for c in word[start:-1]:
+            node = node.get(c)
+            if node is None:
                 return out
-            if x >= 0:
+            end += 1
+            x = node.get("")
+            if x is not None:
                 out.append((end, x))
         x = self.ids.get(word[start:] + self.suffix)
         if x is not None:
-            out.append((n, x))
+            out.append((len(word), x))
         return out
 
     def walk(self, word: str) -> list[int]:
@@ -167,6 +177,10 @@ class Automaton:
                     ok = row.get(x)
                     if ok is None:
                         ok = row[x] = self.arc(path[-1], x, len(self.born) + 1)
+                        self.filled += 1
+                        if self.filled > CACHE_ARCS:
+                            self.rows.clear()
+                            self.filled = 0
                     if not ok:
                         continue
                 path.append(x)
@@ -182,7 +196,7 @@ class Automaton:
                 if not ends:
                     raise ValueError(f"{word!r} has a symbol that the vocabulary lacks")
                 path.pop()
-                row = self.rows[path[-1]] if path else None
+                row = self.rows.setdefault(path[-1], {}) if path else None
 
 
 def _ranges(prop: str) -> str:
@@ -222,9 +236,6 @@ class Codec:
         self.spec = spec
         self.library = None
         self.table = None
-        #: words seen lately and before that, with their ids as packed int32
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Normalized words."""
@@ -239,11 +250,40 @@ class Codec:
         return [bytes(symbol[c] for c in w).decode()
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def decode(self, ids) -> str:
+        """Arc labels joined by blanks; ids without a label are skipped."""
+        label = self.labels.get
+        return " ".join([s for s in map(label, ids) if s is not None])
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of a whole Arrow array (null: '')."""
+        if self.table is None:
+            self.table = pa.array([self.labels.get(i) for i in range(max(self.labels) + 1)])
+        ids = lists.flatten()
+        if len(ids):
+            edge = pc.min_max(ids)
+            if edge["min"].as_py() < 0 or edge["max"].as_py() >= len(self.table):
+                return pa.array([self.decode(x or ()) for x in lists.to_pylist()], pa.string())
+        counts = pc.fill_null(pc.list_value_length(lists), 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        words = pa.ListArray.from_arrays(offsets, self.table.take(ids))
+        return pc.binary_join(words, " ")
+
+
+class Encoder:
+    """A codec with one task's memory of words, given up with the task."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        #: words seen lately and before that, with their ids as packed int32
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
     def _word(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             plain = word.isascii() and word.isalnum()  # these bytes stand for themselves
-            ids = array("i", self.automaton.walk(
+            ids = array("i", self.codec.automaton.walk(
                 word if plain else "".join([BYTES[b] for b in word.encode()]))).tobytes()
         if len(word) <= CACHE_SYMBOLS:
             if len(self.new) >= CACHE_WORDS:
@@ -255,34 +295,15 @@ class Codec:
         """Token ids of a whole text (null: none)."""
         out, at = [], 0
         text = text or ""
-        for mark in chain(self.marks.finditer(text), [None]):
+        for mark in chain(self.codec.marks.finditer(text), [None]):
             part = text[at:mark.start() if mark else len(text)]
             known = self.new.get
-            out.extend([known(w) or self._word(w) for w in self.split(part)])
+            out.extend([known(w) or self._word(w) for w in self.codec.split(part)])
             if mark:
-                out.append(array("i", [self.special[mark.group()]]).tobytes())
+                out.append(array("i", [self.codec.special[mark.group()]]).tobytes())
                 at = mark.end()
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids) -> str:
-        """Arc labels joined by blanks; ids without a label are skipped."""
-        label = self.labels.get
-        return " ".join([s for s in map(label, ids) if s is not None])
-
-    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
-        """``decode`` of a whole Arrow array (null: '')."""
-        if self.table is None:
-            self.table = pa.array([self.labels.get(i) for i in range(max(self.labels) + 1)])
-        ids = lists.flatten()
-        if len(ids):
-            edge = pc.min_max(ids)
-            if edge["min"].as_py() < 0 or edge["max"].as_py() >= len(self.table):
-                return pa.array([self.decode(x or ()) for x in lists.to_pylist()], pa.string())
-        counts = pc.fill_null(pc.list_value_length(lists), 0)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        words = pa.ListArray.from_arrays(offsets, self.table.take(ids))
-        return pc.binary_join(words, " ")
-
 
 _CODECS: dict[str, Codec] = {}
 
@@ -311,8 +332,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     spec = _shared(docs.sparkSession, tokenizer_path)
 
     def make():
-        codec = _codec(spec.value)
-        return lambda texts: [codec.encode(v.as_py()) for v in texts]
+        encoder = Encoder(_codec(spec.value))
+        return lambda texts: [encoder.encode(v.as_py()) for v in texts]
 
     field = T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))
     return append_column(docs, text_col, make, field)

@@ -45,10 +45,10 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert left == 0
         else:
             with open(bpe.default_tokenizer(), encoding="utf-8") as f:
-                codec = bpe.Codec(f.read())
+                encoder = bpe.Encoder(bpe.Codec(f.read()))
             assert set(after) == set(before)
             for i, r in after.items():
-                assert r.token_ids == codec.encode(before[i].text).tolist() and r.n_tokens == len(
+                assert r.token_ids == encoder.encode(before[i].text).tolist() and r.n_tokens == len(
                     r.token_ids)
 
 

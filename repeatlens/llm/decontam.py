@@ -179,9 +179,10 @@ def drop_leaky(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
         def run(batches, items=items):
             matcher = Matcher(items.value, rate)
             for batch in batches:
-                texts = batch.column(at)
-                clean = [next(matcher.find(t.as_py()), None) is None for t in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                for i in range(0, batch.num_rows, 128):
+                    part = batch.slice(i, 128)
+                    clean = [next(matcher.find(t.as_py()), None) is None for t in part.column(at)]
+                    yield part.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -42,16 +42,22 @@ def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:, None], b[:, None]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "replace").lower().split()
+def split(text: str) -> list[bytes]:
+    """The words of a text."""
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def _hash_words(words: list[bytes]) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     letters, powers = _tables()
     lens = np.fromiter(map(len, words), np.int64, len(words))
+    digests = None
     long = np.flatnonzero(lens > _MAX_TABLE)
     if len(long):
         digests = [int.from_bytes(hashlib.blake2b(words[i], digest_size=8).digest(), "big")
                    for i in long]
+        words = list(words)
         for i in long:
             words[i] = b"\0"
             lens[i] = 1
@@ -60,54 +66,87 @@ def word_hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(b"".join(words), np.uint8)
     at = np.arange(len(raw)) - np.repeat(starts, lens)
     h = _mix(np.add.reduceat(letters[raw] * powers[at], starts) + lens.astype(np.uint64))
-    if len(long):
+    if digests:
         h[long] = digests
     return h
 
 
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """Distinct shingle hashes in ascending order; empty for no words."""
-    h = word_hashes(text or "")
-    if not len(h):
-        return h
-    width = min(n, len(h))
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, in order."""
     last = len(h) - width + 1
     acc = np.full(last, width, np.uint64)
     for i in range(width):
         acc = acc * _U(0xD6E8FEB86659FD93) + h[i:i + last]
         acc ^= acc >> _U(32)
-    return np.unique(_mix(acc))
+    return _mix(acc)
+
+
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
+    """Distinct shingle hashes in ascending order; empty for no words."""
+    h = _hash_words(split(text or ""))
+    return np.unique(_windows(h, min(n, len(h)))) if len(h) else h
+
+
+def shingles_of(lines: list[list[bytes]], n: int = 5) -> list[np.ndarray]:
+    """``shingles`` of several lines of words at once."""
+    if not lines:
+        return []
+    h = _hash_words([w for line in lines for w in line])
+    all_windows = _windows(h, n) if len(h) >= n else h
+    out, at = [], 0
+    for line in lines:
+        if len(line) >= n:
+            out.append(np.unique(all_windows[at:at + len(line) - n + 1]))
+        else:
+            out.append(_windows(h[at:at + len(line)], len(line)) if line else h[:0])
+        at += len(line)
+    return out
 
 
 def minima(hashes: np.ndarray, k: int) -> np.ndarray:
     """k MinHash minima of a non-empty set of shingle hashes."""
+    return minima_of([hashes], k)[0]
+
+
+def minima_of(sets: list[np.ndarray], k: int, block: int = 1024) -> np.ndarray:
+    """k minima of each of several non-empty sets, one row per set."""
     a, b = _permutations(k)
-    best = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        x = hashes[None, i:i + 1024] * a
+    best = np.full((len(sets), k), np.iinfo(np.uint64).max, np.uint64)
+    if not sets:
+        return best
+    flat = np.concatenate(sets)
+    ends = np.cumsum([len(s) for s in sets])
+    for i in range(0, len(flat), block):
+        x = flat[None, i:i + block] * a
         x += b
-        np.minimum(best, x.min(axis=1), out=best)
+        first, last = np.searchsorted(ends, (i, min(i + block, len(flat)) - 1), "right")
+        cuts = np.maximum(ends[first:last + 1] - np.array(
+            [len(s) for s in sets[first:last + 1]]), i) - i
+        rows = best[first:last + 1]
+        np.minimum(rows, np.minimum.reduceat(x, cuts, axis=1).T, out=rows)
     return best
 
 
 def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key for each band of ``rows`` minima, the band's number in it."""
-    part = _mix(mins[:bands * rows].reshape(bands, rows))
-    acc = np.arange(1, bands + 1, dtype=np.uint64)
+    """One 64-bit key for each band of ``rows`` minima, the band's number in
+    it; the minima are the last axis."""
+    part = _mix(mins[..., :bands * rows].reshape(*mins.shape[:-1], bands, rows))
+    acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), part.shape[:-1])
     for i in range(rows):
-        acc = _mix(acc * _U(0x9FB21C651E98DF25) + part[:, i])
+        acc = _mix(acc * _U(0x9FB21C651E98DF25) + part[..., i])
     return acc.view(np.int64)
 
 
 def pack_low_bits(mins: np.ndarray, bits: int) -> np.ndarray:
-    """The low ``bits`` bits of the minima, packed into int64 words.
+    """The low ``bits`` bits of the minima (last axis), packed into int64 words.
 
     The minima are mixed first: a minimum's own low bits are uniform, but
     mixing also makes them independent of the permutation's multiplier.
     """
-    low = (_mix(mins) & _U((1 << bits) - 1)).reshape(-1, 64 // bits)
+    low = (_mix(mins) & _U((1 << bits) - 1)).reshape(
+        *mins.shape[:-1], mins.shape[-1] * bits // 64, 64 // bits)
     shift = np.arange(64 // bits, dtype=np.uint64) * _U(bits)
-    return np.bitwise_or.reduce(low << shift, axis=1).view(np.int64)
+    return np.bitwise_or.reduce(low << shift, axis=-1).view(np.int64)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:

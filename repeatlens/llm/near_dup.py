@@ -6,12 +6,11 @@
 2. Texts with equal sets form a *class*; only classes go on, so a group of
    exact copies costs one row however large it is.
 3. Classes that share a band key are candidates.  Each class is first paired
-   with its bucket's hub only; the packed signatures give a similarity
+   with its bucket's hub only, the member that meets most others; the packed signatures give a similarity
    corrected for chance collisions, and pairs that are clearly too far apart
    (four standard errors below the threshold) go no further.
 4. The remaining pairs are decided on the full sets, in integers.
-5. A second round takes the best linked member of each bucket as its hub.
-   Pairs of one bucket that are still in different components are then
+5. Pairs of one bucket that are still in different components are then
    compared too -- all of them, by finer signatures inside the join --
    so no link that could merge two components is lost.  Pairs within one
    component need no look: they cannot change the result.
@@ -58,7 +57,7 @@ class Scheme:
         return hashing.tune_bands(self.percent / 100, self.recall, self.rows)
 
 
-#: Ids of 16 bytes; see ``_where_id``.
+#: Ids of 16 bytes; see ``where_id``.
 BROADCAST_IDS = 500_000
 
 FEATURES = [
@@ -68,13 +67,14 @@ FEATURES = [
 ]
 
 
-def describe(shingles, scheme: Scheme) -> tuple:
-    """(fp, n_shingles, sig, keys) of a set of shingle hashes."""
-    if not len(shingles):
-        return None, 0, None, None
-    m = hashing.minima(shingles, scheme.minima)
-    return (hashing.fingerprint(shingles), len(shingles), hashing.pack_low_bits(m, BITS),
-            hashing.band_keys(m, scheme.bands, scheme.rows))
+def describe(sets: list, scheme: Scheme) -> list[tuple]:
+    """(fp, n_shingles, sig, keys) of each set of shingle hashes; an empty
+    set has no name, signature or keys."""
+    m = hashing.minima_of([s for s in sets if len(s)], scheme.minima)
+    sigs = iter(hashing.pack_low_bits(m, BITS))
+    keys = iter(hashing.band_keys(m, scheme.bands, scheme.rows))
+    return [(hashing.fingerprint(s), len(s), next(sigs), next(keys)) if len(s)
+            else (None, 0, None, None) for s in sets]
 
 
 def features(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
@@ -85,7 +85,7 @@ def features(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataF
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def make():
-        return lambda i, text: [(i, *describe(hashing.shingles(text), scheme))]
+        return lambda i, text: [(i, *describe([hashing.shingles(text)], scheme)[0])]
 
     return flat_map(rows, make, T.StructType([rows.schema["id"], *FEATURES]))
 
@@ -189,16 +189,10 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     """
     percent = scheme.percent
     members = classes.select("vid", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("vid").alias("hub"), F.count("*").alias("n"))
-    buckets = write_shared(members.join(shared.filter("n > 1"), "key"), "buckets")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = write_shared(members.join(shared, "key"), "buckets")
     sig = classes.select("vid", "sig")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        signed = (pairs.join(sig.withColumnsRenamed({"vid": "a", "sig": "a_sig"}), "a")
-                  .join(sig.withColumnsRenamed({"vid": "b", "sig": "b_sig"}), "b"))
-        near = signed.filter(close_enough(percent, scheme.minima)).select("a", "b")
-        return write_shared(verified(near, classes, fetch, percent), "links")
-
     def open_buckets(found: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
         placed = (buckets.filter("n > 2").join(
@@ -208,26 +202,19 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
                  .filter("lo < hi").select("key"))
         return write_shared(placed.join(apart, "key"), "open")
 
+    # hubs: the members that meet most others, in all their buckets
+    met = buckets.groupBy("vid").agg(F.sum("n").alias("met"))
+    hubs = (buckets.join(met, "vid").groupBy("key")
+            .agg(F.max(F.struct("met", "vid")).alias("hub"))
+            .select("key", F.col("hub.vid").alias("hub")))
     tried = write_shared(
-        buckets.filter("vid <> hub").select(F.col("hub").alias("a"), F.col("vid").alias("b"))
+        buckets.join(hubs, "key").filter("vid <> hub")
+        .select(F.least("hub", "vid").alias("a"), F.greatest("hub", "vid").alias("b"))
         .distinct(), "tried")
-    links = check(tried)
-
-    # the best linked member of each bucket as its hub: the text that a group
-    # of near copies was made from, if it is there
-    still = open_buckets(connected_components(links))
-    degree = (links.select(F.col("a").alias("vid")).union(links.select("b"))
-              .groupBy("vid").agg(F.count("*").alias("degree")))
-    ranked = still.join(degree, "vid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    best = ranked.groupBy("key").agg(
-        F.max(F.struct("degree", "vid", "comp")).alias("best")).select(
-        "key", F.col("best.vid").alias("hub"), F.col("best.comp").alias("hub_comp"))
-    spokes = (still.join(best, "key").filter("comp <> hub_comp")
-              .select(F.least("hub", "vid").alias("a"), F.greatest("hub", "vid").alias("b"))
-              .distinct().join(tried, ["a", "b"], "left_anti"))
-    spokes = write_shared(spokes, "tried")
-    links = links.union(check(spokes))
-    tried = tried.union(spokes)
+    signed = (tried.join(sig.withColumnsRenamed({"vid": "a", "sig": "a_sig"}), "a")
+              .join(sig.withColumnsRenamed({"vid": "b", "sig": "b_sig"}), "b"))
+    near = signed.filter(close_enough(percent, scheme.minima)).select("a", "b")
+    links = write_shared(verified(near, classes, fetch, percent), "links")
 
     # all other pairs of a bucket that could join two components, each at
     # the smallest key that both have; by signatures fine enough to leave few
@@ -253,6 +240,18 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     return connected_components(links).select(F.col("id").alias("vid"), "component")
 
 
+def where_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` semi- or anti-joined with (unique) ids, the first column of
+    ``ids``; nulls match.
+
+    Up to ``BROADCAST_IDS`` ids go to every task, so that texts are not
+    shuffled; beyond it both sides are."""
+    ids = write_shared(ids.select(F.col(ids.columns[0]).alias("_id")), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), how)
+
+
 def _marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc_id, fp, n_shingles, component_id and kept of (doc_id, text) rows."""
     feats = write_shared(features(docs, "doc_id", "text", scheme), "minhash")
@@ -264,7 +263,7 @@ def _marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
     def fetch(wanted: DataFrame) -> DataFrame:
         reps = wanted.select("rep").distinct()
-        return shingle_sets(docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi"), "text")
+        return shingle_sets(where_id(docs, "doc_id", reps, "left_semi"), "text")
 
     linked = link_classes(classes, fetch, scheme)
     named = classes.select("vid", "fp", "rep").join(linked, "vid")
@@ -295,17 +294,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return _marks(rows, Scheme(percent)).drop("fp")
 
 
-def _where_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` semi- or anti-joined with (unique) ids, nulls matching.
-
-    Up to ``BROADCAST_IDS`` ids go to every task, so that texts are not
-    shuffled; beyond it both sides are."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), how)
-
-
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one per component.
@@ -317,13 +305,13 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = write_shared(_marks(rows, Scheme(percent)), "marks")
     ids = marks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    out = _where_id(docs, id_col, ids.filter("not kept or n > 1"), "left_anti")
+    out = where_id(docs, id_col, ids.filter("not kept or n > 1"), "left_anti")
     again = ids.filter("kept and n > 1")
     if again.isEmpty():
         return out
 
     # ids of several rows: only these are told apart by their sets
-    twice = _where_id(docs, id_col, again, "left_semi")
+    twice = where_id(docs, id_col, again, "left_semi")
     packed = twice.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                           F.struct("*").alias("row"))
     sets = shingle_sets(packed.select("text").distinct(), "text", keep_text=True)

@@ -18,31 +18,33 @@ from pyspark.sql import types as T
 
 from repeatlens.llm import hashing
 from repeatlens.llm.common import flat_map, table
-from repeatlens.llm.near_dup import FEATURES, Scheme, describe, link_classes
+from repeatlens.llm.near_dup import FEATURES, Scheme, describe, link_classes, where_id
 from repeatlens.session import write_shared
 
 #: Shorter paragraphs are titles, salutations and the like, not passages.
 MIN_WORDS = 20
-BANDS = Scheme(percent=80, rows=3, recall=0.999, minima=64)
+BANDS = Scheme(percent=80, rows=3, recall=0.999, minima=128)
 
 
-def paragraphs(text: str | None, min_words: int):
-    """(number, start, end, n_words, paragraph) of each line with enough words;
-    code points, end exclusive."""
-    at = 0
+def paragraphs(text: str | None, min_words: int) -> tuple[list[tuple], list]:
+    """(number, start, end, n_words) of each line with enough words, and the
+    lines' shingle sets; code points, end exclusive."""
+    at, spans, lines = 0, [], []
     for i, line in enumerate((text or "").split("\n")):
-        n = len(line.encode("utf-8", "replace").split())
-        if n >= max(1, min_words):
-            yield i, at, at + len(line), n, line
+        words = hashing.split(line)
+        if len(words) >= max(1, min_words):
+            spans.append((i, at, at + len(line), len(words)))
+            lines.append(words)
         at += len(line) + 1
+    return spans, hashing.shingles_of(lines)
 
 
 def features(docs: DataFrame, min_words: int, scheme: Scheme) -> DataFrame:
     """doc_id, para, start, end, n_words and the description of each paragraph."""
     def make():
         def one(doc_id, text):
-            for i, a, b, n, line in paragraphs(text, min_words):
-                yield doc_id, i, a, b, n, *describe(hashing.shingles(line), scheme)
+            spans, sets = paragraphs(text, min_words)
+            return [(doc_id, *span, *about) for span, about in zip(spans, describe(sets, scheme))]
         return one
 
     return flat_map(docs, make, T.StructType([
@@ -52,11 +54,8 @@ def features(docs: DataFrame, min_words: int, scheme: Scheme) -> DataFrame:
 
 def _sets(docs: DataFrame, min_words: int) -> DataFrame:
     def make():
-        def one(text):
-            for *_, line in paragraphs(text, min_words):
-                s = hashing.shingles(line)
-                yield hashing.fingerprint(s), s.view("int64")
-        return one
+        return lambda text: [(hashing.fingerprint(s), s.view("int64"))
+                             for s in paragraphs(text, min_words)[1]]
 
     return flat_map(docs.select("text"), make, T.StructType([
         T.StructField("fp", T.BinaryType()),
@@ -85,9 +84,9 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, scheme: Sch
         .withColumn("vid", F.monotonically_increasing_id()), "classes")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        reps = wanted.select("rep").distinct()
-        near = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi")
-        return _sets(near, min_words).dropDuplicates(["fp"])
+        near = where_id(docs, "doc_id", wanted.select("rep").distinct(), "left_semi")
+        return (_sets(near, min_words).join(wanted.select("fp"), "fp", "left_semi")
+                .dropDuplicates(["fp"]))
 
     linked = link_classes(classes, fetch, scheme)
     placed = classes.select("vid", "fp", "first", "n").join(linked, "vid", "left")

@@ -144,10 +144,21 @@ def test_words_and_shingles():
     assert (hashing.shingles("A B c d e") == hashing.shingles("a b C D E")).all()
     # only A-Z fold, and only the six blanks part words
     assert hashing.shingles("Ä b") != hashing.shingles("ä b")
-    assert len(hashing.word_hashes("a b")) == 1
+    assert len(hashing.split("a\xa0b")) == 1
     long = "y" * 9000
-    h = hashing.word_hashes(f"a {long} b")
-    assert len(h) == 3 and h[0] == hashing.word_hashes("a")[0]
+    h = hashing._hash_words(hashing.split(f"a {long} b"))
+    assert len(h) == 3 and h[0] == hashing._hash_words([b"a"])[0]
+
+
+def test_many_lines_at_once():
+    lines = [prose(i, n) for i, n in enumerate((1, 4, 5, 6, 0, 300, 2000, 7))]
+    one = [hashing.shingles(" ".join(x)) for x in lines]
+    many = hashing.shingles_of([hashing.split(" ".join(x)) for x in lines])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(one, many))
+    sets = [s for s in one if len(s)]
+    assert (hashing.minima_of(sets, 64, block=97) == [hashing.minima(s, 64) for s in sets]).all()
+    a, b = hashing._permutations(64)
+    assert (hashing.minima(sets[-1], 64) == (sets[-1][None] * a + b).min(axis=1)).all()
 
 
 @pytest.mark.parametrize("share", [0.5, 0.8, 0.9])

@@ -10,11 +10,22 @@ one stays after the second.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from repeatlens.llm import bpe, decontam, near_dup, quality, secrets
 from repeatlens.llm.common import table
 from repeatlens.session import write_shared
 
 
+#: Documents are long: batches of this many rows pass to Python, not 10,000.
+BATCH_ROWS = 500
+
+
+def _small_batches(spark) -> None:
+    """For the stages that run Python: bounds what a batch takes on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_rules(spark, docs, sf_dir: str):
     """Drops the documents that the quality rules reject."""
     return quality.drop_rejected(docs)
@@ -22,11 +33,13 @@ def quality_rules(spark, docs, sf_dir: str):
 
 def near_dedup(spark, docs, sf_dir: str):
     """Keeps one document, that with the smallest id, of each group."""
+    _small_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontamination(spark, docs, sf_dir: str):
     """Drops the documents that hold an item of ``benchmark``."""
+    _small_batches(spark)
     return decontam.drop_leaky(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -38,8 +51,7 @@ def secret_scans(spark, docs, sf_dir: str):
 def bpe_codec(spark, docs, sf_dir: str):
     """doc_id, lang, source, token ids and their number, and the digest of
     the text that the ids decode to."""
-    from pyspark.sql import functions as F
-
+    _small_batches(spark)
     path = bpe.default_tokenizer()
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
     return bpe.decode(ids, path).select(

@@ -27,7 +27,6 @@ lower case, white space dropped).
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
@@ -219,6 +218,33 @@ def _fast(pattern: str) -> re.Pattern | regex.Pattern:
     return re.compile(regex.sub(r"\\(p\{\w+\}|s)", lambda m: _ranges(m.group()), pattern))
 
 
+class Labels:
+    """The labels of a tokenizer file's arcs, by token id."""
+
+    def __init__(self, spec: str):
+        data = json.loads(spec)
+        self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.labels = {i: t for t, i in (data["model"]["vocab"] | self.special).items()}
+        self.table = pa.array([self.labels.get(i) for i in range(max(self.labels) + 1)])
+
+    def decode(self, ids) -> str:
+        """Arc labels joined by blanks; ids without a label are skipped."""
+        label = self.labels.get
+        return " ".join([s for s in map(label, ids) if s is not None])
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of a whole Arrow array (null: '')."""
+        ids = lists.flatten()
+        if len(ids):
+            edge = pc.min_max(ids)
+            if edge["min"].as_py() < 0 or edge["max"].as_py() >= len(self.table):
+                return pa.array([self.decode(x or ()) for x in lists.to_pylist()], pa.string())
+        counts = pc.fill_null(pc.list_value_length(lists), 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        words = pa.ListArray.from_arrays(offsets, self.table.take(ids))
+        return pc.binary_join(words, " ")
+
+
 class Codec:
     """A tokenizer file's automaton with its normalization and splitting."""
 
@@ -228,14 +254,12 @@ class Codec:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.labels = {i: t for t, i in (model["vocab"] | self.special).items()}
         pattern = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"]
                        if p["type"] == "Split")
         self.words = _fast(pattern)
         self.marks = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.spec = spec
         self.library = None
-        self.table = None
 
     def split(self, text: str) -> list[str]:
         """Normalized words."""
@@ -250,25 +274,6 @@ class Codec:
         return [bytes(symbol[c] for c in w).decode()
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def decode(self, ids) -> str:
-        """Arc labels joined by blanks; ids without a label are skipped."""
-        label = self.labels.get
-        return " ".join([s for s in map(label, ids) if s is not None])
-
-    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
-        """``decode`` of a whole Arrow array (null: '')."""
-        if self.table is None:
-            self.table = pa.array([self.labels.get(i) for i in range(max(self.labels) + 1)])
-        ids = lists.flatten()
-        if len(ids):
-            edge = pc.min_max(ids)
-            if edge["min"].as_py() < 0 or edge["max"].as_py() >= len(self.table):
-                return pa.array([self.decode(x or ()) for x in lists.to_pylist()], pa.string())
-        counts = pc.fill_null(pc.list_value_length(lists), 0)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        words = pa.ListArray.from_arrays(offsets, self.table.take(ids))
-        return pc.binary_join(words, " ")
-
 
 class Encoder:
     """A codec with one task's memory of words, given up with the task."""
@@ -305,18 +310,6 @@ class Encoder:
         return np.frombuffer(b"".join(out), np.int32)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(spec: str) -> Codec:
-    """The codec of a file's content, compiled once per Python worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(spec)
-    return _CODECS[key]
-
-
 def _shared(spark, tokenizer_path: str):
     """The tokenizer file (a few MB at most, fixed) for all tasks."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -332,7 +325,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     spec = _shared(docs.sparkSession, tokenizer_path)
 
     def make():
-        encoder = Encoder(_codec(spec.value))
+        # compiled by each task (about a second): an idle worker keeps nothing
+        encoder = Encoder(Codec(spec.value))
         return lambda texts: [encoder.encode(v.as_py()) for v in texts]
 
     field = T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))
@@ -345,8 +339,7 @@ def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "token_ids",
     spec = _shared(docs.sparkSession, tokenizer_path)
 
     def make():
-        codec = _codec(spec.value)
-        return codec.decode_lists
+        return Labels(spec.value).decode_lists
 
     return append_column(docs, ids_col, make, T.StructField(text_col, T.StringType()))
 

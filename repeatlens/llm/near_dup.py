@@ -185,27 +185,29 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     """(vid, component) for every class that is linked to another one.
 
     ``classes``: vid (long, stable), fp, rep (what ``fetch`` finds a text
-    by), n_shingles, sig, keys.  component: the smallest linked vid.
+    by), n (texts of the class), n_shingles, sig, keys.  component: the smallest linked vid.
     """
     percent = scheme.percent
     members = classes.select("vid", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = write_shared(members.join(shared, "key"), "buckets")
     sig = classes.select("vid", "sig")
 
     def open_buckets(found: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
-        placed = (buckets.filter("n > 2").join(
+        placed = (buckets.filter("size > 2").join(
             found.select(F.col("id").alias("vid"), "component"), "vid", "left")
             .select("key", "vid", F.coalesce("component", "vid").alias("comp")))
         apart = (placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .filter("lo < hi").select("key"))
         return write_shared(placed.join(apart, "key"), "open")
 
-    # hubs: the members that meet most others, in all their buckets
-    met = buckets.groupBy("vid").agg(F.sum("n").alias("met"))
+    # hubs: the members that meet most others, in all their buckets; of these
+    # the one with most exact copies
+    met = (buckets.groupBy("vid").agg(F.sum("size").alias("met"))
+           .join(classes.select("vid", "n"), "vid"))
     hubs = (buckets.join(met, "vid").groupBy("key")
-            .agg(F.max(F.struct("met", "vid")).alias("hub"))
+            .agg(F.max(F.struct("met", "n", "vid")).alias("hub"))
             .select("key", F.col("hub.vid").alias("hub")))
     tried = write_shared(
         buckets.join(hubs, "key").filter("vid <> hub")
@@ -257,7 +259,8 @@ def _marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
     feats = write_shared(features(docs, "doc_id", "text", scheme), "minhash")
     classes = write_shared(
         feats.filter("fp is not null").groupBy("fp")
-        .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
+        .agg(F.min("id").alias("rep"), F.count("*").alias("n"),
+             F.first("n_shingles").alias("n_shingles"),
              F.first("sig").alias("sig"), F.first("keys").alias("keys"))
         .withColumn("vid", F.monotonically_increasing_id()), "classes")
 

@@ -23,7 +23,7 @@ from repeatlens.session import write_shared
 
 #: Shorter paragraphs are titles, salutations and the like, not passages.
 MIN_WORDS = 20
-BANDS = Scheme(percent=80, rows=3, recall=0.999, minima=128)
+BANDS = Scheme(percent=80, rows=2, recall=0.999, minima=128)
 
 
 def paragraphs(text: str | None, min_words: int) -> tuple[list[tuple], list]:

@@ -176,7 +176,7 @@ def test_b_bit_estimate(spark, share):
 
 
 def test_bands_are_tuned_to_the_recall():
-    for s in (near_dup.Scheme(), near_dup.Scheme(80, 3, 0.999, 64)):
+    for s in (near_dup.Scheme(), near_dup.Scheme(80, 2, 0.999, 64)):
         t = s.percent / 100
         assert 1 - (1 - t ** s.rows) ** s.bands >= s.recall
         assert s.bands * s.rows <= s.minima

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.scope import Scope, driver_scope
+from repeatlens.scope import Scope, driver_full_scope, driver_scope
 from repeatlens.sources.driver_adapter import from_driver_tables
 from repeatlens.sources.tables import Marketplace
 from repeatlens.plans import (bi, cohort, features, hypothesis, kpis, modeling, quality, rfm,
@@ -61,6 +61,9 @@ JOBS: dict[str, Job] = {
     "fact_sales": bi.fact_sales,
     "measure_by_dimension": bi.measure_by_dimension,
     "row_count_reconciliation": bi.row_count_reconciliation,
+    "sales_by_calendar_month": bi.sales_by_calendar_month,
+    "model_frame_row_check": modeling.model_frame_row_check,
+    "model_fold_sizes": modeling.model_fold_sizes,
     # model jobs: rows-only checks (tree learners are not SQL)
     "cv_model_comparison": modeling.cv_model_comparison,
     "feature_importances": modeling.feature_importances,
@@ -70,6 +73,20 @@ JOBS: dict[str, Job] = {
 }
 
 
+#: Jobs without a cohort: their registered queries cover all months.
+FULL_SPAN = {
+    "exec_kpis", "monthly_revenue_trend", "regional_performance", "category_performance",
+    "top_products_per_category", "rfm_base", "rfm_describe", "rfm_scores", "rfm_segments",
+    "rfm_segment_summary", "revenue_concentration", "date_dim", "fact_sales",
+    "measure_by_dimension", "row_count_reconciliation", "sales_by_calendar_month",
+}
+
+
+def registered_scope(name: str) -> Scope:
+    """The driver-table scope that a query is registered with."""
+    return driver_full_scope() if name in FULL_SPAN else driver_scope()
+
+
 def portable(df: DataFrame) -> DataFrame:
     """Render timestamp/date columns as ISO strings.
 
@@ -91,9 +108,9 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _bind(job: Job) -> Callable[[SparkSession, str], DataFrame]:
+def _bind(name: str, job: Job) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return portable(job(from_driver_tables(spark, sf_dir), driver_scope()))
+        return portable(job(from_driver_tables(spark, sf_dir), registered_scope(name)))
 
     run.__name__ = job.__name__
     run.__doc__ = job.__doc__
@@ -101,4 +118,4 @@ def _bind(job: Job) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(job) for name, job in JOBS.items()}
+    return {name: _bind(name, job) for name, job in JOBS.items()}

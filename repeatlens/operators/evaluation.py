@@ -28,7 +28,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class
+    return df.join(w, label)
 
 
 def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42,
@@ -44,7 +44,7 @@ def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42,
     sizes = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("_n_label"))
     starts = sizes.select(label, "_n_label", F.coalesce(F.sum("_n_label").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return (numbered.join(F.broadcast(starts), label)  # one row per class
+    return (numbered.join(starts, label)
             .withColumn("_rn_label", F.col("_rn") - F.col("_start"))
             .drop("_rn", "_start", "_h"))
 
@@ -71,29 +71,36 @@ def roc_auc(df: DataFrame, label: str, score: str, group: str | None = None) ->
 
     Rows collapse to one per distinct score (positives, negatives); a
     weighted ranked scan gives the negatives below each score; AUC =
-    sum(pos * (neg_below + neg / 2)) / (P * N).  Returns ``auc`` (plus
-    ``group`` when given: one AUC per group, e.g. per fold or feature).
+    sum(pos * (2 * neg_below + neg)) / (2 * P * N), summed exactly.  Rows
+    without a score cannot be ranked; ``unscored`` says how many there are.
+    Returns ``auc`` (plus ``group`` when given: one AUC per group, e.g. per
+    fold or feature; groups without any scored row have none).
     """
     keys = [group] if group else []
     s = F.col(score).cast("double")
-    per = (df.filter(s.isNotNull()).groupBy(*keys, s.alias("_s"))
-           .agg(F.count_if(F.col(label) == 1).alias("_pos"),
-                F.count_if(F.col(label) != 1).alias("_neg")))
+    scores = (df.groupBy(*keys, s.alias("_s"))
+              .agg(F.count_if(F.col(label) == 1).alias("_pos"),
+                   F.count_if(F.col(label) != 1).alias("_neg"), F.count(F.lit(1)).alias("_rows")))
+    per = scores.filter(F.col("_s").isNotNull())
+    without = scores.groupBy(*keys).agg(F.coalesce(F.sum(F.when(
+        F.col("_s").isNull(), F.col("_rows"))), F.lit(0)).cast("bigint").alias("unscored"))
     cum = ranked_scan(per, [*keys, "_s"], out="_neg_incl", weight="_neg")
     if group:
         starts = per.groupBy(group).agg(F.sum("_neg").alias("_gn")).select(
             group, F.coalesce(F.sum("_gn").over(
                 Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             .alias("_gstart"))
-        cum = cum.join(F.broadcast(starts), group).withColumn(
+        cum = cum.join(starts, group).withColumn(
             "_neg_incl", F.col("_neg_incl") - F.col("_gstart"))
-    contrib = F.col("_pos").cast("double") * (
-        (F.col("_neg_incl") - F.col("_neg")).cast("double") + F.col("_neg").cast("double") / 2.0)
+    contrib = F.col("_pos").cast("decimal(18,0)") * (
+        F.col("_neg_incl") * 2 - F.col("_neg")).cast("decimal(19,0)")  # 2 * below + equal
     g = cum.groupBy(*keys).agg(F.sum(contrib).alias("_u"), F.sum("_pos").alias("P"),
                                F.sum("_neg").alias("N"))
-    return g.select(*keys, F.try_divide(F.col("_u"), F.col("P").cast("double") * F.col("N").cast("double"))
-                    .alias("auc"), F.col("P").cast("bigint").alias("positives"),
-                    F.col("N").cast("bigint").alias("negatives"))
+    g = g.join(without, group) if group else with_scalars(g, without)
+    pairs = F.col("P").cast("double") * F.col("N").cast("double") * 2.0
+    return g.select(*keys, F.try_divide(F.col("_u").cast("double"), pairs).alias("auc"),
+                    F.col("P").cast("bigint").alias("positives"),
+                    F.col("N").cast("bigint").alias("negatives"), "unscored")
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from repeatlens.functions.columns import (month_label, pct, round_half, to_double,
                                           total_revenue, weekday_sun0, with_scalars,
                                           year_month_sort)
-from repeatlens.plans.base import scoped_orders, with_person
+from repeatlens.plans.base import child_rows, scoped_orders, with_person
 from repeatlens.plans.kpis import exec_kpis, regional_performance, state_person
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
@@ -55,7 +55,7 @@ def fact_sales(mp: Marketplace, scope: Scope) -> DataFrame:
         "product_category_name", F.col("product_category_name_english").alias("category"))
     prod = mp.products.select("product_id", "product_category_name").join(
         ct, "product_category_name", "left").select("product_id", "category")
-    items = mp.order_items.select("order_id", "order_item_id", "product_id", "seller_id", "price",
+    items = child_rows(mp, "order_items", scope).select("order_id", "order_item_id", "product_id", "seller_id", "price",
                                   "freight_value")
     return (o.join(items, "order_id").join(prod, "product_id", "left")
             .select("order_id", "order_item_id", "product_id", "seller_id", "customer_unique_id",
@@ -88,6 +88,41 @@ def date_dim(mp: Marketplace, scope: Scope) -> DataFrame:
                     weekday_sun0(ts).alias("weekday"))
 
 
+def sales_by_calendar_month(mp: Marketplace, scope: Scope) -> DataFrame:
+    """JN-12 / SRT-7: the fact joined with the date dimension on the day key,
+    by month in calendar order; days without sales count as days."""
+    f = fact_sales(mp, scope).groupBy("date_key").agg(
+        F.count_distinct("order_id").alias("orders"), F.count(F.lit(1)).alias("items"),
+        total_revenue("price").alias("revenue"))
+    by_day = date_dim(mp, scope).select("date_key", "year_month", "year_month_sort").join(
+        f, "date_key", "left")
+    return by_day.groupBy("year_month_sort", "year_month").agg(
+        F.count(F.lit(1)).alias("days"), F.count("orders").alias("days_with_sales"),
+        F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("orders"),
+        F.coalesce(F.sum("items"), F.lit(0)).cast("bigint").alias("items"),
+        F.coalesce(to_double(F.sum("revenue")), F.lit(0.0)).alias("revenue"),
+    ).orderBy("year_month_sort")
+
+
+def star_dimensions(mp: Marketplace, scope: Scope) -> dict[str, DataFrame]:
+    """SNK-3: the dimensions beside the fact, on its keys: persons, products
+    with their English category, and payments and reviews per scoped order."""
+    orders = scoped_orders(mp, scope, cols=["order_id", "customer_id", "order_purchase_timestamp"])
+    keys = orders.select("order_id").distinct()
+    ct = mp.category_translation.select(
+        "product_category_name", F.col("product_category_name_english").alias("category"))
+    persons = with_person(orders, mp, state=True).groupBy("customer_unique_id").agg(
+        F.max(F.struct("order_purchase_timestamp", "order_id", "customer_state")).alias("last"))
+    return {
+        "dim_customers": persons.select("customer_unique_id", F.col("last.customer_state")
+                                        .alias("last_state")),
+        "dim_products": mp.products.select("product_id", "product_category_name").join(
+            ct, "product_category_name", "left").select("product_id", "category"),
+        "order_payments": child_rows(mp, "order_payments", scope).join(keys, "order_id", "left_semi"),
+        "order_reviews": child_rows(mp, "order_reviews", scope).join(keys, "order_id", "left_semi"),
+    }
+
+
 def measure_by_dimension(mp: Marketplace, scope: Scope) -> DataFrame:
     """BI-4: Total Revenue by state, category and month, plus the grand total.
 
@@ -98,10 +133,11 @@ def measure_by_dimension(mp: Marketplace, scope: Scope) -> DataFrame:
         F.coalesce(F.col("category"), F.lit("unknown")).alias("category"),
         F.col("year_month_sort").cast("string").alias("month"),
         "price")
-    # one pass: GROUPING SETS over the fact (partial aggregation per set),
-    # instead of re-running the fact's joins once per dimension
-    g = f.groupingSets([["state"], ["category"], ["month"], []], "state", "category", "month") \
-        .agg(total_revenue("price").alias("rev"), F.grouping_id().alias("gid"))
+    # the fact is rolled up to its (state, category, month) cells first: the
+    # grouping sets then expand cells, not item rows
+    cells = f.groupBy("state", "category", "month").agg(total_revenue("price").alias("rev"))
+    g = cells.groupingSets([["state"], ["category"], ["month"], []], "state", "category", "month") \
+        .agg(F.sum("rev").alias("rev"), F.grouping_id().alias("gid"))
     dim = (F.when(F.col("gid") == 3, F.lit("state")).when(F.col("gid") == 5, F.lit("category"))
            .when(F.col("gid") == 6, F.lit("month")).otherwise(F.lit("total")))
     member = (F.when(F.col("gid") == 3, F.col("state")).when(F.col("gid") == 5, F.col("category"))
@@ -142,6 +178,8 @@ def write_dashboard_marts(mp: Marketplace, scope: Scope, out_dir: str, fmt: str
         "segment_summary": rfm.rfm_segment_summary(mp, scope),
         "one_time_vs_repeat": rfm.one_time_vs_repeat(mp, scope),
         "date_dim": date_dim(mp, scope),
+        "sales_by_calendar_month": sales_by_calendar_month(mp, scope),
+        **star_dimensions(mp, scope),
     }
     if include_models:
         from repeatlens.plans import modeling

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import days_between, round_half, weekday_sun0, with_scalars
+from repeatlens.plans.base import child_rows
 from repeatlens.plans.cohort import cohort, order_top_category
 from repeatlens.scope import Scope
 from repeatlens.session import materialize
@@ -27,12 +28,12 @@ FEATURE_COLUMNS = ["customer_unique_id", "customer_state", "category", "frequenc
                    "review_score", "delivery_days", "days_early_or_late", "purchase_weekday"]
 
 
-def payment_summary(mp: Marketplace) -> DataFrame:
+def payment_summary(mp: Marketplace, scope: Scope) -> DataFrame:
     """Per order: summed value, max instalments, main payment type by value.
 
     One pass over the payments: (order, type) partial sums, then per order
     the totals and the type with the largest value (ties: type name)."""
-    by_type = mp.order_payments.groupBy("order_id", "payment_type").agg(
+    by_type = child_rows(mp, "order_payments", scope).groupBy("order_id", "payment_type").agg(
         F.sum("payment_value").alias("v"), F.max("payment_installments").alias("mi"))
     return by_type.groupBy("order_id").agg(
         F.sum("v").alias("payment_value"),
@@ -42,9 +43,9 @@ def payment_summary(mp: Marketplace) -> DataFrame:
              F.col("m.payment_type").alias("payment_type"))
 
 
-def review_summary(mp: Marketplace) -> DataFrame:
+def review_summary(mp: Marketplace, scope: Scope) -> DataFrame:
     """Per order: mean review score over the order's reviews."""
-    r = mp.order_reviews
+    r = child_rows(mp, "order_reviews", scope)
     return r.groupBy("order_id").agg(
         F.try_divide(F.sum("review_score").cast("double"),
                      F.count("review_score").cast("double")).alias("review_score"))
@@ -55,8 +56,8 @@ def customer_features(mp: Marketplace, scope: Scope) -> DataFrame:
     co = cohort(mp, scope)
     top = order_top_category(mp, scope, first=co).select("customer_unique_id", "category")
     c = co.join(top, "customer_unique_id")
-    c = (c.join(payment_summary(mp), "order_id", "left")
-         .join(review_summary(mp), "order_id", "left"))
+    c = (c.join(payment_summary(mp, scope), "order_id", "left")
+         .join(review_summary(mp, scope), "order_id", "left"))
     return c.select(
         "customer_unique_id", "customer_state", "category",
         F.col("frequency").cast("bigint").alias("frequency"),
@@ -135,32 +136,25 @@ def features_one_hot(mp: Marketplace, scope: Scope) -> DataFrame:
     return one_hot_long(features_imputed(mp, scope), "customer_unique_id")
 
 
-MAX_LEVELS = 10_000
-
-
-def checked_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[str]:
+def checked_levels(df: DataFrame, column: str, max_levels: int | None = None) -> list[str]:
     """Distinct non-NULL levels of a categorical column, sorted.
 
-    Only a vocabulary may reach the driver: at most ``max_levels + 1``
-    values are fetched, and more than ``max_levels`` raises instead of
-    collecting a data-sized column."""
-    got = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct()
-           .limit(max_levels + 1).collect()]
-    if len(got) > max_levels:
+    With ``max_levels`` more levels raise, and no more than one too many is
+    fetched: a guard for columns that may not be a vocabulary."""
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    got = [r[0] for r in (found if max_levels is None else found.limit(max_levels + 1)).collect()]
+    if max_levels is not None and len(got) > max_levels:
         raise ValueError(f"{column}: more than {max_levels} levels; not a categorical vocabulary")
     return sorted(got)
 
 
-def one_hot_wide(df: DataFrame, columns: list[str] = CATEGORICAL, max_levels: int = MAX_LEVELS) -> DataFrame:
+def one_hot_wide(df: DataFrame, columns: list[str] = CATEGORICAL,
+                 max_levels: int | None = None) -> DataFrame:
     """Wide 0/1 dummies for inspection (level names become columns).
 
-    The level list per column reaches the driver through ``checked_levels``
-    (a vocabulary: states, categories, payment types; size-checked).
+    The level list per column reaches the driver (a vocabulary: states,
+    categories, payment types); ``max_levels`` guards against others.
     """
-    out = df
-    for c in columns:
-        levels = checked_levels(df, c, max_levels)
-        for lv in levels[1:]:
-            out = out.withColumn(f"{c}_{lv}", (F.coalesce(F.col(c) == lv, F.lit(False))).cast("int"))
-        out = out.drop(c)
-    return out
+    dummies = [F.coalesce(F.col(c) == lv, F.lit(False)).cast("int").alias(f"{c}_{lv}")
+               for c in columns for lv in checked_levels(df, c, max_levels)[1:]]
+    return df.select(*(c for c in df.columns if c not in columns), *dummies)

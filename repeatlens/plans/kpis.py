@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import (month_label, round_half, safe_ratio, pct,
                                           to_double)
-from repeatlens.plans.base import order_totals, product_categories, scoped_orders, with_person
+from repeatlens.plans.base import (child_rows, order_totals, product_categories, scoped_orders,
+                                   with_person)
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
 
@@ -15,7 +16,7 @@ from repeatlens.sources.tables import Marketplace
 def _orders_with_revenue(mp: Marketplace, scope: Scope, state: bool = False) -> DataFrame:
     """Scoped orders that have items, with order revenue/freight and person key."""
     o = scoped_orders(mp, scope, cols=["order_id", "customer_id", "order_purchase_timestamp"])
-    return with_person(o.join(order_totals(mp), "order_id"), mp, state=state)
+    return with_person(o.join(order_totals(mp, scope), "order_id"), mp, state=state)
 
 
 def customer_orders(mp: Marketplace, scope: Scope) -> DataFrame:
@@ -37,7 +38,7 @@ def exec_kpis(mp: Marketplace, scope: Scope) -> DataFrame:
     """
     per_person = customer_orders(mp, scope)
     agg = per_person.agg(
-        F.sum("frequency").alias("total_orders"),
+        F.coalesce(F.sum("frequency"), F.lit(0)).alias("total_orders"),  # an empty scope has none
         F.count(F.lit(1)).alias("total_customers"),
         F.sum("monetary").alias("revenue"),
         F.sum("freight").alias("freight"),
@@ -59,7 +60,7 @@ def monthly_revenue_trend(mp: Marketplace, scope: Scope) -> DataFrame:
     month), so its single partition is bounded by the time span, not data.
     """
     o = scoped_orders(mp, scope, cols=["order_id", "order_purchase_timestamp"])
-    monthly = (o.join(order_totals(mp).select("order_id", "order_revenue"), "order_id")
+    monthly = (o.join(order_totals(mp, scope).select("order_id", "order_revenue"), "order_id")
                .groupBy(month_label("order_purchase_timestamp").alias("order_month"))
                .agg(F.sum("order_revenue").alias("revenue"),
                     F.count_distinct("order_id").alias("orders")))
@@ -104,7 +105,7 @@ def regional_performance(mp: Marketplace, scope: Scope) -> DataFrame:
 def _category_orders(mp: Marketplace, scope: Scope) -> DataFrame:
     """(category, order_id, product_id, revenue) at item-aggregate grain."""
     o = scoped_orders(mp, scope, cols=["order_id"])
-    items = mp.order_items.select("order_id", "product_id", "price")
+    items = child_rows(mp, "order_items", scope).select("order_id", "product_id", "price")
     return (o.join(items, "order_id")
             .join(product_categories(mp), "product_id"))
 

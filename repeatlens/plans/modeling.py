@@ -17,7 +17,6 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +27,12 @@ from repeatlens.operators.evaluation import (classification_report, confusion_ma
                                              with_class_weight)
 from repeatlens.plans.features import CATEGORICAL, features_imputed
 from repeatlens.scope import Scope
-from repeatlens.session import ensure_checkpoint_dir
+from repeatlens.session import ensure_checkpoint_dir, materialize
 from repeatlens.sources.tables import Marketplace
 
 LABEL, KEY = "repeat_customer", "customer_unique_id"
 MODEL_NUMERIC = ["payment_installments", "payment_value", "review_score", "delivery_days",
-                 "days_early_or_late", "purchase_weekday", "no_review"]
+                 "days_early_or_late", "purchase_weekday", "no_review", "no_payment"]
 
 
 @dataclass(frozen=True)
@@ -55,18 +54,21 @@ class ModelParams:
 
 
 def model_frame(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
-    """Imputed features with label (double), balanced weight and fold id.
+    """Imputed features with label (double) and fold id.
 
     Categorical NULLs become the column's alphabetically first level, so
-    after dropping that level they encode as all zeros (as get_dummies)."""
+    after dropping that level they encode as all zeros (as get_dummies).
+    No row is dropped: customers without a payment row get value and
+    instalments 0 and ``no_payment`` = 1, and scores without any review to
+    take a median from become 0 (``no_review`` is 1 for all then)."""
     f = features_imputed(mp, scope)
+    f = f.withColumn("no_payment", F.col("payment_value").isNull().cast("int"))
+    f = f.na.fill(0.0, ["payment_value", "payment_installments", "review_score"])
     firsts = f.agg(*[F.min(c).alias(f"_first_{c}") for c in CATEGORICAL])
     f = with_scalars(f, firsts)
     for c in CATEGORICAL:
         f = f.withColumn(c, F.coalesce(F.col(c), F.col(f"_first_{c}"))).drop(f"_first_{c}")
-    f = f.na.drop(subset=MODEL_NUMERIC)
     f = f.withColumn("label", F.col(LABEL).cast("double"))
-    f = with_class_weight(f, LABEL, "weight")
     return stratified_folds(f, LABEL, KEY, k=p.folds, seed=p.seed)
 
 
@@ -75,13 +77,8 @@ def feature_stages(df: DataFrame) -> tuple[PipelineModel, list[str]]:
 
     StringIndexer ``alphabetDesc`` gives the alphabetically first level the
     last index; OneHotEncoder(dropLast) then drops exactly that level.
-    Levels are a vocabulary, size-checked before the fit (the indexer keeps
-    its label list on the driver); fitting them on the full table uses no
-    label information."""
-    from repeatlens.plans.features import checked_levels
-
-    for c in CATEGORICAL:
-        checked_levels(df, c)
+    Levels are a vocabulary (the indexer keeps its label list on the driver);
+    fitting them on the full table uses no label information."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc")
            for c in CATEGORICAL]
     enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],
@@ -116,9 +113,13 @@ def _evaluator(p: ModelParams) -> BinaryClassificationEvaluator:
 
 
 def dummy_scores(df: DataFrame, p: ModelParams) -> DataFrame:
-    """Stratified dummy: predicts 1 with the training prior, at random."""
-    prior = df.agg(F.avg("label").alias("_prior"))
-    j = with_scalars(df, prior)
+    """Stratified dummy: predicts 1 at random, with the share of positives
+    in the other folds."""
+    whole = df.agg(F.sum("label").alias("_pos"), F.count("label").alias("_n"))
+    folds = df.groupBy("fold").agg(F.sum("label").alias("_fp"), F.count("label").alias("_fn"))
+    prior = with_scalars(folds, whole).select("fold", F.try_divide(
+        F.col("_pos") - F.col("_fp"), F.col("_n") - F.col("_fn")).alias("_prior"))
+    j = df.join(prior, "fold")
     return j.withColumn("score", (F.rand(p.seed) < F.col("_prior")).cast("double")).drop("_prior")
 
 
@@ -140,6 +141,7 @@ def cross_validate(estimators: dict, data: DataFrame, p: ModelParams) -> dict[st
     def fit_one(task):
         name, k = task
         train, valid = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
+        train = with_class_weight(train, "label")  # balanced within the training folds
         model = estimators[name].fit(train)
         return name, k, float(evaluator.evaluate(model.transform(valid)))
 
@@ -152,6 +154,21 @@ def cross_validate(estimators: dict, data: DataFrame, p: ModelParams) -> dict[st
     return out
 
 
+def model_frame_row_check(mp: Marketplace, scope: Scope) -> DataFrame:
+    """Rows of the feature table and of the model frame: no customer is lost."""
+    a = features_imputed(mp, scope).agg(F.count(F.lit(1)).alias("feature_rows"))
+    b = model_frame(mp, scope).agg(F.count(F.lit(1)).alias("model_rows"),
+                                   F.count_if(F.col("no_payment") == 1).alias("without_payment"))
+    return with_scalars(a, b)
+
+
+def model_fold_sizes(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
+    """ML-10 on the model frame: customers and repeat customers per fold."""
+    return model_frame(mp, scope, p).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.sum(F.col("label")).cast("bigint").alias("repeat_customers"))
+
+
 def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
                         frame: DataFrame | None = None) -> DataFrame:
     """ML-6..10, ML-17: mean and (population) std of fold ROC-AUC per model, best first.
@@ -163,7 +180,7 @@ def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelPar
     ensure_checkpoint_dir(spark)
     data = frame if frame is not None else model_frame(mp, scope, p)
     feats, _ = feature_stages(data)
-    data = feats.transform(data).select("label", "weight", "fold", "features", KEY).cache()
+    data = feats.transform(data).select("label", "fold", "features", KEY).cache()
     n = data.count()
     n_train = int(n * (p.folds - 1) / p.folds)
     rows = []
@@ -186,7 +203,8 @@ def final_model(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
     ensure_checkpoint_dir(mp.orders.sparkSession)
     data = frame if frame is not None else model_frame(mp, scope, p)
     feats, names = feature_stages(data)
-    data = stratified_split(feats.transform(data), LABEL, KEY, p.test_fraction, p.seed)
+    data = stratified_split(feats.transform(data).select(KEY, LABEL, "label", "features"),
+                            LABEL, KEY, p.test_fraction, p.seed)
     train, test = data.filter(~F.col("is_test")), data.filter("is_test")
     gbt = _estimators(1, p)["Gradient Boosting"]
     model = gbt.fit(train)
@@ -209,7 +227,7 @@ def final_model_evaluation(mp: Marketplace, scope: Scope, p: ModelParams = Model
                            frame: DataFrame | None = None) -> DataFrame:
     """ML-12..16: hold-out ROC-AUC, confusion cells and top-decile lift."""
     scored, _, _ = final_model(mp, scope, p, frame)
-    scored = scored.cache()
+    scored = materialize(scored.select(KEY, LABEL, "score", "prediction"))
     auc = roc_auc(scored, LABEL, "score").select("auc")
     lift = top_fraction_lift(scored, LABEL, "score", p.top_quantile, tie=KEY)
     rep = (classification_report(scored, LABEL, "prediction").filter("class = 1")
@@ -233,7 +251,7 @@ def grid_search(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -
     ensure_checkpoint_dir(spark)
     data = model_frame(mp, scope, p)
     feats, _ = feature_stages(data)
-    data = feats.transform(data).select("label", "weight", "fold", "features", KEY).cache()
+    data = feats.transform(data).select("label", "fold", "features", KEY).cache()
     gbt = _estimators(1, p)["Gradient Boosting"]
     grid = [(d, st) for d in (2, 3) for st in (0.05, 0.1)]
     ests = {f"{d}/{st}": gbt.copy({gbt.maxDepth: d, gbt.stepSize: st}) for d, st in grid}

@@ -47,20 +47,19 @@ DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 def _describe_one(df: DataFrame, metric: str, tie: str) -> DataFrame:
     """count/mean/std/min/quartiles/max of one column, exactly.
 
-    Sums are exact (integers/decimals) and the sample variance is formed
-    once from them; quartiles come from the range-partitioned order
+    Sums are exact (integers/decimals); the deviation is Spark's own, which
+    does not cancel for large counts; quartiles come from the range-partitioned order
     statistics, so no value map or single task holds the column.
     """
     x = F.col(metric)
     xd = x.cast("decimal(18,2)") if metric == "monetary" else x.cast("bigint")
-    m = df.agg(F.count(x).alias("n"), F.sum(xd).alias("sx"), F.sum(xd * xd).alias("sxx"),
+    m = df.agg(F.count(x).alias("n"), F.sum(xd).alias("sx"),
+               F.stddev_samp(x.cast("double")).alias("std"),
                F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
-    n, sx, sxx = (F.col(c).cast("double") for c in ("n", "sx", "sxx"))
-    var = F.try_divide(sxx - sx * sx / n, n - 1)
     stats = m.select(
         F.lit(metric).alias("metric"), F.col("n").cast("bigint").alias("count"),
         safe_ratio("sx", "n").alias("mean"),
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), "min", "max")
+        "std", "min", "max")
     if metric == "monetary":  # near-unique values: range-partitioned order statistics
         q = exact_quantiles(df, metric, DESCRIBE_PROBS, tie=[tie])
     else:  # day counts and order counts: bounded domains

@@ -31,6 +31,12 @@ class Scope:
         return replace(self, **kw)
 
 
+def driver_full_scope() -> Scope:
+    """All months of the driver's synthetic tables."""
+    return Scope(window_start="1990-01-01 00:00:00", window_end="2010-01-01 00:00:00",
+                 eligible_before="2009-07-01 00:00:00", snapshot="2010-01-01 00:00:00")
+
+
 def driver_scope(min_n: int = 10) -> Scope:
     """Scope that fits the driver's synthetic tables (see FIXTURES.md)."""
     return Scope(

@@ -15,7 +15,7 @@ order -- even a third of all rows -- collapse before either shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import ts_lit
@@ -26,6 +26,26 @@ ORDER_COLS = ["order_id", "customer_id", "order_purchase_timestamp",
               "order_delivered_customer_date", "order_estimated_delivery_date"]
 
 
+def _months(scope: Scope, end: str) -> Column:
+    """The bounds that the window implies for a ``purchase_month`` column."""
+    last = F.date_format(F.timestamp_add("SECOND", F.lit(-1), ts_lit(end)), "yyyy-MM")
+    first = F.date_format(ts_lit(scope.window_start), "yyyy-MM")
+    return (F.col("purchase_month") >= first) & (F.col("purchase_month") <= last)
+
+
+def child_rows(mp: Marketplace, name: str, scope: Scope) -> DataFrame:
+    """``order_items``, ``order_payments`` or ``order_reviews`` of the scope's months.
+
+    Ingested tables carry the month of their order as a partition column, so
+    only the window's directories are read and shuffled; the join with the
+    scoped orders still decides which rows count.  Other tables pass whole.
+    """
+    df = getattr(mp, name)
+    if "purchase_month" not in df.columns:
+        return df
+    return df.filter(_months(scope, scope.window_end)).drop("purchase_month")
+
+
 def scoped_orders(mp: Marketplace, scope: Scope, end: str | None = None,
                   cols: list[str] | None = None) -> DataFrame:
     """Orders with the scope status purchased in [window_start, end)."""
@@ -36,19 +56,17 @@ def scoped_orders(mp: Marketplace, scope: Scope, end: str | None = None,
             & (F.col("order_purchase_timestamp") < ts_lit(end)))
     if "purchase_month" in o.columns:
         # month-partitioned storage: the implied month bounds prune directories
-        last = F.date_format(F.timestamp_add("SECOND", F.lit(-1), ts_lit(end)), "yyyy-MM")
-        cond = cond & (F.col("purchase_month") >= F.date_format(ts_lit(scope.window_start), "yyyy-MM")) \
-            & (F.col("purchase_month") <= last)
+        cond = cond & _months(scope, end)
     return o.filter(cond).select(*(cols or ORDER_COLS))
 
 
-def order_totals(mp: Marketplace) -> DataFrame:
+def order_totals(mp: Marketplace, scope: Scope) -> DataFrame:
     """Item facts rolled up to one row per order.
 
     Sums stay at the columns' own decimal scale (freight may carry more
     than two digits); rounding happens once, at the output edge.
     """
-    return mp.order_items.groupBy("order_id").agg(
+    return child_rows(mp, "order_items", scope).groupBy("order_id").agg(
         F.sum("price").alias("order_revenue"),
         F.sum("freight_value").alias("order_freight"),
         F.count(F.lit(1)).alias("order_item_count"),

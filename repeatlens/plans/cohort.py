@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import ts_lit
-from repeatlens.plans.base import product_categories, scoped_orders, with_person
+from repeatlens.plans.base import child_rows, product_categories, scoped_orders, with_person
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
 
@@ -81,7 +81,7 @@ def first_item_product(mp: Marketplace, scope: Scope) -> DataFrame:
     """
     o = with_person(scoped_orders(mp, scope, end=scope.eligible_before,
                                   cols=["order_id", "customer_id", "order_purchase_timestamp"]), mp)
-    items = mp.order_items
+    items = child_rows(mp, "order_items", scope)
     qty = [F.col("quantity")] if "quantity" in items.columns else []
     it = o.join(items.select("order_id", "order_item_id", "product_id", "seller_id", "price", *qty),
                 "order_id")
@@ -105,7 +105,7 @@ def first_item_and_frequency(mp: Marketplace, scope: Scope) -> DataFrame:
     ``first_item_product`` does.  Persons without one get NULL ``product_id``.
     """
     o = with_person(scoped_orders(mp, scope, cols=["order_id", "customer_id", "order_purchase_timestamp"]), mp)
-    items = mp.order_items
+    items = child_rows(mp, "order_items", scope)
     qty = [F.col("quantity")] if "quantity" in items.columns else []
     first_in_order = items.groupBy("order_id").agg(
         F.min(F.struct("order_item_id", "product_id", "seller_id", "price", *qty)).alias("fi"))
@@ -127,7 +127,7 @@ def order_top_category(mp: Marketplace, scope: Scope, first: DataFrame | None =
     Spark reuses one exchange instead of aggregating the orders twice.
     """
     fo = (first if first is not None else cohort(mp, scope, payload=[])).select("customer_unique_id", "order_id")
-    items = mp.order_items
+    items = child_rows(mp, "order_items", scope)
     qty = [F.col("quantity")] if "quantity" in items.columns else []
     it = (fo.join(items.select("order_id", "order_item_id", "product_id", "seller_id", "price", *qty),
                   "order_id")

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import (customer_type, pct, round_half, safe_ratio,
                                           seconds_between)
-from repeatlens.plans.base import product_categories
+from repeatlens.plans.base import child_rows, product_categories
 from repeatlens.plans.cohort import cohort, first_item_and_frequency
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
 
 
-def reviews_per_order(mp: Marketplace) -> DataFrame:
-    r = mp.order_reviews
+def reviews_per_order(mp: Marketplace, scope: Scope) -> DataFrame:
+    r = child_rows(mp, "order_reviews", scope)
     return r.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("review_rows"),
         F.count("review_score").alias("n_scores"),
@@ -31,8 +31,8 @@ def reviews_per_order(mp: Marketplace) -> DataFrame:
     )
 
 
-def payments_per_order(mp: Marketplace) -> DataFrame:
-    p = mp.order_payments
+def payments_per_order(mp: Marketplace, scope: Scope) -> DataFrame:
+    p = child_rows(mp, "order_payments", scope)
     return p.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("payment_rows"),
         F.count("payment_installments").alias("n_inst"),
@@ -50,7 +50,7 @@ def delivery(mp: Marketplace, scope: Scope) -> DataFrame:
     weighted the same way.  ``distinct_customers`` gives the person count.
     """
     c = cohort(mp, scope, ["order_delivered_customer_date", "order_estimated_delivery_date"]) \
-        .join(reviews_per_order(mp), "order_id", "left")
+        .join(reviews_per_order(mp, scope), "order_id", "left")
     w = F.greatest(F.coalesce(F.col("review_rows"), F.lit(0)), F.lit(1))
     dsec = seconds_between("order_purchase_timestamp", "order_delivered_customer_date")
     lsec = seconds_between("order_estimated_delivery_date", "order_delivered_customer_date")
@@ -91,7 +91,7 @@ def category(mp: Marketplace, scope: Scope) -> DataFrame:
 
 def payment(mp: Marketplace, scope: Scope) -> DataFrame:
     """HYP-3: instalments and payment value per payment row, by customer type."""
-    c = cohort(mp, scope, payload=[]).join(payments_per_order(mp), "order_id")
+    c = cohort(mp, scope, payload=[]).join(payments_per_order(mp, scope), "order_id")
     g = c.groupBy(customer_type("frequency").alias("customer_type")).agg(
         F.sum("payment_rows").alias("payment_rows"),
         F.sum("sum_inst").alias("sum_inst"), F.sum("n_inst").alias("n_inst"),

@@ -30,7 +30,9 @@ def _pct(num: str, den: str) -> str:
     return f"try_divide(100.0D * CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
 
 
-def scripts(scope: Scope, p: str = "rl_") -> dict[str, str]:
+def scripts(scope: Scope, p: str = "rl_", quantity: bool = True) -> dict[str, str]:
+    """The scripts; ``quantity``: do the items have that optional column?"""
+    item = "order_item_id, product_id, seller_id, price" + ", quantity" * quantity
     s = scope
     scoped = (f"o.order_status = '{s.status}' AND o.order_purchase_timestamp >= TIMESTAMP_NTZ '{s.window_start}'"
               f" AND o.order_purchase_timestamp < TIMESTAMP_NTZ '{s.window_end}'")
@@ -178,7 +180,7 @@ FROM g"""
     q["hyp_category"] = f"""
 WITH {cats},
 first_in_order AS (
-  SELECT order_id, min(struct(order_item_id, product_id, seller_id, price, quantity)) AS fi
+  SELECT order_id, min(struct({item})) AS fi
   FROM {p}order_items GROUP BY order_id),
 per AS (
   SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS frequency,
@@ -224,4 +226,4 @@ ORDER BY repeat_rate_pct DESC, customer_state"""
 def run_sql(spark: SparkSession, mp: Marketplace, scope: Scope, name: str, prefix: str = "rl_") -> DataFrame:
     """Register the canonical views (``prefix`` + table) and run one script."""
     mp.register_views(prefix)
-    return spark.sql(scripts(scope, prefix)[name])
+    return spark.sql(scripts(scope, prefix, "quantity" in mp.order_items.columns)[name])

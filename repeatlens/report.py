@@ -7,6 +7,7 @@ is an independent Spark job over the same canonical tables, written to
 ``out_dir/marts``.
 
     python -m repeatlens.report --csv RAW_DIR --out OUT_DIR [--models] [--fmt csv]
+        [--files orders=my_orders.csv ...] [--scope window_start='2019-01-01 00:00:00' ...]
     python -m repeatlens.report --parquet CANONICAL_DIR --out OUT_DIR
 """
 
@@ -15,21 +16,33 @@ from __future__ import annotations
 import argparse
 import json
 import time
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 
 from repeatlens.scope import Scope
+from repeatlens.sources.schemas import CSV_FILES
 from repeatlens.sources.tables import Marketplace
 
 MODEL_JOBS = ("cv_model_comparison", "feature_importances", "final_model_evaluation",
               "final_confusion_matrix", "grid_search")
 
 
+class ReportError(RuntimeError):
+    """Some analyses failed; ``result`` has what ``run_report`` would return."""
+
+    def __init__(self, message: str, result: dict):
+        super().__init__(message)
+        self.result = result
+
+
 def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str, fmt: str = "parquet",
                include_models: bool = False) -> dict[str, float | str]:
-    """Write each analysis; returns seconds per analysis, or the error text
-    of an analysis that failed (e.g. RFM scores raise, like pandas ``qcut``,
-    when recency quantile edges repeat) -- the others still run."""
+    """Write each analysis; returns seconds per analysis.
+
+    One that fails (e.g. RFM scores raise, like pandas ``qcut``, when recency
+    quantile edges repeat) does not stop the others; in the end a
+    ``ReportError`` names those that failed, with their error texts."""
     from repeatlens.catalog import JOBS
     from repeatlens.plans.bi import write_dashboard_marts
     from repeatlens.sources.sinks import write_table
@@ -74,13 +87,31 @@ def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str,
             result[name] = round(time.perf_counter() - t0, 3)
         except Exception as exc:  # noqa: BLE001 -- reported per analysis
             result[name] = f"error: {str(exc).splitlines()[0][:300]}"
+    failed = sorted(n for n, v in result.items() if isinstance(v, str))
+    if failed:
+        raise ReportError(f"{len(failed)} of {len(result)} analyses failed: {', '.join(failed)}", result)
     return result
 
 
+def scope_from(args: list[str]) -> Scope:
+    """A scope from ``field=value`` pairs; fields that are not named keep
+    their defaults."""
+    kinds = {f.name: type(f.default) for f in fields(Scope)}
+    given = dict(a.split("=", 1) for a in args)
+    unknown = sorted(set(given) - set(kinds))
+    if unknown:
+        raise ValueError(f"no scope field {', '.join(unknown)}; there are {', '.join(kinds)}")
+    return Scope(**{k: kinds[k](v) for k, v in given.items()})
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m repeatlens.report")
     src = ap.add_mutually_exclusive_group(required=True)
-    src.add_argument("--csv", help="folder of raw <table>.csv files")
+    src.add_argument("--csv", help="folder of raw CSV files")
+    ap.add_argument("--files", nargs="*", default=[], metavar="TABLE=NAME",
+                    help="names of raw files that are not called <table>.csv")
+    ap.add_argument("--scope", nargs="*", default=[], metavar="FIELD=VALUE",
+                    help="scope fields, such as window_start='2019-01-01 00:00:00'")
     src.add_argument("--parquet", help="folder of canonical Parquet tables (from ingest_to_parquet)")
     ap.add_argument("--out", required=True)
     ap.add_argument("--fmt", default="parquet", choices=["parquet", "csv"])
@@ -91,11 +122,14 @@ def main(argv: list[str] | None = None) -> None:
     from repeatlens.sources.csv_source import read_marketplace_csv, read_marketplace_parquet
 
     spark = SparkSession.getActiveSession() or local_session()
-    mp = read_marketplace_csv(spark, a.csv) if a.csv else read_marketplace_parquet(spark, a.parquet)
-    result = run_report(spark, mp, Scope(), a.out, a.fmt, a.models)
-    print(json.dumps(result))
-    if any(isinstance(v, str) for v in result.values()):
-        raise SystemExit(1)
+    files = CSV_FILES | dict(x.split("=", 1) for x in a.files)
+    mp = (read_marketplace_csv(spark, a.csv, files) if a.csv
+          else read_marketplace_parquet(spark, a.parquet))
+    try:
+        print(json.dumps(run_report(spark, mp, scope_from(a.scope), a.out, a.fmt, a.models)))
+    except ReportError as e:
+        print(json.dumps(e.result))
+        raise SystemExit(1) from e
 
 
 if __name__ == "__main__":

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repeatlens.sources.schemas import CSV_FILES, SCHEMAS
 from repeatlens.sources.tables import Marketplace
@@ -17,13 +18,24 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return (spark.read.schema(SCHEMAS[name])
-            .option("header", True)
-            .option("mode", "FAILFAST")
-            .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-            .option("multiLine", name == "order_reviews")
-            .option("escape", '"')
-            .csv(path))
+    """One raw file (or folder of files), read by its header.
+
+    Columns may stand in any order; others than the schema's are ignored, and
+    a missing one raises.  With several files the header of each must be the
+    same.
+    """
+    def reader():
+        return (spark.read.option("header", True).option("escape", '"')
+                .option("multiLine", name == "order_reviews"))
+
+    known = {f.name: f for f in SCHEMAS[name].fields}
+    header = reader().option("inferSchema", False).csv(path).columns  # reads the first line
+    missing = [c for c in known if c not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+    schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+    return (reader().schema(schema).option("enforceSchema", False).option("mode", "FAILFAST")
+            .option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(path).select(*known))
 
 
 def read_marketplace_csv(spark: SparkSession, folder: str,
@@ -36,47 +48,76 @@ def read_marketplace_csv(spark: SparkSession, folder: str,
     return Marketplace(**t).validate()
 
 
+#: Tables whose rows belong to an order and are stored by its month.
+CHILDREN = ("order_items", "order_payments", "order_reviews")
+
+
+def _by_month(name: str, df: DataFrame, orders: DataFrame) -> DataFrame:
+    """``df`` with the purchase month of its order, gathered by month.
+
+    ``REBALANCE`` gives a month as many writers as its size needs and no
+    more, so there are not tasks x months small files.
+    """
+    month = F.date_format("order_purchase_timestamp", "yyyy-MM").alias("purchase_month")
+    if name == "orders":
+        df = df.withColumn("purchase_month", month)
+    else:
+        df = df.join(orders.select("order_id", month).distinct(), "order_id", "left")
+    return df.hint("rebalance", "purchase_month")
+
+
+def _check_one_month(orders: DataFrame) -> None:
+    """An order id in two months would store its children twice."""
+    months = F.count_distinct(F.date_format("order_purchase_timestamp", "yyyy-MM"))
+    twice = orders.groupBy("order_id").agg(months.alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"order {twice[0].order_id} was purchased in several months; "
+                         "store the tables without month partitions")
+
+
 def ingest_to_parquet(spark: SparkSession, folder: str, out_dir: str,
-                      files: dict[str, str] | None = None) -> DataFrame:
+                      files: dict[str, str] | None = None, by_month: bool = True) -> DataFrame:
     """Replace-load every raw CSV as Parquet and audit row counts.
 
-    The count is taken with ``DataFrame.observe`` during the write itself,
-    so each file is read exactly once.  Orders are partitioned by purchase
-    month (see ``write_canonical``).  Returns a (table, rows) frame.
+    The count is taken with ``DataFrame.observe`` during the write itself.
+    Orders and the rows that belong to them are partitioned by purchase month
+    (see ``write_canonical``).  Returns a (table, rows) frame.
     """
+    from pyspark.sql.observation import Observation
+
     files = files or CSV_FILES
+    tables = {n: read_csv_table(spark, f"{folder.rstrip('/')}/{f}", n) for n, f in files.items()}
+    if by_month:
+        _check_one_month(tables["orders"])
     audit = []
-    for name, fname in files.items():
-        df = read_csv_table(spark, f"{folder.rstrip('/')}/{fname}", name)
-        obs = F.count(F.lit(1)).alias("rows")
-        from pyspark.sql.observation import Observation
-
+    for name, df in tables.items():
         o = Observation(f"ingest_{name}")
-        w = df.observe(o, obs)
-        if name == "orders":  # month partitions: scope windows prune directories
-            w = w.withColumn("purchase_month", F.date_format("order_purchase_timestamp", "yyyy-MM")) \
-                .write.mode("overwrite").partitionBy("purchase_month")
-        else:
-            w = w.write.mode("overwrite")
-        w.parquet(f"{out_dir.rstrip('/')}/{name}")
+        df = df.observe(o, F.count(F.lit(1)).alias("rows"))
+        _write(name, df, tables["orders"], out_dir, by_month)
         audit.append((name, int(o.get["rows"])))
     return spark.createDataFrame(audit, "table string, rows bigint")
 
 
-def write_canonical(mp: Marketplace, out_dir: str, partition_orders_by_month: bool = True) -> None:
+def _write(name: str, df: DataFrame, orders: DataFrame, out_dir: str, by_month: bool) -> None:
+    path = f"{out_dir.rstrip('/')}/{name}"
+    if by_month and name in ("orders", *CHILDREN):
+        _by_month(name, df, orders).write.mode("overwrite").partitionBy("purchase_month").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def write_canonical(mp: Marketplace, out_dir: str, by_month: bool = True) -> None:
     """Write the seven canonical tables as Parquet.
 
-    With ``partition_orders_by_month`` the orders get a ``purchase_month``
-    ('yyyy-MM') partition column; ``plans.base.scoped_orders`` then adds
-    the scope's month bounds, so a window of one year out of many prunes
-    whole directories at planning time (PartitionFilters)."""
+    With ``by_month`` orders, items, payments and reviews get the order's
+    ``purchase_month`` ('yyyy-MM') as partition column (rows without an order
+    a null one); ``plans.base`` then adds the scope's month bounds, so a
+    window of one year out of many prunes whole directories of all four
+    tables at planning time (PartitionFilters)."""
+    if by_month:
+        _check_one_month(mp.orders)
     for name, df in mp.tables().items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        if name == "orders" and partition_orders_by_month:
-            (df.withColumn("purchase_month", F.date_format("order_purchase_timestamp", "yyyy-MM"))
-             .write.mode("overwrite").partitionBy("purchase_month").parquet(path))
-        else:
-            df.write.mode("overwrite").parquet(path)
+        _write(name, df, mp.orders, out_dir, by_month)
 
 
 def read_marketplace_parquet(spark: SparkSession, folder: str) -> Marketplace:

@@ -33,7 +33,7 @@ def test_month_partitioned_orders_prune_and_match(spark):
 
     mp = from_driver_tables(spark, SF)
     out = tempfile.mkdtemp(prefix="repeatlens-canon-")
-    write_canonical(mp, out, partition_orders_by_month=True)
+    write_canonical(mp, out, by_month=True)
     pmp = read_marketplace_parquet(spark, out)
     s = driver_scope()
     plan = kpis.exec_kpis(pmp, s)._jdf.queryExecution().executedPlan().toString()

@@ -90,6 +90,23 @@ def features_imputed(mp: Marketplace, scope: Scope) -> DataFrame:
             .na.drop(subset=["delivery_days", "days_early_or_late"]))
 
 
+def label_frame(mp: Marketplace, scope: Scope, value: bool = True) -> DataFrame:
+    """Key, label and (if ``value``) payment value of ``features_imputed``'s rows.
+
+    The same customers, without the joins, the median and the checkpoint that
+    only the other feature columns need."""
+    co = cohort(mp, scope, ["order_delivered_customer_date", "order_estimated_delivery_date"])
+    co = co.na.drop(subset=["order_delivered_customer_date", "order_estimated_delivery_date"])
+    f = co.join(order_top_category(mp, scope, first=co).select("customer_unique_id"),
+                "customer_unique_id")
+    cols = ["customer_unique_id", (F.col("frequency") > 1).cast("int").alias("repeat_customer")]
+    if value:
+        paid = child_rows(mp, "order_payments", scope).groupBy("order_id").agg(
+            F.sum("payment_value").cast("double").alias("payment_value"))
+        f, cols = f.join(paid, "order_id", "left"), [*cols, "payment_value"]
+    return f.select(*cols)
+
+
 def null_report(df: DataFrame) -> DataFrame:
     """Total NULL cells and NULLs per column (one aggregate pass)."""
     per = [F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
@@ -107,7 +124,7 @@ def target_balance(mp: Marketplace, scope: Scope) -> DataFrame:
     """FEA-4: class counts and shares of the repeat target."""
     from pyspark.sql import Window
 
-    f = features_imputed(mp, scope)
+    f = label_frame(mp, scope, value=False)
     g = f.groupBy("repeat_customer").agg(F.count(F.lit(1)).alias("customers"))
     return g.select("repeat_customer", "customers",
                     F.try_divide(F.col("customers").cast("double"),

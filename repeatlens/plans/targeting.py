@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatlens.operators import evaluation as ev
-from repeatlens.plans.features import features_imputed
+from repeatlens.plans.features import label_frame
 from repeatlens.scope import Scope
 from repeatlens.sources.tables import Marketplace
 
@@ -20,23 +20,25 @@ LABEL, KEY, SCORE = "repeat_customer", "customer_unique_id", "payment_value"
 TEST_FRACTION, FOLDS, SEED, TOP_Q = 0.25, 5, 42, 0.9
 
 
-def _base(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
+def _base(mp: Marketplace, scope: Scope, features: DataFrame | None = None,
+          value: bool = True) -> DataFrame:
     """Key, label and score from ``features`` (a prebuilt ``features_imputed``
-    mart) or, by default, from a fresh feature build."""
-    f = features if features is not None else features_imputed(mp, scope)
-    return f.select(KEY, LABEL, SCORE)
+    mart) or, by default, of the same customers from the tables."""
+    if features is None:
+        return label_frame(mp, scope, value)
+    return features.select(KEY, LABEL, *([SCORE] if value else []))
 
 
 def class_weights(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
-    return ev.class_weights(_base(mp, scope, features), LABEL)
+    return ev.class_weights(_base(mp, scope, features, False), LABEL)
 
 
 def stratified_folds(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
-    return ev.stratified_folds(_base(mp, scope, features), LABEL, KEY, FOLDS, SEED).select(KEY, LABEL, "fold")
+    return ev.stratified_folds(_base(mp, scope, features, False), LABEL, KEY, FOLDS, SEED).select(KEY, LABEL, "fold")
 
 
 def stratified_split(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
-    return ev.stratified_split(_base(mp, scope, features), LABEL, KEY, TEST_FRACTION, SEED).select(
+    return ev.stratified_split(_base(mp, scope, features, False), LABEL, KEY, TEST_FRACTION, SEED).select(
         KEY, LABEL, "is_test")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from repeatlens.llm.common import flat_map, table
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 GROUP_BYTES = 2 << 20
 
 

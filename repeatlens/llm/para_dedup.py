@@ -85,7 +85,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, scheme: Sch
 
     def fetch(wanted: DataFrame) -> DataFrame:
         near = where_id(docs, "doc_id", wanted.select("rep").distinct(), "left_semi")
-        return (_sets(near, min_words).join(wanted.select("fp"), "fp", "left_semi")
+        # a document's other paragraphs go before anything is shuffled
+        return (where_id(_sets(near, min_words), "fp", wanted.select("fp"), "left_semi")
                 .dropDuplicates(["fp"]))
 
     linked = link_classes(classes, fetch, scheme)

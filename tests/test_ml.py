@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repeatlens.operators import evaluation as ev
-from repeatlens.plans import modeling
+from repeatlens.plans import features, modeling
 from repeatlens.scope import driver_scope
 from repeatlens.sources.driver_adapter import from_driver_tables
 
@@ -25,9 +25,20 @@ def test_model_frame_folds_and_weights(mp):
     assert set(f.fold) == {0, 1, 2, 3, 4}
     pos = f[f.label == 1].groupby("fold").size()
     assert pos.max() - pos.min() <= 1          # stratified within one row
-    n = len(f)
-    w1 = f[f.label == 1].weight.iloc[0]
-    assert w1 == pytest.approx(n / (2 * (f.label == 1).sum()))
+    assert "weight" not in f.columns  # belongs to the training folds, see below
+    assert len(f) == features.features_imputed(mp, driver_scope()).count()
+
+
+def test_weights_and_prior_come_from_the_training_folds(spark):
+    rows = [(i, float(i % 3 == 0 or i % 5 == 1), i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, label double, fold int")
+    train = df.filter("fold <> 1")
+    got = {r.label: r.weight for r in ev.with_class_weight(train, "label").collect()}
+    n, pos = train.count(), train.filter("label = 1").count()
+    assert got[1.0] == pytest.approx(n / (2 * pos))
+    assert got[0.0] == pytest.approx(n / (2 * (n - pos)))
+    scored = modeling.dummy_scores(df, FAST)
+    assert scored.count() == 60 and set(scored.columns) == {"id", "label", "fold", "score"}
 
 
 def test_feature_names_drop_first_level(mp):

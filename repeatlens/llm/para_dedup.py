@@ -8,22 +8,38 @@ band key are candidates, exact Jaccard similarity on the full sets decides,
 and the links' components are the groups of which one paragraph, the first
 of the smallest document, stays.  See ``near_dup`` for how groups of any
 size are linked without pairing all their members.
+
+What recurs but is no line of its own -- inside longer lines, across lines,
+in lines too short to be compared -- is found in the sequence of all words:
+every run of ``RUN`` words that occurs twice, joined to the longest spans.
+Of each window of a text one anchor is chosen by its words alone (winnowing),
+so that two equal runs have an equal anchor; only windows whose anchor recurs
+are compared, by a 64-bit hash of all their words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repeatlens.llm import hashing
 from repeatlens.llm.common import flat_map, table
-from repeatlens.llm.near_dup import FEATURES, Scheme, describe, link_classes, where_id
+from repeatlens.llm.near_dup import (BROADCAST_IDS, FEATURES, Scheme, describe, link_classes,
+                                     where_id)
 from repeatlens.session import write_shared
 
 #: Shorter paragraphs are titles, salutations and the like, not passages.
 MIN_WORDS = 20
 BANDS = Scheme(percent=80, rows=2, recall=0.999, minima=128)
+#: Any run of so many words that recurs is found, wherever lines break.
+RUN = 40
+#: Words of an anchor; each run holds RUN - ANCHOR + 1 candidates.
+ANCHOR = 20
+_WORD = re.compile(r"[^ \t-\r]+")
 
 
 def paragraphs(text: str | None, min_words: int) -> tuple[list[tuple], list]:
@@ -62,18 +78,137 @@ def _sets(docs: DataFrame, min_words: int) -> DataFrame:
         T.StructField("shingles", T.ArrayType(T.LongType(), False))]))
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, scheme: Scheme = BANDS,
-                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, para, start, end, n_words, group_doc_id, group_para, kept):
-    one row per paragraph that another one repeats.
+def _anchored(h: np.ndarray, gone: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of RUN words, the place of each one's anchor, and
+    the hashes at all places.  Windows of words that are all gone are left out."""
+    if len(h) < RUN:
+        none = np.empty(0, np.int64)
+        return none, none, h[:0]
+    hashes = hashing._windows(h, ANCHOR)
+    starts = np.arange(len(h) - RUN + 1)
+    places = starts + np.lib.stride_tricks.sliding_window_view(
+        hashes, RUN - ANCHOR + 1).argmin(axis=1)
+    if gone is not None:
+        upto = np.concatenate([[0], np.cumsum(gone)])
+        left = upto[RUN:] - upto[:-RUN] < RUN
+        starts, places = starts[left], places[left]
+    return starts, places, hashes
 
-    para counts lines from 0, start and end are code points of the text; the
-    group is named by its first paragraph, which is kept.  A null id sorts
-    before all others.  Null and empty texts have no paragraphs; repeated
-    rows repeat each other's paragraphs, and all rows of the group's name are
-    kept.  Other columns are ignored.  Empty input, empty result.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+def _lines(text: str, gone: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Hash and line of each word, and whether the line is one of ``gone``,
+    (para, fp) of lines that are repeats already."""
+    lines = [hashing.split(line) for line in text.split("\n")]
+    h = hashing._hash_words([w for line in lines for w in line])
+    at = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+    if not gone:
+        return h, at, None
+    out = np.zeros(len(lines), bool)
+    for g in gone:
+        i = g["para"]  # rows of one id may have different texts
+        out[i:i + 1] = i < len(lines) and hashing.fingerprint(
+            hashing.shingles_of([lines[i]])[0]) == g["fp"]
+    return h, at, out[at]
+
+
+def _cycling(windows: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Windows that repeat an earlier one of the line because the line cycles:
+    the two stretches that agree overlap."""
+    order = np.lexsort((starts, windows))
+    dist = np.zeros(len(starts), np.int64)
+    same = windows[order][1:] == windows[order][:-1]
+    dist[order[1:][same]] = np.diff(starts[order])[same]
+    dist[(dist > 0) & (at[starts - dist] != at[starts + RUN - 1])] = 0
+    new = np.ones(len(starts), bool)
+    new[1:] = (np.diff(starts) != 1) | (dist[1:] != dist[:-1])
+    run = np.cumsum(new) - 1
+    return (dist > 0) & (np.bincount(run)[run] + RUN - 1 > dist)
+
+
+def _few(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """``df``, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows like ``repeated_paragraphs``' for runs of RUN words or more that
+    recur outside of lines that are ``gone`` (doc_id, gone)."""
+    gone = _few(gone.withColumnRenamed("doc_id", "_id"))
+    texts = docs.filter("text is not null").join(
+        gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone")
+    longs = T.ArrayType(T.LongType(), False)
+
+    def anchors():
+        def one(doc_id, text, gone):
+            h, _, out = _lines(text, gone)
+            _, places, hashes = _anchored(h, out)
+            return [(doc_id, hashes[np.unique(places)].view("int64"))] if len(places) else []
+        return one
+
+    found = write_shared(flat_map(texts, anchors, T.StructType([
+        docs.schema["doc_id"], T.StructField("anchors", longs)])), "anchors")
+    each = found.select("doc_id", F.explode("anchors").alias("a"))
+    again = write_shared(each.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+                         .select("a"), "again")
+    wanted = write_shared(each.join(_few(again), "a").groupBy("doc_id")
+                          .agg(F.collect_set("a").alias("anchors")), "anchored")
+    size = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    narrow = wanted.withColumnRenamed("doc_id", "_a_id")
+    near = where_id(texts, "doc_id", wanted.select("doc_id"), "left_semi")
+    near = near.join(F.broadcast(narrow) if size <= 4 * BROADCAST_IDS else narrow,
+                     F.col("doc_id").eqNullSafe(F.col("_a_id")))
+
+    def windows():
+        def one(doc_id, text, gone, anchors):
+            h, at, out = _lines(text, gone)
+            starts, places, hashes = _anchored(h, out)
+            hit = np.isin(hashes[places], np.array(anchors, np.int64).view(np.uint64))
+            starts = starts[hit]
+            if not len(starts):
+                return []
+            hashes = hashing._windows(h, RUN)[starts]
+            spans = np.array([m.span() for m in _WORD.finditer(text)])
+            return [(doc_id, [
+                {"h": a, "pos": b, "line": c, "start": d, "end": e, "cycles": f} for a, b, c, d, e, f
+                in zip(hashes.view("int64").tolist(), starts.tolist(), at[starts].tolist(),
+                       spans[starts, 0].tolist(), spans[starts + RUN - 1, 1].tolist(),
+                       _cycling(hashes, starts, at).tolist())])]
+        return one
+
+    window = T.StructType([*(T.StructField(n, T.LongType()) for n in (
+        "h", "pos", "line", "start", "end")), T.StructField("cycles", T.BooleanType())])
+    rows = write_shared(flat_map(near.select("doc_id", "text", "gone", "anchors"), windows,
+                                 T.StructType([docs.schema["doc_id"], T.StructField(
+                                     "w", T.ArrayType(window))]))
+                        .withColumn("rid", F.monotonically_increasing_id()), "windows")
+    every = rows.select("rid", "doc_id", F.inline("w"))
+    first = write_shared(every.groupBy("h").agg(
+        F.min(F.struct("doc_id", "pos", "line")).alias("first"),
+        F.count(F.when(~F.col("cycles"), 1)).alias("n")).filter("n > 1").drop("n"), "recurring")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    hits = (every.join(_few(first), "h")
+            .withColumn("kept", own & (F.col("pos") == F.col("first.pos")))
+            .filter(~(F.col("cycles") & own) | F.col("kept")))
+    # neighbours whose first places are neighbours too make one span
+    w = Window.partitionBy("rid").orderBy("pos")
+    follows = ((F.col("pos") == F.lag("pos").over(w) + 1)
+               & (F.col("first.pos") == F.lag("first.pos").over(w) + 1)
+               & F.col("first.doc_id").eqNullSafe(F.lag("first.doc_id").over(w))
+               & (F.col("kept") == F.lag("kept").over(w)))
+    spans = hits.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn(
+        "span", F.sum("new").over(w))
+    return (spans.groupBy("rid", "span").agg(
+        F.first("doc_id").alias("doc_id"), F.min("line").alias("para"),
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.count("*") + RUN - 1).alias("n_words"), F.min("first").alias("first"),
+        F.first("kept").alias("kept"))
+        .select("doc_id", "para", "start", "end", "n_words",
+                F.col("first.doc_id").alias("group_doc_id"),
+                F.col("first.line").alias("group_para"), "kept"))
+
+
+def _repeats(docs: DataFrame, min_words: int, scheme: Scheme) -> DataFrame:
+    """``repeated_paragraphs`` of (doc_id, text), and whether the row is a line."""
     feats = write_shared(features(docs, min_words, scheme), "paragraphs")
     classes = write_shared(
         feats.groupBy("fp").agg(
@@ -96,23 +231,72 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, scheme: Sch
     grouped = (placed.join(heads, "component", "left").filter("n > 1 or head is not null")
                .select("fp", F.coalesce("head", "first").alias("head")))
     out = feats.select("doc_id", "para", "start", "end", "n_words", "fp").join(grouped, "fp")
-    return out.select("doc_id", "para", "start", "end", "n_words",
-                      F.col("head.doc_id").alias("group_doc_id"),
-                      F.col("head.para").alias("group_para"),
-                      F.struct("doc_id", "para").eqNullSafe(F.col("head")).alias("kept"))
+    lines = write_shared(out.select(
+        "doc_id", "para", "start", "end", "n_words", F.col("head.doc_id").alias("group_doc_id"),
+        F.col("head.para").alias("group_para"),
+        F.struct("doc_id", "para").eqNullSafe(F.col("head")).alias("kept"), "fp"), "lines")
+    gone = write_shared(lines.filter("not kept and doc_id is not null").groupBy("doc_id").agg(
+        F.collect_set(F.struct("para", "fp")).alias("gone")), "gone")
+    passages = write_shared(_passages(docs, gone), "passages")
+    # the first place of a passage may be a line that has its row already
+    heads = lines.filter("kept").select("doc_id", "para", "start", "end").distinct()
+    inside = (F.col("p.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("p.kept")
+              & (F.col("p.para") == F.col("l.para")) & (F.col("p.start") >= F.col("l.start"))
+              & (F.col("p.end") <= F.col("l.end")))
+    others = passages.alias("p").join(heads.alias("l"), inside, "left_anti")
+    return (lines.drop("fp").withColumn("line", F.lit(True))
+            .unionByName(others.withColumn("line", F.lit(False))))
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, scheme: Scheme = BANDS,
+                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, para, start, end, n_words, group_doc_id, group_para, kept):
+    one row per paragraph that another one repeats, and per longest passage
+    of ``RUN`` words or more that recurs outside such paragraphs.
+
+    para counts lines from 0 (of a passage, the line it starts in), start and
+    end are code points of the text; the group is named by its first
+    paragraph or place, which is kept.  A null id sorts before all others.
+    Null and empty texts have no paragraphs; repeated rows repeat each
+    other's paragraphs, and all rows of the group's name are kept.  A line
+    that cycles does not repeat itself.  Other columns are ignored.  Empty
+    input, empty result.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _repeats(docs, min_words, scheme).drop("line")
+
+
+def _without(text: str | None, paras: list | None, spans: list | None) -> str | None:
+    """``text`` without some lines, and without spans of the other ones."""
+    if text is None:
+        return None
+    paras, out, at = set(paras or ()), [], 0
+    spans = sorted((s["start"], s["end"]) for s in spans or ())
+    for i, line in enumerate(text.split("\n")):
+        left, done = "", 0
+        for a, b in spans:
+            a, b = max(a - at, done), min(b - at, len(line))
+            if a < b:
+                left, done = left + line[done:a], b
+        left += line[done:]
+        if i not in paras and (left.strip() or not line.strip()):
+            out.append(left)
+        at += len(line) + 1
+    return "\n".join(out)
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, scheme: Scheme = BANDS,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that are not kept (their line breaks
-    go with them).  Ids must be unique; rows with a null id stay as they are."""
-    gone = (repeated_paragraphs(docs, min_words, scheme, id_col, text_col)
-            .filter("not kept and doc_id is not null")
-            .groupBy("doc_id").agg(F.collect_set("para").alias("_p_gone"))
+    """``docs`` without the paragraphs and passages that are not kept (line
+    breaks go with their lines).  Ids must be unique; rows with a null id
+    stay as they are."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = (_repeats(rows, min_words, scheme).filter("not kept and doc_id is not null")
+            .groupBy("doc_id").agg(
+                F.collect_set(F.when(F.col("line"), F.col("para"))).alias("_p_gone"),
+                F.collect_set(F.when(~F.col("line"), F.struct("start", "end"))).alias("_p_spans"))
             .withColumnRenamed("doc_id", "_p_id"))
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(
-        F.col("_p_gone"), i.cast("long"))), "\n")
+    left = F.udf(_without, "string")(F.col(text_col), F.col("_p_gone"), F.col("_p_spans"))
     return (docs.join(gone, docs[id_col] == gone["_p_id"], "left")
             .withColumn(text_col, F.when(F.col("_p_gone").isNull(), F.col(text_col)).otherwise(left))
             .select(*docs.columns))

@@ -49,3 +49,49 @@ def test_odd_rows_and_empty_table(spark):
     assert got == [(-1, None, True), (20, None, False), (20, None, False)]
     assert para_dedup.repeated_paragraphs(docs(spark, [])).collect() == []
     assert para_dedup.drop_repeated(docs(spark, odd_rows())).count() == len(odd_rows())
+
+
+def test_passages_inside_and_across_lines(spark):
+    p = prose(21, 60)
+    a = prose(22, 30) + p + prose(23, 40)
+    b = prose(24, 50) + p + prose(25, 70)
+    wrapped = prose(26, 160)
+    short = "\n".join(" ".join(wrapped[i:i + 16]) for i in range(0, 160, 16))
+    other = "\n".join([" ".join(prose(27, 11)), *(" ".join(wrapped[i:i + 9])
+                                                  for i in range(0, 160, 9))])
+    rows = [(1, " ".join(a)), (2, "x\n" + " ".join(b[:80]) + "\n" + " ".join(b[80:])),
+            (3, short), (4, other), (5, short), (6, " ".join(prose(28, 90))),
+            (7, " ".join(p[:39] + prose(29, 40)))]
+    got = para_dedup.repeated_paragraphs(docs(spark, rows)).collect()
+    text = dict(rows)
+    found = sorted((r.doc_id, r.para, r.n_words, r.group_doc_id, r.group_para, r.kept) for r in got)
+    assert found == [(1, 0, 60, 1, 0, True), (2, 1, 60, 1, 0, False), (3, 0, 160, 3, 0, True),
+                     (4, 1, 160, 3, 0, False), (5, 0, 160, 3, 0, False)]
+    assert {(r.doc_id < 3, *text[r.doc_id][r.start:r.end].split()) for r in got} == {
+        (True, *p), (False, *wrapped)}
+    clean = {r.doc_id: r.text for r in para_dedup.drop_repeated(docs(spark, rows)).collect()}
+    assert clean[1] == text[1] and clean[3] == short and clean[5] == ""
+    assert clean[2].split() == ["x"] + b[:50] + b[110:] and clean[4].split() == prose(27, 11)
+
+
+def test_windows_against_all_runs(spark):
+    rng = __import__("random").Random(5)
+    pieces = [prose(100 + i, 15 + 9 * i) for i in range(8)]
+    rows = []
+    for i in range(30):
+        w = []
+        for _ in range(4):
+            w += prose(rng.randrange(10 ** 9), rng.randint(1, 30)) + rng.choice(pieces)
+        rows.append((i, "".join(x + rng.choice("   \n") for x in w)))
+    n = para_dedup.RUN
+    places = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - n + 1):
+            places.setdefault(tuple(w[k:k + n]), []).append((i, k))
+    want = {(i, k + j) for at in places.values() if len(at) > 1 for i, k in at for j in range(n)}
+    covered = set()
+    for r in para_dedup.repeated_paragraphs(docs(spark, rows)).collect():
+        at = len(dict(rows)[r.doc_id][:r.start].split())
+        covered |= {(r.doc_id, at + j) for j in range(r.n_words)}
+    assert want and want <= covered

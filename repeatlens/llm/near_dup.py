@@ -255,7 +255,8 @@ def where_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFram
 
 
 def _marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, fp, n_shingles, component_id and kept of (doc_id, text) rows."""
+    """doc_id, fp, n_shingles, key, component_id and kept of (doc_id, text)
+    rows; key names the component itself, also where ids are null or repeated."""
     feats = write_shared(features(docs, "doc_id", "text", scheme), "minhash")
     classes = write_shared(
         feats.filter("fp is not null").groupBy("fp")
@@ -272,11 +273,12 @@ def _marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
     named = classes.select("vid", "fp", "rep").join(linked, "vid")
     least = named.groupBy("component").agg(F.min("rep").alias("smallest"))
     by_set = (classes.select("vid", "fp", "rep")
-              .join(named.join(least, "component").select("vid", "smallest"), "vid", "left")
-              .select("fp", F.coalesce("smallest", "rep").alias("smallest")))
+              .join(named.join(least, "component").select("vid", "smallest", "component"), "vid", "left")
+              .select("fp", F.coalesce("smallest", "rep").alias("smallest"),
+                      F.coalesce("component", "vid").alias("key")))
     out = feats.select("id", "n_shingles", "fp").join(by_set, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("smallest"))
-    return out.select(F.col("id").alias("doc_id"), "fp", "n_shingles",
+    return out.select(F.col("id").alias("doc_id"), "fp", "n_shingles", "key",
                       component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
 
@@ -294,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     columns are ignored.  Empty input, empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _marks(rows, Scheme(percent)).drop("fp")
+    return _marks(rows, Scheme(percent)).drop("fp", "key")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
@@ -320,11 +322,11 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_
     sets = shingle_sets(packed.select("text").distinct(), "text", keep_text=True)
     placed = packed.join(sets, "text", "left").withColumn("fp", F.coalesce("fp", F.lit(b"")))
     kept = (marks.filter("kept").select("doc_id", F.coalesce("fp", F.lit(b"")).alias("fp"),
-                                        F.col("component_id").alias("c")).distinct())
+                                        "key").distinct())
     chosen = placed.alias("p").join(kept.alias("k"), F.col("p.doc_id").eqNullSafe(
-        F.col("k.doc_id")) & (F.col("p.fp") == F.col("k.fp"))).select("p.row", "p.text", "p.fp", "c")
+        F.col("k.doc_id")) & (F.col("p.fp") == F.col("k.fp"))).select("p.row", "p.text", "p.fp", "key")
     empty = chosen.filter(F.col("fp") == F.lit(b"")).select("row.*")
-    one = (chosen.filter(F.col("fp") != F.lit(b"")).groupBy("c")
+    one = (chosen.filter(F.col("fp") != F.lit(b"")).groupBy("key")
            .agg(F.min_by("row", "text").alias("row")).select("row.*"))
     return out.unionByName(one).unionByName(empty)
 

@@ -116,6 +116,28 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert out.filter("text is null").count() == 1
 
 
+def test_unlinked_texts_under_one_id_all_stay(spark):
+    a, b, c, d, e = (prose(70 + i, 60) for i in range(5))
+    near = [*d[:59], "changed"]
+    rows = [(i, " ".join(w)) for i, w in [(5, a), (5, b), (None, c), (None, d), (None, d),
+                                          (None, near), (7, b), (8, e), (8, e), (None, e)]]
+    sets = [set(hashing.shingles(t).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 85 * len(x | y):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = []
+    for g in set(group):
+        of = [r for r, k in zip(rows, group) if k == g]
+        least = min((i for i, _ in of if i is not None), default=None)
+        want.append((least, min(t for i, t in of if i == least)))
+    out = near_dup.drop_near_duplicates(docs(spark, rows)).collect()
+    key = lambda r: (r[0] or -1, r[1])
+    assert sorted(((r.doc_id, r.text) for r in out), key=key) == sorted(want, key=key)
+    assert len(want) == 5
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))]

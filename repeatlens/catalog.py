@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.scope import Scope, driver_full_scope, driver_scope
+from repeatlens.scope import Scope, driver_cohort_scope, driver_full_scope
 from repeatlens.sources.driver_adapter import from_driver_tables
 from repeatlens.sources.tables import Marketplace
 from repeatlens.plans import (bi, cohort, features, hypothesis, kpis, modeling, quality, rfm,
@@ -73,7 +73,7 @@ JOBS: dict[str, Job] = {
 }
 
 
-#: Jobs without a cohort: their registered queries cover all months.
+#: Jobs without a cohort; the others need an end of the time to reorder.  All cover all months.
 FULL_SPAN = {
     "exec_kpis", "monthly_revenue_trend", "regional_performance", "category_performance",
     "top_products_per_category", "rfm_base", "rfm_describe", "rfm_scores", "rfm_segments",
@@ -84,7 +84,7 @@ FULL_SPAN = {
 
 def registered_scope(name: str) -> Scope:
     """The driver-table scope that a query is registered with."""
-    return driver_full_scope() if name in FULL_SPAN else driver_scope()
+    return driver_full_scope() if name in FULL_SPAN else driver_cohort_scope()
 
 
 def portable(df: DataFrame) -> DataFrame:

@@ -37,6 +37,12 @@ def driver_full_scope() -> Scope:
                  eligible_before="2009-07-01 00:00:00", snapshot="2010-01-01 00:00:00")
 
 
+def driver_cohort_scope() -> Scope:
+    """All months, with six months to reorder before the last order."""
+    whole = driver_full_scope()
+    return driver_scope().with_(window_start=whole.window_start, window_end=whole.window_end)
+
+
 def driver_scope(min_n: int = 10) -> Scope:
     """Scope that fits the driver's synthetic tables (see FIXTURES.md)."""
     return Scope(

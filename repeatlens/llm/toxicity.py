@@ -194,15 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
         .join(F.broadcast(chosen), "doc_id")
         .select(F.xxhash64("doc_id", "text").alias("h"), F.length("text").alias("n"), "text",
                 "toxic"), "sample")
-    used, last = 0, None
-    for h, n in sample.select("h", "n").orderBy("h").limit(max_docs).collect():
-        used += n
-        if used > max_chars and last is not None:
-            break
-        last = h
-    if last is None:
-        return fit([])
-    rows = sample.filter(F.col("h") <= last).select("h", "text", "toxic").limit(max_docs).collect()
+    used, taken = 0, []
+    sizes = sample.groupBy("h").agg(F.sum("n").alias("n"))
+    for h, n in sizes.orderBy("h").limit(max_docs).collect():
+        if used + n <= max_chars:  # a text too long is passed over, others still fit
+            used += n
+            taken.append(h)
+    rows = sample.filter(F.col("h").isin(taken)).select("h", "text", "toxic").limit(max_docs).collect()
     return fit([(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: (r.h, r.text))])
 
 

@@ -86,6 +86,16 @@ def test_sample_bounds(spark):
     assert X.train(d, lab, max_chars=1)["weights"] == {}  # one document: nothing to compare
 
 
+def test_a_text_over_the_budget_does_not_end_the_sample(spark):
+    rows, labels = corpus(60)
+    d, lab = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    want = X.train(d, lab)
+    for i in (10 ** 6, 10 ** 6 + 2, 10 ** 6 + 3):  # wherever their hashes stand
+        d = d.union(docs(spark, [(i, "long word " * 5000)]))
+        lab = lab.union(spark.createDataFrame([(i, 1, 0)], LABELS))
+    assert X.train(d, lab, max_chars=45_000) == want and want["weights"]
+
+
 def test_odd_rows_and_empty_tables(spark):
     rows, labels = corpus(100)
     odd = [(None if r[0] is None else 1000 + r[0], *r[1:]) for r in odd_rows()]

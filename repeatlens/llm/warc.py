@@ -10,7 +10,8 @@ writes WARC 1.1 in which a payload that recurs is stored once and revisited.
 Archives are gzip files below the session's shared folder, written and read
 by Spark: the text writer puts the separator between records, the binary
 reader hands a file to a task, which inflates it piece by piece and cuts it
-by declared lengths.  Files hold at most ``RECORDS_PER_FILE`` records.
+by declared lengths.  Files hold at most ``RECORDS_PER_FILE`` records and
+``FILE_BYTES`` of payloads, or a single payload.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from repeatlens.llm.common import flat_map, table
 from repeatlens.session import shared_path, write_shared
 
 RECORDS_PER_FILE = 2000
+#: ... and fewer where the largest payload makes so many exceed this size.
+FILE_BYTES = 256 << 20
 #: Archives are written once and read once here; the fastest level suits.
 GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Shorter payloads are always stored.
@@ -278,6 +281,12 @@ def _page_id(uri: Column) -> Column:
     return F.when(text != "", text.cast("long"))
 
 
+def _records_per_file(pages: DataFrame) -> int:
+    """By the largest payload; two at least, an ARC file's first is its version block."""
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
+    return max(2, min(RECORDS_PER_FILE, FILE_BYTES // largest))
+
+
 def archive_pages(pages: DataFrame) -> DataFrame:
     """The WARC records of ``pages`` (page_id, url, html), read back from the
     archives that they were written to: page_id, payload_bytes,
@@ -297,8 +306,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
         F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyyMMddHHmmss")
         .alias("date"))
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
-    write_arc(legacy, arc)
-    write_warc(to_warc(read_arc(spark, arc), _page_id(F.col("url"))), warc)
+    records = _records_per_file(pages)
+    write_arc(legacy, arc, records)
+    write_warc(to_warc(read_arc(spark, arc), _page_id(F.col("url"))), warc, max(1, records - 1))
     back = read_warc(spark, warc)
     stored = F.col("type") == "response"
     return back.select(

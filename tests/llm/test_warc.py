@@ -63,6 +63,18 @@ def test_small_files_and_no_broadcast(spark, monkeypatch, tmp_path):
     assert len({r.id for r in back}) == 90
 
 
+def test_large_payloads_make_files_of_fewer_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 30_000)
+    sizes = []
+    monkeypatch.setattr(warc, "_files", lambda spark, path, read=warc._files: (
+        sizes.extend(r.n for r in read(spark, path).selectExpr("*").toDF("content").selectExpr(
+            "octet_length(content) n").collect()), read(spark, path))[1])
+    rows = [(i, f"http://h/{i}", f"{i} " * 5000) for i in range(1, 10)]
+    df = spark.createDataFrame(rows, PAGES).coalesce(1)
+    assert order(warc.archive_pages(df).collect()) == order(expected(rows))
+    assert warc._records_per_file(df) == 3 and len(sizes) >= 8
+
+
 def test_header_lines_by_version():
     data = b""
     for v, line in ((1, "http://a 1.2.3.4 20000101000000 text/html 5"),

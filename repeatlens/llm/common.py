@@ -23,11 +23,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _weight(v) -> int:
+    """About the bytes that a value takes, nested ones by their content."""
     if v is None or isinstance(v, (bool, int, float)):
-        return 8
+        return 32
     if hasattr(v, "nbytes"):
-        return v.nbytes
-    return 8 + len(v)
+        return 100 + v.nbytes
+    if isinstance(v, dict):
+        return 200 + sum(map(_weight, v.values()))
+    if isinstance(v, (list, tuple)):
+        return 60 + sum(map(_weight, v))
+    return 60 + len(v)
 
 
 def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
@@ -69,6 +74,38 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
     return df.mapInArrow(run, schema)
 
 
+def stream(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Pass each partition's rows, in order, through one generator."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                yield from zip(*(c.slice(i, 256).to_pylist() for c in batch.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+        for row in rows(given(batches)):
+            out.append(row)
+            size += sum(map(_weight, row))
+            if size >= FLUSH_BYTES:
+                yield flush()
+                out.clear()
+                size = 0
+        if out:
+            yield flush()
+
+    return df.mapInArrow(run, schema)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -74,6 +74,43 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
     return df.mapInArrow(run, schema)
 
 
+def flat_columns(df: DataFrame, make: Callable[[], Callable[..., list | None]],
+                 schema: T.StructType) -> DataFrame:
+    """Like ``flat_map``, for functions that return whole columns for a row:
+    Arrow or numpy arrays of one length, or None for no output."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        held: list[list[pa.Array]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(c) for c in zip(*held)], schema=arrow)
+
+        for batch in batches:
+            columns = batch.columns
+            for i in range(batch.num_rows):
+                out = fn(*(c[i].as_py() for c in columns))
+                if out is None:
+                    continue
+                out = [a if isinstance(a, pa.Array) else pa.array(a, f.type)
+                       for a, f in zip(out, arrow)]
+                held.append(out)
+                size += sum(a.nbytes for a in out)
+                if size >= FLUSH_BYTES:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flush()
+
+    return df.mapInArrow(run, schema)
+
+
 def stream(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """Pass each partition's rows, in order, through one generator."""
     from pyspark.sql.pandas.types import to_arrow_schema

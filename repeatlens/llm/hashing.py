@@ -81,6 +81,43 @@ def _windows(h: np.ndarray, width: int) -> np.ndarray:
     return _mix(acc)
 
 
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 2**64)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_ODD, _INVERSE):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def rolling(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, in order, at a cost that does
+    not depend on ``width``: differences of running sums, shifted to the front."""
+    if len(h) < width:
+        return h[:0]
+    size = 1 << max(12, (len(h) - 1).bit_length())
+    up, down = _powers(size)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[:len(h)], out=sums[1:])
+    last = len(h) - width + 1
+    return _mix((sums[width:] - sums[:last]) * down[:last])
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row."""
+    span = 1
+    while 2 * span <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(x[:len(x) - rest], x[rest:]) if rest else x
+
+
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Distinct shingle hashes in ascending order; empty for no words."""
     h = _hash_words(split(text or ""))

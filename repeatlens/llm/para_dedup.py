@@ -19,15 +19,19 @@ are compared, by a 64-bit hash of all their words.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from repeatlens.llm import hashing
-from repeatlens.llm.common import flat_map, table
+from repeatlens.llm.common import flat_columns, flat_map, table
 from repeatlens.llm.near_dup import (BROADCAST_IDS, FEATURES, Scheme, describe, link_classes,
                                      where_id)
 from repeatlens.session import write_shared
@@ -78,21 +82,19 @@ def _sets(docs: DataFrame, min_words: int) -> DataFrame:
         T.StructField("shingles", T.ArrayType(T.LongType(), False))]))
 
 
-def _anchored(h: np.ndarray, gone: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows of RUN words, the place of each one's anchor, and
-    the hashes at all places.  Windows of words that are all gone are left out."""
+def _anchored(h: np.ndarray, gone: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of RUN words and the anchor of each, the least
+    hash of its runs of ANCHOR words.  Windows of words that are all gone are
+    left out."""
     if len(h) < RUN:
-        none = np.empty(0, np.int64)
-        return none, none, h[:0]
-    hashes = hashing._windows(h, ANCHOR)
-    starts = np.arange(len(h) - RUN + 1)
-    places = starts + np.lib.stride_tricks.sliding_window_view(
-        hashes, RUN - ANCHOR + 1).argmin(axis=1)
+        return np.empty(0, np.int64), h[:0]
+    anchors = hashing.sliding_min(hashing.rolling(h, ANCHOR), RUN - ANCHOR + 1)
+    starts = np.arange(len(anchors))
     if gone is not None:
         upto = np.concatenate([[0], np.cumsum(gone)])
         left = upto[RUN:] - upto[:-RUN] < RUN
-        starts, places = starts[left], places[left]
-    return starts, places, hashes
+        starts, anchors = starts[left], anchors[left]
+    return starts, anchors
 
 
 def _lines(text: str, gone: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -125,15 +127,17 @@ def _cycling(windows: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndar
     return (dist > 0) & (np.bincount(run)[run] + RUN - 1 > dist)
 
 
-def _few(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """``df``, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _few(df: DataFrame, items: str | None = None, rows: int = BROADCAST_IDS) -> DataFrame:
+    """``df``, to be broadcast if it has few rows, each counted with the
+    entries of its array ``items``."""
+    size = df.agg(F.sum(F.size(items) + 1)).first()[0] or 0 if items else df.count()
+    return F.broadcast(df) if size <= rows else df
 
 
 def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows like ``repeated_paragraphs``' for runs of RUN words or more that
     recur outside of lines that are ``gone`` (doc_id, gone)."""
-    gone = _few(gone.withColumnRenamed("doc_id", "_id"))
+    gone = _few(gone.withColumnRenamed("doc_id", "_id"), "gone")
     texts = docs.filter("text is not null").join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone")
     longs = T.ArrayType(T.LongType(), False)
@@ -141,8 +145,8 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     def anchors():
         def one(doc_id, text, gone):
             h, _, out = _lines(text, gone)
-            _, places, hashes = _anchored(h, out)
-            return [(doc_id, hashes[np.unique(places)].view("int64"))] if len(places) else []
+            _, hashes = _anchored(h, out)
+            return [(doc_id, np.unique(hashes).view("int64"))] if len(hashes) else []
         return one
 
     found = write_shared(flat_map(texts, anchors, T.StructType([
@@ -152,36 +156,35 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
                          .select("a"), "again")
     wanted = write_shared(each.join(_few(again), "a").groupBy("doc_id")
                           .agg(F.collect_set("a").alias("anchors")), "anchored")
-    size = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    narrow = wanted.withColumnRenamed("doc_id", "_a_id")
+    narrow = _few(wanted.withColumnRenamed("doc_id", "_a_id"), "anchors", 4 * BROADCAST_IDS)
     near = where_id(texts, "doc_id", wanted.select("doc_id"), "left_semi")
-    near = near.join(F.broadcast(narrow) if size <= 4 * BROADCAST_IDS else narrow,
-                     F.col("doc_id").eqNullSafe(F.col("_a_id")))
+    near = near.join(narrow, F.col("doc_id").eqNullSafe(F.col("_a_id")))
+
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def windows():
+        # one id for each row of documents; the rows are written once, below
+        task = TaskContext.get().partitionId() << 33
+        rids = itertools.count(task)
+
         def one(doc_id, text, gone, anchors):
             h, at, out = _lines(text, gone)
-            starts, places, hashes = _anchored(h, out)
-            hit = np.isin(hashes[places], np.array(anchors, np.int64).view(np.uint64))
-            starts = starts[hit]
+            starts, hashes = _anchored(h, out)
+            starts = starts[np.isin(hashes, np.array(anchors, np.int64).view(np.uint64))]
             if not len(starts):
-                return []
-            hashes = hashing._windows(h, RUN)[starts]
+                return None
+            hashes = hashing.rolling(h, RUN)[starts]
             spans = np.array([m.span() for m in _WORD.finditer(text)])
-            return [(doc_id, [
-                {"h": a, "pos": b, "line": c, "start": d, "end": e, "cycles": f} for a, b, c, d, e, f
-                in zip(hashes.view("int64").tolist(), starts.tolist(), at[starts].tolist(),
-                       spans[starts, 0].tolist(), spans[starts + RUN - 1, 1].tolist(),
-                       _cycling(hashes, starts, at).tolist())])]
+            return [np.full(len(starts), next(rids)), pa.repeat(pa.scalar(doc_id, id_type), len(starts)),
+                    hashes.view(np.int64), starts, at[starts], spans[starts, 0],
+                    spans[starts + RUN - 1, 1], _cycling(hashes, starts, at)]
         return one
 
-    window = T.StructType([*(T.StructField(n, T.LongType()) for n in (
-        "h", "pos", "line", "start", "end")), T.StructField("cycles", T.BooleanType())])
-    rows = write_shared(flat_map(near.select("doc_id", "text", "gone", "anchors"), windows,
-                                 T.StructType([docs.schema["doc_id"], T.StructField(
-                                     "w", T.ArrayType(window))]))
-                        .withColumn("rid", F.monotonically_increasing_id()), "windows")
-    every = rows.select("rid", "doc_id", F.inline("w"))
+    longs = [T.StructField(n, T.LongType()) for n in ("h", "pos", "line", "start", "end")]
+    every = write_shared(flat_columns(
+        near.select("doc_id", "text", "gone", "anchors"), windows, T.StructType([
+            T.StructField("rid", T.LongType()), docs.schema["doc_id"], *longs,
+            T.StructField("cycles", T.BooleanType())])), "windows")
     first = write_shared(every.groupBy("h").agg(
         F.min(F.struct("doc_id", "pos", "line")).alias("first"),
         F.count(F.when(~F.col("cycles"), 1)).alias("n")).filter("n > 1").drop("n"), "recurring")

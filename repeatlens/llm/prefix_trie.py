@@ -43,6 +43,8 @@ FAMILY, MAX_SHARED = 5, 9
 CHUNK_TURNS, SHARD_TURNS = 4096, 200_000
 #: Shards are cut by the nodes of the first so many turns.
 SHARD_DEPTH = 8
+#: Shared nodes (24 bytes each) that are broadcast.
+BROADCAST_NODES = 500_000
 #: Free cells tried for a node with several children before the arrays grow.
 TRIES = 64
 
@@ -384,10 +386,9 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
             F.first("parent_conv").alias("parent_conv"),
             ((F.count(F.lit(1)) > 1) | F.max("open")).alias("shared")), "trie-nodes")
     upper = merged.filter("shared").select("node", "parent", "depth", "bytes", "n", "conv_id")
-    below = merged.filter("parent is not null").join(
-        upper.select(F.col("node").alias("parent"), F.col("conv_id").alias("upper_conv")), "parent")
     final = F.when(~F.col("shared"), 1)
-    sums = below.groupBy(F.col("parent").alias("node")).agg(
+    # added up before the join: a node may have a third of all nodes for children
+    sums = merged.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(
         F.count(F.lit(1)).alias("kids"), F.sum(final * F.col("leaves")).alias("l"),
         F.sum(final * F.col("saved")).alias("s"))
     upper = write_shared(upper.join(sums, "node", "left").select(
@@ -398,6 +399,8 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
     columns = ["node", "parent", "depth", "n", "conv_id", "kids", "leaves", "saved", "parent_conv"]
     lower = merged.filter("not shared")
     above = upper.select(F.col("node").alias("parent"), F.col("conv_id").alias("upper_conv"))
+    if upper.count() <= BROADCAST_NODES:  # else adaptive execution splits hot parents
+        above = F.broadcast(above)
     # a final node's parent is final, too, and known by the shard, or it is an upper one
     lower = lower.join(above, "parent", "left").withColumn(
         "parent_conv", F.coalesce("upper_conv", "parent_conv")).select(columns)
@@ -470,7 +473,7 @@ WITH t AS (
   FROM below JOIN nodes AS l ON l.node = below.lower LEFT JOIN kids ON kids.node = below.lower
   GROUP BY below.node
 )
-SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, p.c AS parent_conv_id,
+SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, CAST(p.c AS DOUBLE) AS parent_conv_id,
        CAST(a.n AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
        CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
        sha256(coalesce(a.ids, '')) AS ends_sha256

@@ -350,10 +350,43 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def recode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
+           ids_col: str = "token_ids", decoded_col: str = "decoded",
+           rows: int = 128) -> DataFrame:
+    """``docs`` with ``text_col`` replaced by the token ids of each whole text
+    (null: none) and the text that they decode to.
+
+    Both in one pass, so that a core holds one Python worker with one copy of
+    the tables and the text does not come back.
+    """
+    spec = _shared(docs.sparkSession, tokenizer_path)
+    at = docs.columns.index(text_col)
+    others = [i for i in range(len(docs.columns)) if i != at]
+
+    def run(batches):
+        codec = Codec(spec.value)
+        encoder, labels = Encoder(codec), Labels(spec.value)
+        for batch in batches:
+            names = [*(batch.schema.names[i] for i in others), ids_col, decoded_col]
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                ids = [encoder.encode(v.as_py()) for v in part.column(at)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                                 pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(j) for j in others), lists, labels.decode_lists(lists)], names=names)
+
+    fields = docs.schema.fields
+    return docs.mapInArrow(run, T.StructType([
+        *(fields[i] for i in others),
+        T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)),
+        T.StructField(decoded_col, T.StringType())]))
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text."""
-    ids = encode(docs.select("doc_id", "text"), tokenizer_path).drop("text")
-    both = decode(ids, tokenizer_path)
+    both = recode(docs.select("doc_id", "text"), tokenizer_path)
     joined = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return both.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),

@@ -10,6 +10,8 @@ one stays after the second.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from repeatlens.llm import bpe, decontam, near_dup, quality, secrets
@@ -19,11 +21,22 @@ from repeatlens.session import write_shared
 
 #: Documents are long: batches of this many rows pass to Python, not 10,000.
 BATCH_ROWS = 500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _small_batches(spark) -> None:
-    """For the stages that run Python: bounds what a batch takes on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+@contextmanager
+def small_batches(spark):
+    """Bounds what a batch takes on both sides, for the jobs run inside; the
+    session is left as it was."""
+    before = spark.conf.get(_ROWS, None)
+    spark.conf.set(_ROWS, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ROWS)
+        else:
+            spark.conf.set(_ROWS, before)
 
 
 def quality_rules(spark, docs, sf_dir: str):
@@ -33,14 +46,14 @@ def quality_rules(spark, docs, sf_dir: str):
 
 def near_dedup(spark, docs, sf_dir: str):
     """Keeps one document, that with the smallest id, of each group."""
-    _small_batches(spark)
-    return near_dup.drop_near_duplicates(docs)
+    with small_batches(spark):
+        return write_shared(near_dup.drop_near_duplicates(docs), "near-dedup")
 
 
 def decontamination(spark, docs, sf_dir: str):
     """Drops the documents that hold an item of ``benchmark``."""
-    _small_batches(spark)
-    return decontam.drop_leaky(docs, table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):
+        return write_shared(decontam.drop_leaky(docs, table(spark, sf_dir, "benchmark")), "decontaminated")
 
 
 def secret_scans(spark, docs, sf_dir: str):
@@ -51,12 +64,12 @@ def secret_scans(spark, docs, sf_dir: str):
 def bpe_codec(spark, docs, sf_dir: str):
     """doc_id, lang, source, token ids and their number, and the digest of
     the text that the ids decode to."""
-    _small_batches(spark)
-    path = bpe.default_tokenizer()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode(ids, path).select(
-        "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"),
-        "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    kept = docs.select("doc_id", "lang", "source", "text")
+    with small_batches(spark):
+        both = bpe.recode(kept, bpe.default_tokenizer())
+        return write_shared(both.select(
+            "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"),
+            "token_ids", F.sha2("decoded", 256).alias("decoded_sha256")), "tokens")
 
 
 STAGES = [

@@ -79,3 +79,14 @@ def test_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)
+
+
+def test_the_session_stays_as_it_is(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 777)
+    try:
+        C.bpe_codec(spark, docs(spark, [(1, "one two")]), SMALL)
+        assert spark.conf.get(key) == "777"
+    finally:
+        spark.conf.set(key, before)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from repeatlens.scope import Scope, driver_cohort_scope, driver_full_scope
 from repeatlens.sources.driver_adapter import from_driver_tables
 from repeatlens.sources.tables import Marketplace
-from repeatlens.plans import (bi, cohort, features, hypothesis, kpis, modeling, quality, rfm,
+from repeatlens.plans import (bi, cohort, dashboard, features, hypothesis, kpis, modeling, quality, rfm,
                               targeting)
 
 Job = Callable[[Marketplace, Scope], DataFrame]
@@ -62,13 +62,18 @@ JOBS: dict[str, Job] = {
     "measure_by_dimension": bi.measure_by_dimension,
     "row_count_reconciliation": bi.row_count_reconciliation,
     "sales_by_calendar_month": bi.sales_by_calendar_month,
+    "dashboard_datasets": dashboard.dashboard_datasets,
     "model_frame_row_check": modeling.model_frame_row_check,
     "model_fold_sizes": modeling.model_fold_sizes,
+    "feature_matrix": modeling.feature_matrix,
+    "feature_moments": modeling.feature_moments,
+    "dummy_baseline": modeling.dummy_baseline,
     # model jobs: rows-only checks (tree learners are not SQL)
     "cv_model_comparison": modeling.cv_model_comparison,
     "feature_importances": modeling.feature_importances,
     "final_model_evaluation": modeling.final_model_evaluation,
     "final_confusion_matrix": modeling.final_confusion_matrix,
+    "logistic_regression": modeling.logistic_regression,
     "grid_search": modeling.grid_search,
 }
 

@@ -17,7 +17,7 @@ from repeatlens.functions.columns import days_between, round_half, weekday_sun0,
 from repeatlens.plans.base import child_rows
 from repeatlens.plans.cohort import cohort, order_top_category
 from repeatlens.scope import Scope
-from repeatlens.session import materialize
+from repeatlens.session import write_shared
 from repeatlens.sources.tables import Marketplace
 
 CATEGORICAL = ["category", "customer_state", "payment_type"]
@@ -80,7 +80,7 @@ def features_imputed(mp: Marketplace, scope: Scope) -> DataFrame:
     delivery timing dropped (median taken before the drop, as upstream)."""
     from repeatlens.operators.ranking import bounded_quantiles
 
-    f = materialize(customer_features(mp, scope))  # read by the median and the fill
+    f = write_shared(customer_features(mp, scope), "features")  # read by the median and the fill
     # mean review scores of one order: a bounded set of values
     med = bounded_quantiles(f, "review_score", [0.5]).select(F.col("quantile").alias("_med"))
     out = with_scalars(f, med)

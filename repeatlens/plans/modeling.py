@@ -10,24 +10,28 @@ executors; only metrics and importances come back to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repeatlens.functions.columns import with_scalars
+from repeatlens.functions.columns import round_half, with_scalars
+from repeatlens.operators.encoding import level_dictionary, moments, slots, sparse_matrix
 from repeatlens.operators.evaluation import (classification_report, confusion_matrix,
                                              prob_positive, roc_auc, stratified_folds,
                                              stratified_split, top_fraction_lift,
                                              with_class_weight)
-from repeatlens.plans.features import CATEGORICAL, features_imputed
+from repeatlens.operators.logistic import fit_logistic
+from repeatlens.plans.features import CATEGORICAL, features_imputed, label_frame
+from repeatlens.plans.model_store import stored_fit
 from repeatlens.scope import Scope
-from repeatlens.session import ensure_checkpoint_dir, materialize
+from repeatlens.session import ensure_checkpoint_dir, write_shared
 from repeatlens.sources.tables import Marketplace
 
 LABEL, KEY = "repeat_customer", "customer_unique_id"
@@ -49,12 +53,21 @@ class ModelParams:
     gbt_step: float = 0.05
     test_fraction: float = 0.25
     top_quantile: float = 0.9
+    # the grid and its halving are ours: the reference gives none
+    grid_depths: tuple[int, ...] = (2, 3)
+    grid_steps: tuple[float, ...] = (0.05, 0.1)
+    grid_rungs: tuple[int, ...] = (25, 50, 100)
     auc_bins: int = 0  # 0 = exact ROC, no down-sampling
     parallelism: int = 8  # concurrent (model, fold) fits
 
 
 def model_frame(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
-    """Imputed features with label (double) and fold id.
+    """``model_rows`` with the fold id."""
+    return stratified_folds(model_rows(mp, scope), LABEL, KEY, k=p.folds, seed=p.seed)
+
+
+def model_rows(mp: Marketplace, scope: Scope) -> DataFrame:
+    """Imputed features with label (double).
 
     Categorical NULLs become the column's alphabetically first level, so
     after dropping that level they encode as all zeros (as get_dummies).
@@ -68,8 +81,7 @@ def model_frame(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -
     f = with_scalars(f, firsts)
     for c in CATEGORICAL:
         f = f.withColumn(c, F.coalesce(F.col(c), F.col(f"_first_{c}"))).drop(f"_first_{c}")
-    f = f.withColumn("label", F.col(LABEL).cast("double"))
-    return stratified_folds(f, LABEL, KEY, k=p.folds, seed=p.seed)
+    return f.withColumn("label", F.col(LABEL).cast("double"))
 
 
 def feature_stages(df: DataFrame) -> tuple[PipelineModel, list[str]]:
@@ -79,18 +91,44 @@ def feature_stages(df: DataFrame) -> tuple[PipelineModel, list[str]]:
     last index; OneHotEncoder(dropLast) then drops exactly that level.
     Levels are a vocabulary (the indexer keeps its label list on the driver);
     fitting them on the full table uses no label information."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc")
-           for c in CATEGORICAL]
-    enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],
-                        outputCols=[f"{c}_vec" for c in CATEGORICAL], dropLast=True)
-    asm = VectorAssembler(inputCols=MODEL_NUMERIC + [f"{c}_vec" for c in CATEGORICAL],
+    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc").fit(df)
+                for c in CATEGORICAL]
+    # a column with one level has its baseline only, and no dummy
+    held = [c for c, m in zip(CATEGORICAL, indexers) if len(m.labels) > 1]
+    indexed = PipelineModel(indexers).transform(df)
+    enc = [OneHotEncoder(inputCols=[f"{c}_idx" for c in held], outputCols=[f"{c}_vec" for c in held],
+                         dropLast=True).fit(indexed)] if held else []
+    asm = VectorAssembler(inputCols=MODEL_NUMERIC + [f"{c}_vec" for c in held],
                           outputCol="features", handleInvalid="error")
-    model = Pipeline(stages=idx + [enc, asm]).fit(df)
+    model = PipelineModel([*indexers, *enc, asm])
+    return model, _slot_names(model)
+
+
+def _slot_names(model: PipelineModel) -> list[str]:
     names = list(MODEL_NUMERIC)
     for c, im in zip(CATEGORICAL, model.stages[:len(CATEGORICAL)]):
         labels = list(im.labels)
         names += [f"{c}_{lv}" for lv in labels[:-1]]
-    return model, names
+    return names
+
+
+def feature_slots(df: DataFrame) -> DataFrame:
+    """(slot, feature, col, level) of the assembled vector, as a table."""
+    return write_shared(slots(level_dictionary(df, CATEGORICAL), MODEL_NUMERIC, CATEGORICAL), "slots")
+
+
+def feature_matrix(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
+    """ML-4, ML-5: the non-zero cells of the feature vectors, one row each."""
+    f = write_shared(model_rows(mp, scope), "model-rows")
+    return sparse_matrix(f, KEY, MODEL_NUMERIC, CATEGORICAL, feature_slots(f))
+
+
+def feature_moments(mp: Marketplace, scope: Scope) -> DataFrame:
+    """ML-3: mean and sample deviation of each feature, from the sparse cells."""
+    f = write_shared(model_rows(mp, scope), "model-rows")
+    table = feature_slots(f)
+    out = moments(sparse_matrix(f, KEY, MODEL_NUMERIC, CATEGORICAL, table), table, f.count())
+    return out.select("slot", "feature", round_half("mean", 6).alias("mean"), round_half("std", 6).alias("std"))
 
 
 def _estimators(n_train: int, p: ModelParams) -> dict:
@@ -112,15 +150,40 @@ def _evaluator(p: ModelParams) -> BinaryClassificationEvaluator:
                                          metricName="areaUnderROC", numBins=p.auc_bins)
 
 
-def dummy_scores(df: DataFrame, p: ModelParams) -> DataFrame:
-    """Stratified dummy: predicts 1 at random, with the share of positives
-    in the other folds."""
+def keyed_uniform(keys: Sequence[str], seed: int):
+    """A number in [0, 1) for each key: the first 32 bits of md5("seed:key").
+    It depends on the key alone, not on partitions or row order."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _with_prior(df: DataFrame) -> DataFrame:
+    """``prior``: the share of positives in the other folds."""
     whole = df.agg(F.sum("label").alias("_pos"), F.count("label").alias("_n"))
     folds = df.groupBy("fold").agg(F.sum("label").alias("_fp"), F.count("label").alias("_fn"))
-    prior = with_scalars(folds, whole).select("fold", F.try_divide(
-        F.col("_pos") - F.col("_fp"), F.col("_n") - F.col("_fn")).alias("_prior"))
-    j = df.join(prior, "fold")
-    return j.withColumn("score", (F.rand(p.seed) < F.col("_prior")).cast("double")).drop("_prior")
+    return df.join(with_scalars(folds, whole).select("fold", F.try_divide(
+        F.col("_pos") - F.col("_fp"), F.col("_n") - F.col("_fn")).alias("prior")), "fold")
+
+
+def dummy_scores(df: DataFrame, p: ModelParams, key: str | None = None) -> DataFrame:
+    """Stratified dummy: predicts 1 at random, with the share of positives in
+    the other folds; the same for a key (default: all columns but label and
+    fold) wherever its row stands."""
+    keys = [key] if key else [c for c in df.columns if c not in ("label", "fold")]
+    return _with_prior(df).withColumn(
+        "score", (keyed_uniform(keys, p.seed) < F.col("prior")).cast("double")).drop("prior")
+
+
+def dummy_baseline(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
+    """ML-6: the dummy's prior, positive guesses and exact ROC-AUC in each fold."""
+    folds = stratified_folds(label_frame(mp, scope, value=False), LABEL, KEY, k=p.folds, seed=p.seed)
+    rows = _with_prior(folds.withColumn("label", F.col(LABEL).cast("double")))
+    data = write_shared(rows.select("fold", "label", "prior", (
+        keyed_uniform([KEY], p.seed) < F.col("prior")).cast("double").alias("score")), "dummy")
+    guessed = data.groupBy("fold").agg(F.first("prior").alias("prior"),
+                                       F.sum("score").cast("bigint").alias("guessed"))
+    auc = roc_auc(data.withColumn("label", F.col("label").cast("int")), "label", "score", group="fold")
+    return guessed.join(auc.drop("unscored"), "fold")
 
 
 def cross_validate(estimators: dict, data: DataFrame, p: ModelParams) -> dict[str, list[float]]:
@@ -180,37 +243,60 @@ def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelPar
     ensure_checkpoint_dir(spark)
     data = frame if frame is not None else model_frame(mp, scope, p)
     feats, _ = feature_stages(data)
-    data = feats.transform(data).select("label", "fold", "features", KEY).cache()
+    data = write_shared(feats.transform(data).select("label", "fold", "features", KEY), "folds")
     n = data.count()
     n_train = int(n * (p.folds - 1) / p.folds)
     rows = []
     # dummy: per-fold exact AUC of a random stratified guess
-    dscore = dummy_scores(data, p)
+    dscore = dummy_scores(data, p, KEY)
     per_fold = roc_auc(dscore.withColumn("label", F.col("label").cast("int")), "label", "score",
                        group="fold").select("auc").toPandas()["auc"]
     rows.append(("Dummy (baseline)", float(per_fold.mean()), float(per_fold.std(ddof=0))))
     for name, aucs in cross_validate(_estimators(n_train, p), data, p).items():
         rows.append((name, float(np.mean(aucs)), float(np.std(aucs))))
-    data.unpersist()
     return spark.createDataFrame(rows, "model string, mean_roc_auc double, std double") \
         .orderBy(F.desc("mean_roc_auc"))
 
 
-def final_model(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
-                frame: DataFrame | None = None):
-    """Fit the boosting model on the stratified 75 % split; returns
-    (scored test frame, fitted model, feature names)."""
-    ensure_checkpoint_dir(mp.orders.sparkSession)
-    data = frame if frame is not None else model_frame(mp, scope, p)
+def logistic_regression(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
+                        frame: DataFrame | None = None) -> DataFrame:
+    """ML-3, ML-7: the balanced logistic regression over all customers, by
+    Newton steps: (slot, feature, mean, std, coefficient, gradient).
+    Coefficients belong to standardised features; the row of slot -1 is the
+    intercept.  A gradient of 0 shows that the fit is the optimum."""
+    data = frame if frame is not None else model_rows(mp, scope)
     feats, names = feature_stages(data)
-    data = stratified_split(feats.transform(data).select(KEY, LABEL, "label", "features"),
+    rows = write_shared(with_class_weight(feats.transform(data).select("label", "features"), "label"),
+                        "logistic")
+    fit = fit_logistic(rows, "features", "label", "weight", reg=1.0 / max(rows.count(), 1))
+    out = [(-1, "(intercept)", None, None, fit.intercept, float(fit.gradient[-1]))]
+    out += [(i, n, float(fit.mean[i]), float(fit.std[i]), float(fit.coefficients[i]),
+             float(fit.gradient[i])) for i, n in enumerate(names)]  # one row per feature
+    return rows.sparkSession.createDataFrame(
+        out, "slot int, feature string, mean double, std double, coefficient double, gradient double")
+
+
+def _fit_final(data: DataFrame, p: ModelParams) -> tuple[PipelineModel, DataFrame]:
+    """The boosting pipeline fitted on the stratified 75 % and the scored rest."""
+    feats, _ = feature_stages(data)
+    rows = stratified_split(feats.transform(data).select(KEY, LABEL, "label", "features"),
                             LABEL, KEY, p.test_fraction, p.seed)
-    train, test = data.filter(~F.col("is_test")), data.filter("is_test")
-    gbt = _estimators(1, p)["Gradient Boosting"]
-    model = gbt.fit(train)
-    scored = model.transform(test).withColumn("score", prob_positive("probability")) \
-        .withColumn("prediction", F.col("prediction").cast("int"))
-    return scored, model, names
+    model = _estimators(1, p)["Gradient Boosting"].fit(rows.filter(~F.col("is_test")))
+    scored = model.transform(rows.filter("is_test")).select(
+        KEY, LABEL, prob_positive("probability").alias("score"), F.col("prediction").cast("int"))
+    return PipelineModel(stages=[feats, model]), scored
+
+
+def final_model(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
+                frame: DataFrame | None = None, store: str | None = None):
+    """The boosting model of the stratified 75 % split: (scored test frame,
+    fitted model, feature names).  It is fitted once for equal rows and
+    parameters and read from the store after that (``model_store``)."""
+    data = frame if frame is not None else write_shared(model_rows(mp, scope), "model-rows")
+    data = data.select(KEY, LABEL, "label", *MODEL_NUMERIC, *CATEGORICAL)
+    pipeline, scored = stored_fit(data, p, lambda: _fit_final(data, p), store)
+    feats, model = pipeline.stages
+    return scored, model, _slot_names(feats)
 
 
 def feature_importances(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
@@ -227,7 +313,6 @@ def final_model_evaluation(mp: Marketplace, scope: Scope, p: ModelParams = Model
                            frame: DataFrame | None = None) -> DataFrame:
     """ML-12..16: hold-out ROC-AUC, confusion cells and top-decile lift."""
     scored, _, _ = final_model(mp, scope, p, frame)
-    scored = materialize(scored.select(KEY, LABEL, "score", "prediction"))
     auc = roc_auc(scored, LABEL, "score").select("auc")
     lift = top_fraction_lift(scored, LABEL, "score", p.top_quantile, tie=KEY)
     rep = (classification_report(scored, LABEL, "prediction").filter("class = 1")
@@ -236,27 +321,78 @@ def final_model_evaluation(mp: Marketplace, scope: Scope, p: ModelParams = Model
     return with_scalars(with_scalars(auc, lift), rep)
 
 
-def final_confusion_matrix(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
+def final_confusion_matrix(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
+                           frame: DataFrame | None = None) -> DataFrame:
     """ML-14: confusion cells of the final model on the hold-out split."""
-    scored, _, _ = final_model(mp, scope, p)
+    scored, _, _ = final_model(mp, scope, p, frame)
     return confusion_matrix(scored, LABEL, "prediction")
 
 
-def grid_search(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
-    """ML-18: boosting grid (depth x learning rate) on the *same* fold column
-    as the model comparison, so its scores are comparable with it."""
+def prefix_model(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` trees.  Boosting adds one tree after
+    another, so this is the model that a fit of ``n`` iterations gives."""
+    sc = SparkSession.active().sparkContext
+    jvm, java = sc._jvm.org.apache.spark.ml, model._java_obj
+    trees = sc._gateway.new_array(jvm.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._gateway.jvm.double, n)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    cut = jvm.classification.GBTClassificationModel(java.uid(), trees, weights, model.numFeatures, 2)
+    return GBTClassificationModel(cut)
+
+
+def staged_scores(estimators: dict, data: DataFrame, p: ModelParams, stages: Sequence[int]) -> dict:
+    """{(name, iterations): fold ROC-AUCs}: one fit per (name, fold), scored
+    after each of ``stages`` iterations by its first trees.  Fits run side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    evaluator = _evaluator(p)
+
+    def fit_one(task):
+        name, k = task
+        model = estimators[name].fit(data.filter(F.col("fold") != k))
+        valid = data.filter(F.col("fold") == k)
+        return [((name, n), k, float(evaluator.evaluate(prefix_model(model, n).transform(valid))))
+                for n in stages]
+
+    tasks = [(name, k) for name in estimators for k in range(p.folds)]
+    with ThreadPoolExecutor(max_workers=max(1, p.parallelism)) as pool:
+        results = list(pool.map(inheritable_thread_target(data.sparkSession)(fit_one), tasks))
+    out: dict = {}
+    for point, k, auc in sorted(x for r in results for x in r):
+        out.setdefault(point, []).append(auc)
+    return out
+
+
+def grid_search(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
+                frame: DataFrame | None = None) -> DataFrame:
+    """ML-18: boosting grid (depth x learning rate x iterations) on the *same*
+    fold column as the model comparison, so its scores are comparable with it.
+
+    Successive halving: all points are fitted with the fewest iterations of
+    ``p.grid_rungs``; the better half by mean ROC-AUC (ties: the shallower,
+    then slower one) goes on to the next number, and so on.  ``rung`` says
+    how far a point came.  The assembled frame is written once for all fits.
+    """
     import numpy as np
 
-    spark = mp.orders.sparkSession
-    ensure_checkpoint_dir(spark)
-    data = model_frame(mp, scope, p)
+    data = frame if frame is not None else model_frame(mp, scope, p)
+    spark = data.sparkSession
     feats, _ = feature_stages(data)
-    data = feats.transform(data).select("label", "fold", "features", KEY).cache()
+    data = write_shared(feats.transform(data).select("label", "fold", "features"), "grid")
     gbt = _estimators(1, p)["Gradient Boosting"]
-    grid = [(d, st) for d in (2, 3) for st in (0.05, 0.1)]
-    ests = {f"{d}/{st}": gbt.copy({gbt.maxDepth: d, gbt.stepSize: st}) for d, st in grid}
-    res = cross_validate(ests, data, p)
-    data.unpersist()
-    rows = [(d, st, float(np.mean(res[f"{d}/{st}"])), float(np.std(res[f"{d}/{st}"]))) for d, st in grid]
-    return spark.createDataFrame(rows, "max_depth int, step_size double, mean_roc_auc double, std double") \
-        .orderBy(F.desc("mean_roc_auc"), "max_depth", "step_size")
+    points = [(d, st) for d in p.grid_depths for st in p.grid_steps]
+    rows = []
+    for rung, n in enumerate(p.grid_rungs):
+        ests = {pt: gbt.copy({gbt.maxDepth: pt[0], gbt.stepSize: pt[1], gbt.maxIter: n}) for pt in points}
+        scores = staged_scores(ests, data, p, [n])
+        found = [(*pt, n, rung, float(np.mean(scores[pt, n])), float(np.std(scores[pt, n]))) for pt in points]
+        rows += found
+        ranked = sorted(found, key=lambda r: (-r[4], r[0], r[1]))
+        points = [r[:2] for r in ranked[:(len(ranked) + 1) // 2]]
+    return spark.createDataFrame(
+        rows, "max_depth int, step_size double, iterations int, rung int, mean_roc_auc double, std double") \
+        .orderBy(F.desc("mean_roc_auc"), "max_depth", "step_size", "iterations")

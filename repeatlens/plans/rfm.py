@@ -82,13 +82,17 @@ def rfm_describe(mp: Marketplace, scope: Scope) -> DataFrame:
 
 def rfm_scores(mp: Marketplace, scope: Scope) -> DataFrame:
     """SEG-1: r_score = qcut(recency, 5) labelled 5..1; m_score = qcut of the
-    monetary rank (ties by person key) labelled 1..5.
+    monetary rank (ties by person key) labelled 1..5."""
+    return score(materialize(rfm_base(mp, scope)))  # edges, n and the rank all read it
+
+
+def score(base: DataFrame) -> DataFrame:
+    """The scores of a stored RFM base.
 
     Recency edges use the exact ``percentile`` aggregate (a bounded domain of
     day counts); the monetary rank comes from the range-partitioned
     ``global_row_number``, never a single-partition window.
     """
-    base = materialize(rfm_base(mp, scope))  # edges, n and the rank all read it
     edges = quantile_edges(base, "recency_days", 5)
     n = base.agg(F.count(F.lit(1)).alias("_n"))
     ranked = global_row_number(base, ["monetary", "customer_unique_id"], out="_m_rank")
@@ -118,7 +122,12 @@ def rfm_segments(mp: Marketplace, scope: Scope) -> DataFrame:
 
 def rfm_segment_summary(mp: Marketplace, scope: Scope) -> DataFrame:
     """SEG-3: customers, mean and total monetary per segment, share of revenue."""
-    seg = rfm_segments(mp, scope)
+    return segment_summary(rfm_scores(mp, scope))
+
+
+def segment_summary(scores: DataFrame) -> DataFrame:
+    """The summary of scored persons."""
+    seg = scores.withColumn("segment", segment_of("r_score", "m_score"))
     g = seg.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum(F.col("monetary").cast("decimal(18,2)")).alias("total"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from repeatlens.functions.columns import order_key_hash, with_scalars
-from repeatlens.operators.ranking import exact_quantiles, ranked_scan
+from repeatlens.operators.ranking import ranked_scan
+from repeatlens.operators.selection import selected_quantiles
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -138,7 +139,7 @@ def top_fraction_lift(df: DataFrame, label: str, score: str, quantile: float = 0
     """Targeting lift: cutoff = linear-interpolated ``quantile`` of the
     scores, flagged = score >= cutoff; returns cutoff, flagged, hits,
     baseline rate, flagged rate and lift."""
-    q = exact_quantiles(df, score, [quantile], tie=[tie] if tie else []).select(
+    q = selected_quantiles(df, score, [quantile]).select(
         F.col("quantile").alias("cutoff"))
     j = with_scalars(df, q)
     flag = F.col(score).cast("double") >= F.col("cutoff")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlens.functions.columns import (pct, round_half, safe_ratio, segment_of,
-                                          seconds_between, to_double, ts_lit, with_scalars)
-from repeatlens.operators.ranking import (bounded_quantiles, exact_quantiles, global_row_number, qcut_ranks,
-                                          qcut_values, quantile_edges)
+                                          seconds_between, to_double, ts_lit)
+from repeatlens.operators.ranking import qcut_values
+from repeatlens.operators.selection import order_statistics
 from repeatlens.plans.base import scoped_orders, with_person
 from repeatlens.plans.kpis import customer_orders
 from repeatlens.scope import Scope
-from repeatlens.session import materialize
+from repeatlens.session import write_shared
 from repeatlens.sources.tables import Marketplace
 
 
@@ -44,38 +42,32 @@ def one_time_vs_repeat(mp: Marketplace, scope: Scope) -> DataFrame:
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
 
-def _describe_one(df: DataFrame, metric: str, tie: str) -> DataFrame:
-    """count/mean/std/min/quartiles/max of one column, exactly.
-
-    Sums are exact (integers/decimals); the deviation is Spark's own, which
-    does not cancel for large counts; quartiles come from the range-partitioned order
-    statistics, so no value map or single task holds the column.
-    """
-    x = F.col(metric)
-    xd = x.cast("decimal(18,2)") if metric == "monetary" else x.cast("bigint")
-    m = df.agg(F.count(x).alias("n"), F.sum(xd).alias("sx"),
-               F.stddev_samp(x.cast("double")).alias("std"),
-               F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
-    stats = m.select(
-        F.lit(metric).alias("metric"), F.col("n").cast("bigint").alias("count"),
-        safe_ratio("sx", "n").alias("mean"),
-        "std", "min", "max")
-    if metric == "monetary":  # near-unique values: range-partitioned order statistics
-        q = exact_quantiles(df, metric, DESCRIBE_PROBS, tie=[tie])
-    else:  # day counts and order counts: bounded domains
-        q = bounded_quantiles(df, metric, DESCRIBE_PROBS)
-    qs = q.groupBy().pivot("p", list(DESCRIBE_PROBS)).agg(F.first("quantile"))
-    names = {str(p): f"p{int(p * 100)}" for p in DESCRIBE_PROBS}
-    qs = qs.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])
-    return _attach_many(stats, qs)
+METRICS = ("recency_days", "frequency", "monetary")
 
 
 def rfm_describe(mp: Marketplace, scope: Scope) -> DataFrame:
-    """QA-7: pandas-style describe() of recency, frequency and monetary."""
-    base = materialize(rfm_base(mp, scope))  # read by six aggregates
-    parts = [_describe_one(base, mtr, "customer_unique_id")
-             for mtr in ("recency_days", "frequency", "monetary")]
-    out = reduce(DataFrame.unionByName, parts)
+    """QA-7: pandas-style describe() of recency, frequency and monetary.
+
+    Sums are exact (integers/decimals); the deviation is Spark's own, which
+    does not cancel for large counts.  One pass gives these for all metrics;
+    the quartiles come from one radix selection over all three.
+    """
+    base = write_shared(rfm_base(mp, scope), "rfm")
+    cells = []
+    for m in METRICS:
+        x = F.col(m)
+        exact = x.cast("decimal(18,2)") if m == "monetary" else x.cast("bigint")
+        cells += [F.count(x).alias(f"{m}_n"), F.sum(exact).alias(f"{m}_sum"),
+                  F.stddev_samp(x.cast("double")).alias(f"{m}_std"),
+                  F.min(x).cast("double").alias(f"{m}_min"), F.max(x).cast("double").alias(f"{m}_max")]
+    quartiles = order_statistics(base, dict.fromkeys(METRICS, list(DESCRIBE_PROBS)))
+    rows = [F.struct(
+        F.lit(m).alias("metric"), F.col(f"{m}_n").cast("bigint").alias("count"),
+        safe_ratio(f"{m}_sum", f"{m}_n").alias("mean"),
+        *(F.col(f"{m}_{c}").alias(c) for c in ("std", "min")),
+        *(F.lit(quartiles[m][p]).cast("double").alias(f"p{int(p * 100)}") for p in DESCRIBE_PROBS),
+        F.col(f"{m}_max").alias("max")) for m in METRICS]
+    out = base.agg(*cells).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return out.select("metric", "count",
                       *[round_half(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
@@ -83,35 +75,35 @@ def rfm_describe(mp: Marketplace, scope: Scope) -> DataFrame:
 def rfm_scores(mp: Marketplace, scope: Scope) -> DataFrame:
     """SEG-1: r_score = qcut(recency, 5) labelled 5..1; m_score = qcut of the
     monetary rank (ties by person key) labelled 1..5."""
-    return score(materialize(rfm_base(mp, scope)))  # edges, n and the rank all read it
+    return score(write_shared(rfm_base(mp, scope), "rfm"))
 
 
-def score(base: DataFrame) -> DataFrame:
+def score(base: DataFrame, q: int = 5) -> DataFrame:
     """The scores of a stored RFM base.
 
-    Recency edges use the exact ``percentile`` aggregate (a bounded domain of
-    day counts); the monetary rank comes from the range-partitioned
-    ``global_row_number``, never a single-partition window.
+    Bin k of the ranks 1..n ends at rank floor(k (n - 1) / q) + 1, so the
+    monetary score needs the persons at q - 1 ranks, not everyone's rank; they
+    and the recency edges are selected together (``operators.selection``).
+    A null monetary value ranks first.
     """
-    edges = quantile_edges(base, "recency_days", 5)
-    n = base.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = global_row_number(base, ["monetary", "customer_unique_id"], out="_m_rank")
-    scored = _attach_many(ranked, edges, n)
-    e = [F.col(f"e{k}") for k in range(6)]
-    return scored.select(
-        "customer_unique_id", "recency_days", "frequency", "monetary",
-        qcut_values("recency_days", e, [5, 4, 3, 2, 1]).alias("r_score"),
-        qcut_ranks("_m_rank", "_n", 5).alias("m_score"),
-    )
-
-
-def _attach_many(big: DataFrame, *one_rows: DataFrame) -> DataFrame:
-    """Append the columns of single-row frames to every row of ``big``
-    (scalar subqueries, see ``functions.columns.with_scalars``)."""
-    out = big
-    for r in one_rows:
-        out = with_scalars(out, r)
-    return out
+    key = "customer_unique_id"
+    ranked = base.withColumn("_m", F.coalesce("monetary", F.lit(float("-inf"))))
+    n = ranked.count()
+    ends = [k * (n - 1) // q + 1 for k in range(1, q)] if n > 1 else []
+    got = order_statistics(ranked, {"recency_days": [k / q for k in range(q + 1)], "_m": ends},
+                           {"_m": key})
+    edges = [F.lit(got["recency_days"][k / q]).cast("double") for k in range(q + 1)]
+    m_score = F.raise_error(F.lit("qcut: bin edges must be unique (fewer than 2 values)")).cast("int")
+    if n > 1:
+        m_score = F.lit(q)
+        for k in range(q - 1, 0, -1):
+            value, tie = got["_m"][ends[k - 1]]
+            upto = (F.col("_m") < value) | ((F.col("_m") == value) & (F.col(key) <= F.lit(tie)))
+            m_score = F.when(upto, k).otherwise(m_score)
+    return ranked.select(
+        key, "recency_days", "frequency", "monetary",
+        qcut_values("recency_days", edges, [5, 4, 3, 2, 1]).alias("r_score"),
+        m_score.cast("int").alias("m_score"))
 
 
 def rfm_segments(mp: Marketplace, scope: Scope) -> DataFrame:

@@ -58,10 +58,10 @@ def top_decile_lift(mp: Marketplace, scope: Scope, features: DataFrame | None =
 
 
 def _flagged(mp: Marketplace, scope: Scope, features: DataFrame | None = None) -> DataFrame:
-    from repeatlens.operators.ranking import exact_quantiles
+    from repeatlens.operators.selection import selected_quantiles
 
     t = _test_rows(mp, scope, features)
-    cut = exact_quantiles(t, SCORE, [TOP_Q], tie=[KEY]).select(F.col("quantile").alias("cutoff"))
+    cut = selected_quantiles(t, SCORE, [TOP_Q]).select(F.col("quantile").alias("cutoff"))
     from repeatlens.functions.columns import with_scalars
 
     j = with_scalars(t, cut)

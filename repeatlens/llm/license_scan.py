@@ -50,6 +50,17 @@ IDS = {
     "gpl-3.0-or-later": "gpl-3", "mpl-2.0": "mpl", "cc0-1.0": "cc0", "unlicense": "public-domain",
     "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "cc-by-4.0": "cc-by", "cc-by-nc-4.0": "cc-by-nc",
 }
+#: Further identifiers that a tag may name.
+OTHER_IDS = """
+0bsd aal afl-3.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 artistic-1.0
+artistic-2.0 beerware blueoak-1.0.0 bsd-1-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 cc-by-3.0
+cc-by-nc-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 cddl-1.1
+cecill-2.1 cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3 gpl-1.0 gpl-1.0-only
+gpl-1.0-or-later icu ijg lgpl-2.0 lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only
+lgpl-3.0-or-later libpng linux-openib mit-0 mpl-1.0 mpl-1.1 ms-pl ms-rl ncsa odbl-1.0 ofl-1.1 openssl
+osl-3.0 pddl-1.0 php-3.01 postgresql psf-2.0 python-2.0 ruby sspl-1.0 tcl upl-1.0 vim w3c wtfpl x11
+zlib zpl-2.1
+""".split()
 #: How freely a text under a licence can be used, 0 to 1.
 FREEDOM = {
     "mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "public-domain": 1.0,
@@ -57,6 +68,7 @@ FREEDOM = {
     "cc-by-nc": 0.1, "all-rights-reserved": 0.0,
 }
 UNKNOWN = 0.2
+_KNOWN = {*IDS, *FREEDOM, *OTHER_IDS}
 #: Binding strength.
 OPERATORS = {"or": 1, "and": 2, "with": 3}
 
@@ -115,6 +127,20 @@ def to_postfix(expression: str) -> list[str]:
     return out
 
 
+def known(postfix: list[str]) -> bool:
+    """Does the expression name licences only?  Own ones are ``LicenseRef-..``;
+    what follows ``with`` is an exception and may have any name."""
+    stack: list[tuple[str, bool]] = []
+    for token in postfix:
+        if token in OPERATORS:
+            (_, right), (name, left) = stack.pop(), stack.pop()
+            stack.append((name, left if token == "with" else left and right))
+        else:
+            name = token.removesuffix("+")
+            stack.append((token, name in _KNOWN or name.startswith("licenseref-")))
+    return bool(stack) and stack[-1][1]
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
     """(labels, freedom) of a postfix expression: ``or`` leaves the choice,
     ``and`` binds to both, an exception given by ``with`` frees half of what
@@ -130,7 +156,8 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float] | None:
             else:
                 stack.append((left[0], (1 + left[1]) / 2))
         else:
-            label = IDS.get(token, token)
+            name = token.removesuffix("+")  # or any later version
+            label = IDS.get(name, name)
             stack.append(({label}, FREEDOM.get(label, UNKNOWN)))
     return stack[-1] if stack else None
 
@@ -152,19 +179,23 @@ def scan_text(text: str | None, automaton) -> tuple:
     base: set[str] = set()
     labels: set[str] = set()
     freedom: list[float] = []
+    tagged = False
     for last, phrase in automaton.iter(line):
         if phrase in BASE:
             places.append(last - len(phrase) - 1)  # where the leading blank stands
             base.add(BASE[phrase])
         elif phrase == TAG:
-            for m in _TAG_LINE.finditer(text):
-                value = evaluate(to_postfix(m.group(1)))
-                if value:
-                    labels |= value[0]
-                    freedom.append(value[1])
+            tagged = True
         else:
             labels.add(NOTICES[phrase])
             freedom.append(FREEDOM[NOTICES[phrase]])
+    if tagged:  # all tag lines, once; a line that names no licence is no tag
+        for expression in {m.group(1) for m in _TAG_LINE.finditer(text)}:
+            postfix = to_postfix(expression)
+            if known(postfix):
+                names, value = evaluate(postfix)
+                labels |= names
+                freedom.append(value)
     freedom.extend(FREEDOM[x] for x in base)
     edges = [line.count(" ", 0, f(places)) for f in (min, max)] if places else [None, None]
     return (len(found), len(places), *edges, ",".join(sorted(base)),

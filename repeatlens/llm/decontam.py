@@ -8,12 +8,14 @@ own place.  An automaton over all pieces reads each text once; where a piece
 hits, the item is aligned to the text around it with Myers' algorithm (Python
 integers serve as bit vectors of any length), which decides.
 
-Only the benchmark is broadcast, in groups of at most ``GROUP_BYTES``; a
-larger benchmark makes more groups, each of which reads the texts once more.
+Only the benchmark is broadcast, in groups of about ``GROUP_BYTES``; a larger
+benchmark makes more groups, held one after another, each of which reads the
+texts once more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repeatlens.llm.common import flat_map, table
+from repeatlens.session import write_shared
 
 ERROR_RATE = 0.08
 GROUP_BYTES = 2 << 20
@@ -96,7 +99,7 @@ class Matcher:
         _, norm, k, masks, back = self.items[n]
         m = len(norm)
         lo = max(0, slot * (2 * k + 1) - k)
-        hi = slot * (2 * k + 1) + 3 * k + m
+        hi = slot * (2 * k + 1) + 4 * k + m  # the last start, the item and k insertions
         window = text[lo:hi]
         at = window.find(norm)
         if at >= 0:
@@ -134,14 +137,31 @@ class Matcher:
                    norm.count(" ", 0, end) + 1)
 
 
-def _groups(benchmark: DataFrame, group_bytes: int) -> list:
-    """The benchmark's items as broadcast variables of bounded size."""
-    spark = benchmark.sparkSession
+def _groups(benchmark: DataFrame, group_bytes: int) -> list[DataFrame]:
+    """The benchmark's items dealt into groups of about ``group_bytes``."""
     bench = benchmark.select("item_id", "text").filter("text is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // group_bytes) or 1
-    return [spark.sparkContext.broadcast([tuple(r) for r in bench.filter(
-        F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g).collect()]) for g in range(n)]
+    if n == 1:
+        return [bench]
+    dealt = write_shared(bench.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+                         .repartition("g"), "benchmark")
+    return [dealt.filter(F.col("g") == g).drop("g") for g in range(n)]
+
+
+def _each_group(benchmark: DataFrame, group_bytes: int, work) -> Iterator[DataFrame]:
+    """``work(items)`` of each group's broadcast items.  Of several groups one
+    is held at a time, by the driver and by the tasks: its result is written
+    before the next one is read."""
+    spark = benchmark.sparkSession
+    groups = _groups(benchmark, group_bytes)
+    for group in groups:
+        items = spark.sparkContext.broadcast([tuple(r) for r in group.collect()])
+        out = work(items)
+        if len(groups) > 1:
+            out = write_shared(out, "leaks")
+            items.destroy()
+        yield out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
@@ -158,14 +178,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
         rows.schema["doc_id"], T.StructField("item_id", benchmark.schema["item_id"].dataType),
         T.StructField("distance", T.LongType()),
         T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
-    parts = []
-    for items in _groups(benchmark, group_bytes):
-        def make(items=items):
+
+    def work(items):
+        def make():
             matcher = Matcher(items.value, rate)
             return lambda i, text: ((i, *hit) for hit in matcher.find(text))
 
-        parts.append(flat_map(rows, make, schema))
-    return reduce(DataFrame.union, parts)
+        return flat_map(rows, make, schema)
+
+    return reduce(DataFrame.union, _each_group(benchmark, group_bytes, work))
 
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
@@ -175,8 +196,10 @@ def drop_leaky(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     Rows are dropped where they are read; nothing is shuffled.
     """
     at = docs.columns.index(text_col)
-    for items in _groups(benchmark, group_bytes):
-        def run(batches, items=items):
+    left = docs
+
+    def work(items):
+        def run(batches):
             matcher = Matcher(items.value, rate)
             for batch in batches:
                 for i in range(0, batch.num_rows, 128):
@@ -184,8 +207,11 @@ def drop_leaky(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                     clean = [next(matcher.find(t.as_py()), None) is None for t in part.column(at)]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return left.mapInArrow(run, left.schema)
+
+    for left in _each_group(benchmark, group_bytes, work):
+        pass  # the next group reads what this one left
+    return left
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ of at most 1/16 relative width.  Those counts are a quantile sketch that
 merges by addition: one map-side aggregation builds it for each (language,
 source), and summing it again gives the language's and the corpus's sketch.
 A document is rejected where a metric lies beyond its group's upper quartile
-by ``FENCE`` interquartile ranges and an absolute slack; groups of fewer
-than ``MIN_GROUP`` documents take the language's thresholds, small languages
-the corpus's.  Outliers are judged against their own group, so a source of
+by ``FENCE`` interquartile ranges and an absolute slack.  A group of n
+documents takes its own thresholds by n parts and the language's, which take
+the corpus's likewise, by ``PRIOR`` parts: the say of the wider group fades as
+a group grows, and no size switches it off.  Outliers are judged against their own group, so a source of
 tables or of code is not measured by the prose of others, and an even group
 loses nothing.
 
@@ -33,7 +34,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT = 20
 FENCE = 3
-MIN_GROUP = 100
+#: So many documents' weight has the wider group in a group's thresholds.
+PRIOR = 100
 #: Thresholds of up to this many groups (under 100 bytes each) are broadcast;
 #: beyond it the join shuffles both sides and leaves hot groups to be split.
 BROADCAST_GROUPS = 50_000
@@ -158,14 +160,13 @@ def thresholds(metrics: DataFrame) -> DataFrame:
     lang = _fences(sketch, ["lang"])
     whole = _fences(sketch.withColumn("everything", F.lit(1)), ["everything"]).drop("everything")
 
-    def pick(m: str) -> Column:
-        return (F.when(F.col("o.total") >= MIN_GROUP, F.col(f"o.{m}"))
-                .when(F.col("l.total") >= MIN_GROUP, F.col(f"l.{m}"))
-                .otherwise(F.col(f"w.{m}")).alias(f"t_{m}"))
+    def blended(m: str) -> Column:
+        lang = f"((l.total * l.{m} + {PRIOR} * w.{m}) div (l.total + {PRIOR}))"
+        return F.expr(f"(o.total * o.{m} + {PRIOR} * {lang}) div (o.total + {PRIOR})").alias(f"t_{m}")
 
     return (own.alias("o").join(lang.alias("l"), F.col("o.lang") == F.col("l.lang"))
             .join(F.broadcast(whole).alias("w"))  # one row
-            .select("o.lang", "o.source", *map(pick, METRICS)))
+            .select("o.lang", "o.source", *map(blended, METRICS)))
 
 
 def _judged(df: DataFrame, prefix: str) -> DataFrame:
@@ -250,9 +251,11 @@ def oracle() -> str:
     unpivot = " UNION ALL ".join(
         f"SELECT lang, source, '{m}' AS metric, CAST({v} AS BIGINT) AS v FROM counts"
         for m, v in values.items())
-    over = " OR ".join(
-        f"{v} > CASE WHEN o.total >= {MIN_GROUP} THEN o.{m} WHEN l.total >= {MIN_GROUP} "
-        f"THEN l.{m} ELSE a.{m} END" for m, v in values.items())
+    def limit(m: str) -> str:
+        lang = f"((l.total * l.{m} + {PRIOR} * a.{m}) // (l.total + {PRIOR}))"
+        return f"(o.total * o.{m} + {PRIOR} * {lang}) // (o.total + {PRIOR})"
+
+    over = " OR ".join(f"{v} > {limit(m)}" for m, v in values.items())
     failed = (f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words)")
     return rf"""
 WITH docs AS (

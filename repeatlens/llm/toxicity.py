@@ -32,7 +32,6 @@ MAX_CHARS = 12_000_000
 #: among toxic ones exceeds that among others by so many standard errors.
 MIN_DOCS = 5
 MIN_Z = 4.0
-MAX_MARKS = 20_000
 GRAMS = (4, 5, 6)
 ROUNDS = 300
 RATE = 0.1
@@ -78,7 +77,7 @@ def screen(docs: list[tuple[str, int]]) -> list[str]:
         z = (p - q) / (both * (1 - both) * (1 / total[0] + 1 / total[1]) + 1e-12) ** 0.5
         if z >= MIN_Z:
             out.append((-z, mark))
-    return [mark for _, mark in sorted(out)[:MAX_MARKS]]
+    return [mark for _, mark in sorted(out)]  # bounded by the sample's characters
 
 
 def fit(docs: list[tuple[str, int]]) -> dict:
@@ -200,7 +199,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
         if used + n <= max_chars:  # a text too long is passed over, others still fit
             used += n
             taken.append(h)
-    rows = sample.filter(F.col("h").isin(taken)).select("h", "text", "toxic").limit(max_docs).collect()
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in taken], "h long"))
+    # repeated rows of one id have one label: they are learned from once
+    rows = (sample.join(kept, "h").groupBy("h")
+            .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect())
     return fit([(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: (r.h, r.text))])
 
 

@@ -71,6 +71,24 @@ def test_tags_and_notices(spark):
                    3: ("", "gpl,gpl-3", 0.3), 4: ("", "", 0.0), 5: ("mit", "agpl,mit", 0.2)}
 
 
+@pytest.mark.parametrize("line,labels,score", [
+    ("see the file LICENSE", "", 0.0), ("foo:bar", "", 0.0), ("MIT OR foo", "", 0.0),
+    ("GPL-2.0+", "gpl-2", 0.3), ("LicenseRef-own", "licenseref-own", 0.2), ("MIT */", "mit", 1.0),
+    ("GPL-2.0-only WITH Some-exception", "gpl-2", 0.65), ("Zlib AND EPL-2.0", "epl-2.0,zlib", 0.2)])
+def test_a_tag_names_licences_only(line, labels, score):
+    got = L.scan_text(f"// SPDX-License-Identifier: {line}\n", L._automaton())
+    assert got[5] == labels and got[6] == pytest.approx(score)
+
+
+def test_a_long_list_of_tags():
+    import time
+    text = "\n".join(f"SPDX-License-Identifier: {('MIT', 'GPL-2.0', 'no licence')[i % 3]} # {i}\n"
+                     "under the MIT license" for i in range(20_000))
+    t = time.perf_counter()
+    got = L.scan_text(text, L._automaton())
+    assert got[1] == 20_000 and got[5] == "gpl-2,mit" and time.perf_counter() - t < 10
+
+
 def test_odd_rows_and_empty_table(spark):
     d = with_clashes(docs(spark, odd_rows()), "labels", "score", "n_words")
     got = L.scan(d).collect()

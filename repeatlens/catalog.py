@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from repeatlens.scope import Scope, driver_cohort_scope, driver_full_scope
 from repeatlens.sources.driver_adapter import from_driver_tables
 from repeatlens.sources.tables import Marketplace
-from repeatlens.plans import (bi, cohort, dashboard, features, hypothesis, kpis, modeling, quality, rfm,
-                              targeting)
+from repeatlens.plans import (bi, cohort, dashboard, features, hypothesis, kpis, modeling, partials,
+                              quality, rfm, targeting)
 
 Job = Callable[[Marketplace, Scope], DataFrame]
 
@@ -62,6 +62,8 @@ JOBS: dict[str, Job] = {
     "measure_by_dimension": bi.measure_by_dimension,
     "row_count_reconciliation": bi.row_count_reconciliation,
     "sales_by_calendar_month": bi.sales_by_calendar_month,
+    "kpis_from_partials": partials.kpis_from_partials,
+    "distinct_sketches": partials.distinct_sketches,
     "dashboard_datasets": dashboard.dashboard_datasets,
     "model_frame_row_check": modeling.model_frame_row_check,
     "model_fold_sizes": modeling.model_fold_sizes,
@@ -84,6 +86,7 @@ FULL_SPAN = {
     "top_products_per_category", "rfm_base", "rfm_describe", "rfm_scores", "rfm_segments",
     "rfm_segment_summary", "revenue_concentration", "date_dim", "fact_sales",
     "measure_by_dimension", "row_count_reconciliation", "sales_by_calendar_month",
+    "kpis_from_partials", "distinct_sketches",
 }
 
 

@@ -25,7 +25,7 @@ from repeatlens.sources.schemas import CSV_FILES
 from repeatlens.sources.tables import Marketplace
 
 MODEL_JOBS = ("cv_model_comparison", "feature_importances", "final_model_evaluation",
-              "final_confusion_matrix", "grid_search")
+              "final_confusion_matrix", "logistic_regression", "grid_search")
 
 
 class ReportError(RuntimeError):
@@ -48,7 +48,7 @@ def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str,
     from repeatlens.sources.sinks import write_table
 
     from repeatlens.plans import features, modeling, targeting
-    from repeatlens.session import materialize
+    from repeatlens.session import materialize, release, written
 
     # shared marts, built once on first use and read by every consumer
     shared: dict[str, DataFrame] = {}
@@ -67,7 +67,10 @@ def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str,
                       "confusion_matrix", "classification_report", "top_decile_lift"}
     model_jobs = {"cv_model_comparison": modeling.cv_model_comparison,
                   "feature_importances": modeling.feature_importances,
-                  "final_model_evaluation": modeling.final_model_evaluation}
+                  "final_model_evaluation": modeling.final_model_evaluation,
+                  "final_confusion_matrix": modeling.final_confusion_matrix,
+                  "logistic_regression": modeling.logistic_regression,
+                  "grid_search": modeling.grid_search}
 
     def build(name: str, job) -> DataFrame:
         if name in targeting_jobs:
@@ -80,13 +83,15 @@ def run_report(spark: SparkSession, mp: Marketplace, scope: Scope, out_dir: str,
              for name, job in JOBS.items() if include_models or name not in MODEL_JOBS}
     steps["dashboard_marts"] = lambda: write_dashboard_marts(mp, scope, f"{out_dir.rstrip('/')}/marts", fmt)
     result: dict[str, float | str] = {}
+    spark = mp.orders.sparkSession
     for name, step in steps.items():
-        t0 = time.perf_counter()
+        t0, mark = time.perf_counter(), written(spark)
         try:
             step()
             result[name] = round(time.perf_counter() - t0, 3)
         except Exception as exc:  # noqa: BLE001 -- reported per analysis
             result[name] = f"error: {str(exc).splitlines()[0][:300]}"
+        release(spark, mark)  # the step's result is written; the marts are checkpointed
     failed = sorted(n for n, v in result.items() if isinstance(v, str))
     if failed:
         raise ReportError(f"{len(failed)} of {len(result)} analyses failed: {', '.join(failed)}", result)

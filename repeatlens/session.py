@@ -67,18 +67,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written by ``write_shared``, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the checkpoint folder and read it back.
 
     Cuts the lineage like a checkpoint, but compressed and columnar, so
-    later readers still prune columns and push filters down.
+    later readers still prune columns and push filters down.  The folder
+    stays until ``release``: the result may be read at any time.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> int:
+    """How many folders ``write_shared`` has left so far; a mark for ``release``."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the folders that ``write_shared`` wrote after the mark ``since``
+    (all by default) and return their number.
+
+    Call it once the results that came from them are written elsewhere: frames
+    that still read such a folder fail afterwards.
+    """
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone = paths[since:]
+    for path in gone:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    del paths[since:]
+    return len(gone)
+
+
 def materialize(df):
     """Write ``df`` once to the session's checkpoint folder and read it back.
 

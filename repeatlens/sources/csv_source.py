@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repeatlens.session import write_shared
 from repeatlens.sources.schemas import CSV_FILES, SCHEMAS
 from repeatlens.sources.tables import Marketplace
 
@@ -52,7 +53,14 @@ def read_marketplace_csv(spark: SparkSession, folder: str,
 CHILDREN = ("order_items", "order_payments", "order_reviews")
 
 
-def _by_month(name: str, df: DataFrame, orders: DataFrame) -> DataFrame:
+def month_of(orders: DataFrame) -> DataFrame:
+    """(order_id, purchase_month), written once: every child table joins it,
+    and the orders are read for it a single time."""
+    month = F.date_format("order_purchase_timestamp", "yyyy-MM").alias("purchase_month")
+    return write_shared(orders.select("order_id", month).distinct(), "months")
+
+
+def _by_month(name: str, df: DataFrame, months: DataFrame) -> DataFrame:
     """``df`` with the purchase month of its order, gathered by month.
 
     ``REBALANCE`` gives a month as many writers as its size needs and no
@@ -62,14 +70,13 @@ def _by_month(name: str, df: DataFrame, orders: DataFrame) -> DataFrame:
     if name == "orders":
         df = df.withColumn("purchase_month", month)
     else:
-        df = df.join(orders.select("order_id", month).distinct(), "order_id", "left")
+        df = df.join(months, "order_id", "left")
     return df.hint("rebalance", "purchase_month")
 
 
-def _check_one_month(orders: DataFrame) -> None:
+def _check_one_month(months: DataFrame) -> None:
     """An order id in two months would store its children twice."""
-    months = F.count_distinct(F.date_format("order_purchase_timestamp", "yyyy-MM"))
-    twice = orders.groupBy("order_id").agg(months.alias("n")).filter("n > 1").limit(1).collect()
+    twice = months.groupBy("order_id").count().filter("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"order {twice[0].order_id} was purchased in several months; "
                          "store the tables without month partitions")
@@ -87,21 +94,22 @@ def ingest_to_parquet(spark: SparkSession, folder: str, out_dir: str,
 
     files = files or CSV_FILES
     tables = {n: read_csv_table(spark, f"{folder.rstrip('/')}/{f}", n) for n, f in files.items()}
+    months = month_of(tables["orders"]) if by_month else None
     if by_month:
-        _check_one_month(tables["orders"])
+        _check_one_month(months)
     audit = []
     for name, df in tables.items():
         o = Observation(f"ingest_{name}")
         df = df.observe(o, F.count(F.lit(1)).alias("rows"))
-        _write(name, df, tables["orders"], out_dir, by_month)
+        _write(name, df, months, out_dir)
         audit.append((name, int(o.get["rows"])))
     return spark.createDataFrame(audit, "table string, rows bigint")
 
 
-def _write(name: str, df: DataFrame, orders: DataFrame, out_dir: str, by_month: bool) -> None:
+def _write(name: str, df: DataFrame, months: DataFrame | None, out_dir: str) -> None:
     path = f"{out_dir.rstrip('/')}/{name}"
-    if by_month and name in ("orders", *CHILDREN):
-        _by_month(name, df, orders).write.mode("overwrite").partitionBy("purchase_month").parquet(path)
+    if months is not None and name in ("orders", *CHILDREN):
+        _by_month(name, df, months).write.mode("overwrite").partitionBy("purchase_month").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
@@ -114,10 +122,11 @@ def write_canonical(mp: Marketplace, out_dir: str, by_month: bool = True) -> Non
     a null one); ``plans.base`` then adds the scope's month bounds, so a
     window of one year out of many prunes whole directories of all four
     tables at planning time (PartitionFilters)."""
+    months = month_of(mp.orders) if by_month else None
     if by_month:
-        _check_one_month(mp.orders)
+        _check_one_month(months)
     for name, df in mp.tables().items():
-        _write(name, df, mp.orders, out_dir, by_month)
+        _write(name, df, months, out_dir)
 
 
 def read_marketplace_parquet(spark: SparkSession, folder: str) -> Marketplace:

@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,7 +38,7 @@ from repeatlens.session import write_shared
 
 #: Shorter paragraphs are titles, salutations and the like, not passages.
 MIN_WORDS = 20
-BANDS = Scheme(percent=80, rows=2, recall=0.999, minima=128)
+BANDS = Scheme(percent=80, rows=2, recall=0.999, minima=64)
 #: Any run of so many words that recurs is found, wherever lines break.
 RUN = 40
 #: Words of an anchor; each run holds RUN - ANCHOR + 1 candidates.
@@ -97,19 +97,26 @@ def _anchored(h: np.ndarray, gone: np.ndarray | None) -> tuple[np.ndarray, np.nd
     return starts, anchors
 
 
+def _tags(para: str, fp: str) -> Column:
+    """A line's number and 32 bits of its set's name.  The bits only tell
+    apart the lines of different texts under one id."""
+    bits = F.conv(F.hex(F.substring(fp, 1, 4)), 16, 10).cast("long")
+    return F.shiftleft(F.col(para).cast("long"), 32).bitwiseOR(bits)
+
+
 def _lines(text: str, gone: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Hash and line of each word, and whether the line is one of ``gone``,
-    (para, fp) of lines that are repeats already."""
+    ``_tags`` of lines that are repeats already."""
     lines = [hashing.split(line) for line in text.split("\n")]
     h = hashing._hash_words([w for line in lines for w in line])
     at = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
     if not gone:
         return h, at, None
     out = np.zeros(len(lines), bool)
-    for g in gone:
-        i = g["para"]  # rows of one id may have different texts
-        out[i:i + 1] = i < len(lines) and hashing.fingerprint(
-            hashing.shingles_of([lines[i]])[0]) == g["fp"]
+    for tag in gone:
+        i = tag >> 32  # rows of one id may have different texts
+        out[i:i + 1] = i < len(lines) and int.from_bytes(hashing.fingerprint(
+            hashing.shingles_of([lines[i]])[0])[:4], "big") == tag & 0xFFFFFFFF
     return h, at, out[at]
 
 
@@ -137,7 +144,7 @@ def _few(df: DataFrame, items: str | None = None, rows: int = BROADCAST_IDS) ->
 def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows like ``repeated_paragraphs``' for runs of RUN words or more that
     recur outside of lines that are ``gone`` (doc_id, gone)."""
-    gone = _few(gone.withColumnRenamed("doc_id", "_id"), "gone")
+    gone = _few(gone.withColumnRenamed("doc_id", "_id"), "gone", 4 * BROADCAST_IDS)
     texts = docs.filter("text is not null").join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone")
     longs = T.ArrayType(T.LongType(), False)
@@ -239,7 +246,7 @@ def _repeats(docs: DataFrame, min_words: int, scheme: Scheme) -> DataFrame:
         F.col("head.para").alias("group_para"),
         F.struct("doc_id", "para").eqNullSafe(F.col("head")).alias("kept"), "fp"), "lines")
     gone = write_shared(lines.filter("not kept and doc_id is not null").groupBy("doc_id").agg(
-        F.collect_set(F.struct("para", "fp")).alias("gone")), "gone")
+        F.collect_set(_tags("para", "fp")).alias("gone")), "gone")
     passages = write_shared(_passages(docs, gone), "passages")
     # the first place of a passage may be a line that has its row already
     heads = lines.filter("kept").select("doc_id", "para", "start", "end").distinct()

@@ -42,6 +42,13 @@ def test_topk_limits_before_the_shuffle(spark):
 
 
 def test_global_rank_is_range_partitioned(spark):
-    plan = plan_of(spark, "rfm_scores")
+    plan = plan_of(spark, "stratified_folds")
     assert "row_number()" not in plan          # no single-partition window numbering
     assert "monotonically_increasing_id" in plan
+
+
+@pytest.mark.parametrize("name", ["rfm_scores", "rfm_describe"])
+def test_selected_ranks_need_no_order(spark, name):
+    plan = plan_of(spark, name)
+    assert "row_number()" not in plan and "rangepartitioning" not in plan.lower()
+    assert "monotonically_increasing_id" not in plan

@@ -214,9 +214,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                   source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
+    """The rows of ``docs`` that pass, with their columns.
+
+    The counts are worked out twice, for the sketches and for the verdicts,
+    rather than written with the texts.
+    """
     counted = with_counts(_keyed(docs, "_q_", lang_col, source_col), text_col, "_q_")
-    judged = _judged(write_shared(counted, "counted"), "_q_")
+    judged = _judged(counted, "_q_")
     return judged.filter("_q_kept").select(*docs.columns)
 
 

@@ -47,7 +47,7 @@ def quality_rules(spark, docs, sf_dir: str):
 def near_dedup(spark, docs, sf_dir: str):
     """Keeps one document, that with the smallest id, of each group."""
     with small_batches(spark):
-        return write_shared(near_dup.drop_near_duplicates(docs), "near-dedup")
+        return near_dup.drop_near_duplicates(docs)  # its Python jobs have run
 
 
 def decontamination(spark, docs, sf_dir: str):

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatlens.llm.common import stream, table
+from repeatlens.llm.prefix_trie import crc32_sql
 
 #: Costs of the edits.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
@@ -321,3 +322,86 @@ def summaries(rows: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
     return summaries(damage(table(spark, sf_dir, "conversations")))
+
+
+def oracle() -> str:
+    """DuckDB SQL of ``op13_conversation_repair``: the cheapest edits from each
+    row on, row by row from the end.  Edits that start from one state and row
+    differ in their first letter or lead to one state, so the best of the rest
+    is part of the best of all."""
+    crc = crc32_sql("conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    space = " || ".join(f"chr({ord(c)})" for c in _SPACE)
+
+    def best(options: list[str]) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda o: o.cost IS NOT NULL))[1]"
+
+    def option(cost: str, edit: str, rest: str) -> str:
+        return f"{{'cost': {cost} + {rest}.cost, 'edits': '{edit}' || {rest}.edits}}"
+
+    extra = f"CASE WHEN fault = 2 THEN {TRUNCATED} ELSE 0 END"
+    row = []
+    for q in (NONE, S, U, A):
+        to = {i: _AFTER_KEEP[s][q] for i, s in _STATE.items() if q in _AFTER_KEEP[s]}
+        kept = [option(f"CASE WHEN fault IN (0, 1) OR initial <> '{i}' THEN NULL ELSE {extra} END", "K", f"g{t}")
+                for i, t in to.items()]
+        row.append(best([option(str(DELETE), "D", f"g{q}"), *kept, option(
+            f"CASE WHEN fault IN (0, 1) THEN NULL ELSE {REROLE} + {extra} END", "R",
+            f"g{_AFTER_ROLE[q]}")]) + f" AS r{q}")
+    gaps = []
+    for q in (NONE, S, U, A):
+        gaps.append(best([option(str(cost), ins, f"r{to}") for to, ins, cost in _inserts(q)]) + f" AS g{q}")
+    ends = ", ".join(best([f"{{'cost': CAST({cost} AS BIGINT), 'edits': '{ins}'}}" for to, ins, cost in _inserts(q)
+                           if to in (NONE, A)]) + f" AS g{q}" for q in (NONE, S, U, A))
+    return f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id AS c, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, {crc} % 20 AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), damaged AS (
+  SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS r,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src WHERE k <> 0
+), placed AS (
+  SELECT c, turn, r, x, rtrim(x, {space}) AS body, substr(r, 1, 1) AS initial,
+         row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, x) AS i
+  FROM damaged
+), marked AS (
+  SELECT *, CASE WHEN body = '' THEN 0 WHEN row_number() OVER (PARTITION BY c, r, x ORDER BY i) > 1 THEN 1
+                 WHEN substr(body, length(body), 1) NOT IN ('.', '!', '?') THEN 2 END AS fault,
+         lag(initial) OVER (PARTITION BY c ORDER BY i) AS earlier
+  FROM placed
+), stats AS (
+  SELECT k.c, count(m.c) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(CASE WHEN fault = 0 THEN 1 END) AS blank, count(CASE WHEN fault = 1 THEN 1 END) AS duplicate,
+         count(CASE WHEN fault = 2 THEN 1 END) AS truncated,
+         count(CASE WHEN earlier || initial NOT IN ('su', 'ua', 'au') THEN 1 END) AS illegal
+  FROM (SELECT DISTINCT c FROM src) AS k LEFT JOIN marked AS m ON m.c = k.c GROUP BY k.c
+), dp AS (
+  SELECT c, n + 1 AS i, {ends} FROM stats
+  UNION ALL
+  SELECT c, i, {', '.join(gaps)}
+  FROM (SELECT dp.c, m.i, {', '.join(row)} FROM dp JOIN marked AS m ON m.c = dp.c AND m.i = dp.i - 1) AS x
+), audits AS (
+  SELECT c, g0.cost AS cost, g0.edits AS audit FROM dp WHERE i = 1
+), letters AS (
+  SELECT c, p, substr(audit, p, 1) AS e, length(replace(substr(audit, 1, p), 'I', '')) AS i,
+         length(replace(substr(audit, 1, p), 'D', '')) AS written
+  FROM (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS p FROM audits) AS x
+), rows_left AS (
+  SELECT l.c, p, e, written, r, x,
+         bool_or(written = 1 AND e = 'K' AND initial = 's') OVER (PARTITION BY l.c) AS led
+  FROM letters AS l LEFT JOIN marked AS m ON m.c = l.c AND m.i = l.i AND e <> 'I'
+  WHERE e <> 'D'
+), texts AS (
+  SELECT c, string_agg(CASE WHEN e = 'K' THEN r WHEN (written + CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1
+                            THEN 'user' ELSE 'assistant' END
+                       || ':' || CASE WHEN e = 'I' THEN '' ELSE x END, chr(10) ORDER BY p) AS t
+  FROM rows_left GROUP BY c
+)
+SELECT s.c AS conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank,
+       CAST(duplicate AS BIGINT) AS duplicate, CAST(truncated AS BIGINT) AS truncated,
+       CAST(illegal AS BIGINT) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(coalesce(t, '')) AS repaired_sha256
+FROM stats AS s JOIN audits AS a ON a.c = s.c LEFT JOIN texts ON texts.c = s.c
+"""

@@ -22,6 +22,7 @@ _ORACLES = {
     "op5_secret_scans": secrets.oracle(), "op6_url_filters": url_filter.oracle(),
     "op9_quality_rules": quality.oracle(), "op11_line_dedup": line_dedup.oracle(),
     "op12_conversation_prefix_trie": prefix_trie.oracle(),
+    "op13_conversation_repair": conversation_repair.oracle(),
 }
 
 

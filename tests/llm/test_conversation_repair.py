@@ -198,6 +198,15 @@ def test_edits_are_the_audit(spark):
         assert hashlib.sha256(text.encode()).hexdigest() == r.repaired_sha256
 
 
+def test_oracle_against_brute_force():
+    import duckdb
+    rows = [r for r in odd_conversations() if r[0] is None or r[0] not in (100, 101, 102)]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(R.oracle()).fetchall()) == brute(rows)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, 1, "user", "a.")]])
 def test_empty(spark, rows):
     assert R.summaries(R.damage(spark.createDataFrame(rows, CONV))).count() == 0

@@ -56,7 +56,7 @@ class ModelParams:
     # the grid and its halving are ours: the reference gives none
     grid_depths: tuple[int, ...] = (2, 3)
     grid_steps: tuple[float, ...] = (0.05, 0.1)
-    grid_rungs: tuple[int, ...] = (25, 50, 100)
+    grid_rungs: tuple[int, ...] = (10, 30, 100)
     auc_bins: int = 0  # 0 = exact ROC, no down-sampling
     parallelism: int = 8  # concurrent (model, fold) fits
 

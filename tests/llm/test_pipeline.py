@@ -76,7 +76,7 @@ def test_registered():
     import __spark_entry__ as E
     from repeatlens.llm import registry
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)
 

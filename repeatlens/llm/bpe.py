@@ -46,9 +46,9 @@ from repeatlens.llm.common import append_column, table
 #: Words of up to so many symbols are remembered, at least so many of them and
 #: at most twice as many; others are walked again.
 CACHE_SYMBOLS = 64
-CACHE_WORDS = 150_000
+CACHE_WORDS = 40_000
 #: Worked-out cells of the transition table that a task keeps.
-CACHE_ARCS = 300_000
+CACHE_ARCS = 150_000
 
 #: Characters whose class and lower case are the same in every Unicode
 #: version from 13 on; texts with others go through the library's tables.
@@ -99,15 +99,9 @@ class Automaton:
                 ready.add(w)
             else:
                 raise ValueError(f"merge {rank} ({a!r}, {b!r}) can never apply")
-        #: all tokens letter by letter, with the ids (at "") of those that may
-        #: stand before the end of a word
-        self.trie: dict = {}
-        for t, i in vocab.items():
-            node = self.trie
-            for c in t.removesuffix(suffix):
-                node = node.setdefault(c, {})
-            if not suffix or not t.endswith(suffix):
-                node[""] = i
+        #: ids of the tokens that may stand before the end of a word
+        self.inner = {t: i for t, i in vocab.items() if not suffix or not t.endswith(suffix)}
+        self.longest = max(map(len, self.inner), default=0)
 
     def _ancestors(self, t: int) -> list[tuple[int, int]]:
         """(state, since which rank) of the state of token t and of what it is
@@ -139,15 +133,9 @@ class Automaton:
 
     def _options(self, word: str, start: int) -> list[tuple[int, int]]:
         """(end, token) of the tokens that the word has at ``start``, by length."""
-        node, out, end = self.trie, [], start
-        for c in word[start:-1]:
-            node = node.get(c)
-            if node is None:
-                return out
-            end += 1
-            x = node.get("")
-            if x is not None:
-                out.append((end, x))
+        get = self.inner.get
+        out = [(end, x) for end in range(start + 1, min(start + self.longest + 1, len(word)))
+               if (x := get(word[start:end])) is not None]
         x = self.ids.get(word[start:] + self.suffix)
         if x is not None:
             out.append((len(word), x))
@@ -221,10 +209,13 @@ def _fast(pattern: str) -> re.Pattern | regex.Pattern:
 class Labels:
     """The labels of a tokenizer file's arcs, by token id."""
 
-    def __init__(self, spec: str):
-        data = json.loads(spec)
-        self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.labels = {i: t for t, i in (data["model"]["vocab"] | self.special).items()}
+    def __init__(self, spec: str | Codec):
+        if isinstance(spec, Codec):  # read already
+            vocab, self.special = spec.automaton.ids, spec.special
+        else:
+            data = json.loads(spec)
+            vocab, self.special = data["model"]["vocab"], {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.labels = {i: t for t, i in chain(vocab.items(), self.special.items())}
         self.table = pa.array([self.labels.get(i) for i in range(max(self.labels) + 1)])
 
     def decode(self, ids) -> str:
@@ -310,10 +301,15 @@ class Encoder:
         return np.frombuffer(b"".join(out), np.int32)
 
 
-def _shared(spark, tokenizer_path: str):
-    """The tokenizer file (a few MB at most, fixed) for all tasks."""
+def _spec(tokenizer_path: str) -> str:
     with open(tokenizer_path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return f.read()
+
+
+def _shared(spark, tokenizer_path: str):
+    """The compiled codec (a few MB, of a fixed file) for all tasks: a worker
+    holds its tables alone, not what compiling leaves behind."""
+    return spark.sparkContext.broadcast(Codec(_spec(tokenizer_path)))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
@@ -322,11 +318,10 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     Repeated rows are encoded alike; no rows, no output.
     """
-    spec = _shared(docs.sparkSession, tokenizer_path)
+    codec = _shared(docs.sparkSession, tokenizer_path)
 
     def make():
-        # compiled by each task (about a second): an idle worker keeps nothing
-        encoder = Encoder(Codec(spec.value))
+        encoder = Encoder(codec.value)
         return lambda texts: [encoder.encode(v.as_py()) for v in texts]
 
     field = T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))
@@ -336,10 +331,10 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "token_ids",
            text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids (null or empty: '')."""
-    spec = _shared(docs.sparkSession, tokenizer_path)
+    labels = docs.sparkSession.sparkContext.broadcast(Labels(_spec(tokenizer_path)))
 
     def make():
-        return Labels(spec.value).decode_lists
+        return labels.value.decode_lists
 
     return append_column(docs, ids_col, make, T.StructField(text_col, T.StringType()))
 
@@ -359,13 +354,12 @@ def recode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     Both in one pass, so that a core holds one Python worker with one copy of
     the tables and the text does not come back.
     """
-    spec = _shared(docs.sparkSession, tokenizer_path)
+    shared = _shared(docs.sparkSession, tokenizer_path)
     at = docs.columns.index(text_col)
     others = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches):
-        codec = Codec(spec.value)
-        encoder, labels = Encoder(codec), Labels(spec.value)
+        encoder, labels = Encoder(shared.value), Labels(shared.value)
         for batch in batches:
             names = [*(batch.schema.names[i] for i in others), ids_col, decoded_col]
             for i in range(0, batch.num_rows, rows):

@@ -146,3 +146,31 @@ def test_decode_skips_unknown_ids(spark):
     df = spark.createDataFrame([([0, 10**6, -1, 1],), ([],), (None,)], "token_ids array<int>")
     first, second = LIBRARY.id_to_token(0), LIBRARY.id_to_token(1)
     assert [r.decoded for r in bpe.decode(df, PATH).collect()] == [f"{first} {second}", "", ""]
+
+
+def test_a_worker_holds_little(codec):
+    """The tables as a worker gets them, and its caches when they are full."""
+    import pickle
+    import tracemalloc
+
+    sent = pickle.dumps(codec)
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are words of their own
+    tracemalloc.start()
+    try:
+        encoder = bpe.Encoder(pickle.loads(sent))
+        for i in range(0, 200_000, 50):
+            encoder.encode(" ".join(str(j) for j in range(i, i + 50)).translate(letters))
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_codec_is_compiled_once_for_all_tasks(spark, monkeypatch):
+    """What is broadcast is the codec, not the file to compile in each task."""
+    given = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast",
+                        lambda sc, v: given.append(v) or broadcast(sc, v))
+    out = bpe.recode(docs(spark, odd_rows()).repartition(3), PATH)
+    assert [type(v) for v in given] == [bpe.Codec]
+    assert out.count() == len(odd_rows())

@@ -29,7 +29,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)  # one row per class: the rows stay where they are
 
 
 def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42,
@@ -45,7 +45,7 @@ def rank_within_label(df: DataFrame, label: str, key: str, seed: int = 42,
     sizes = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("_n_label"))
     starts = sizes.select(label, "_n_label", F.coalesce(F.sum("_n_label").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return (numbered.join(starts, label)
+    return (numbered.join(F.broadcast(starts), label)  # one row per class
             .withColumn("_rn_label", F.col("_rn") - F.col("_start"))
             .drop("_rn", "_start", "_h"))
 

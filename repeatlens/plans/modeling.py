@@ -61,6 +61,24 @@ class ModelParams:
     parallelism: int = 8  # concurrent (model, fold) fits
 
 
+#: Rows of a training task, at least (where cores allow) and at most.
+TASK_ROWS = (20_000, 1_000_000)
+
+
+def training_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read by few tasks.
+
+    A fit runs hundreds of short stages.  What each of their tasks reports to
+    the driver grows with the plan that the rows come from, and a stage has a
+    task for each partition of it; here the plan is one scan, and there are as
+    many tasks as cores, fewer for few rows and more only beyond
+    ``TASK_ROWS`` rows for each."""
+    rows = write_shared(df, name)
+    least, most = TASK_ROWS
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(1, min(cores, -(-n // least)), -(-n // most)))
+
+
 def model_frame(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams()) -> DataFrame:
     """``model_rows`` with the fold id."""
     return stratified_folds(model_rows(mp, scope), LABEL, KEY, k=p.folds, seed=p.seed)
@@ -243,7 +261,7 @@ def cv_model_comparison(mp: Marketplace, scope: Scope, p: ModelParams = ModelPar
     ensure_checkpoint_dir(spark)
     data = frame if frame is not None else model_frame(mp, scope, p)
     feats, _ = feature_stages(data)
-    data = write_shared(feats.transform(data).select("label", "fold", "features", KEY), "folds")
+    data = training_rows(feats.transform(data).select("label", "fold", "features", KEY), "folds")
     n = data.count()
     n_train = int(n * (p.folds - 1) / p.folds)
     rows = []
@@ -279,8 +297,8 @@ def logistic_regression(mp: Marketplace, scope: Scope, p: ModelParams = ModelPar
 def _fit_final(data: DataFrame, p: ModelParams) -> tuple[PipelineModel, DataFrame]:
     """The boosting pipeline fitted on the stratified 75 % and the scored rest."""
     feats, _ = feature_stages(data)
-    rows = stratified_split(feats.transform(data).select(KEY, LABEL, "label", "features"),
-                            LABEL, KEY, p.test_fraction, p.seed)
+    rows = training_rows(stratified_split(feats.transform(data).select(KEY, LABEL, "label", "features"),
+                                          LABEL, KEY, p.test_fraction, p.seed), "split")
     model = _estimators(1, p)["Gradient Boosting"].fit(rows.filter(~F.col("is_test")))
     scored = model.transform(rows.filter("is_test")).select(
         KEY, LABEL, prob_positive("probability").alias("score"), F.col("prediction").cast("int"))
@@ -382,7 +400,7 @@ def grid_search(mp: Marketplace, scope: Scope, p: ModelParams = ModelParams(),
     data = frame if frame is not None else model_frame(mp, scope, p)
     spark = data.sparkSession
     feats, _ = feature_stages(data)
-    data = write_shared(feats.transform(data).select("label", "fold", "features"), "grid")
+    data = training_rows(feats.transform(data).select("label", "fold", "features"), "grid")
     gbt = _estimators(1, p)["Gradient Boosting"]
     points = [(d, st) for d in p.grid_depths for st in p.grid_steps]
     rows = []

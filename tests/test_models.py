@@ -178,3 +178,43 @@ def test_halving_keeps_the_better_half(spark, frame):
             (r.max_depth, r.step_size) for r in order[:len(by_rung[k + 1])]}
         assert {r.iterations for r in by_rung[k]} == {FAST.grid_rungs[k]}
     assert all(0 <= r.mean_roc_auc <= 1 for r in rows)
+
+
+def test_training_rows_are_one_scan_in_few_tasks(spark, frame, monkeypatch):
+    rows = frame.repartition(7).join(frame.select("customer_unique_id").distinct(), "customer_unique_id")
+    few = modeling.training_rows(rows, "few")
+    assert few.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, rows.collect()))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(modeling, "TASK_ROWS", (100, 200))  # 600 rows: three tasks at least
+    assert 3 <= modeling.training_rows(rows, "more").rdd.getNumPartitions() <= 7
+    monkeypatch.setattr(modeling, "TASK_ROWS", (400, 10**6))
+    assert modeling.training_rows(rows, "two").rdd.getNumPartitions() <= 2
+
+
+def test_final_fit_reads_written_rows(spark, frame, monkeypatch, tmp_path):
+    """The rows of a fit come from one scan: no join or exchange is part of
+    each of its stages."""
+    plans = []
+    fit = modeling.GBTClassifier.fit
+
+    def spy(self, df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(modeling.GBTClassifier, "fit", spy)
+    modeling.final_model(None, None, FAST, frame, store=str(tmp_path))
+    assert plans and not any("Join" in p or "LogicalRDD" in p for p in plans)
+
+
+def test_class_weights_leave_rows_where_they_are(spark, frame):
+    from repeatlens.operators.evaluation import with_class_weight
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = with_class_weight(frame, "label")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -71,6 +71,45 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
     return h
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, and their starts and ends (exclusive)
+    in code points."""
+    data = text.encode("utf-8", "replace").lower()
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    lens = ends - starts
+    if len(lens) and lens.max() > _MAX_TABLE:
+        h = _hash_words(data.split())
+    elif len(lens):
+        letters, powers = _tables()
+        first = np.zeros(len(lens), np.int64)
+        np.cumsum(lens[:-1], out=first[1:])
+        inside = raw[~_SPACE[raw]]
+        at = np.arange(len(inside)) - np.repeat(first, lens)
+        h = _mix(np.add.reduceat(letters[inside] * powers[at], first) + lens.astype(np.uint64))
+    else:
+        h = np.empty(0, np.uint64)
+    if len(raw) != len(text):  # bytes that continue a character do not count
+        chars = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
+        starts, ends = chars[starts], chars[ends]
+    return h, starts, ends
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """``np.unique`` of a non-empty array, with less to do for few values."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _windows(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words, in order."""
     last = len(h) - width + 1
@@ -133,7 +172,7 @@ def shingles_of(lines: list[list[bytes]], n: int = 5) -> list[np.ndarray]:
     out, at = [], 0
     for line in lines:
         if len(line) >= n:
-            out.append(np.unique(all_windows[at:at + len(line) - n + 1]))
+            out.append(_distinct(all_windows[at:at + len(line) - n + 1]))
         else:
             out.append(_windows(h[at:at + len(line)], len(line)) if line else h[:0])
         at += len(line)

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from repeatlens.llm import hashing
 from repeatlens.llm.common import flat_map, table
 from repeatlens.llm.components import connected_components
-from repeatlens.session import write_shared
+from repeatlens.session import discard, write_shared
 
 BITS = 2
 
@@ -159,7 +159,8 @@ def verified(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
              percent: int) -> DataFrame:
     """Pairs (a, b) of class ids whose sets have 100 * |both| >= percent * |either|.
 
-    ``fetch(classes)`` returns (fp, shingles) for at least those classes.
+    ``fetch(classes)`` returns (fp, shingles) for at least those classes.  The
+    pairs are written, so that the sets need not stay.
     """
     pairs = write_shared(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct()
@@ -176,8 +177,10 @@ def verified(pairs: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
             .join(sets.select(F.col("vid").alias("a"), F.col("s").alias("sa")), "a")
             .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"),
                     F.size(F.array_intersect("sa", "sb")).alias("common")))
-    return both.filter(F.col("common") * (100 + percent)
-                       >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    found = write_shared(both.filter(F.col("common") * (100 + percent)
+                                     >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+    discard(sets)
+    return found
 
 
 def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
@@ -216,7 +219,7 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     signed = (tried.join(sig.withColumnsRenamed({"vid": "a", "sig": "a_sig"}), "a")
               .join(sig.withColumnsRenamed({"vid": "b", "sig": "b_sig"}), "b"))
     near = signed.filter(close_enough(percent, scheme.minima)).select("a", "b")
-    links = write_shared(verified(near, classes, fetch, percent), "links")
+    links = verified(near, classes, fetch, percent)
 
     # all other pairs of a bucket that could join two components, each at
     # the smallest key that both have; by signatures fine enough to leave few
@@ -238,7 +241,7 @@ def link_classes(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
                       & closer_look(percent, scheme.fine))
             .select(F.least("a_vid", "b_vid").alias("a"), F.greatest("a_vid", "b_vid").alias("b"))
             .join(tried, ["a", "b"], "left_anti"))
-    links = links.union(write_shared(verified(rest, classes, fetch, percent), "links"))
+    links = links.union(verified(rest, classes, fetch, percent))
     return connected_components(links).select(F.col("id").alias("vid"), "component")
 
 

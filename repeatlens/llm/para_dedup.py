@@ -20,7 +20,6 @@ are compared, by a 64-bit hash of all their words.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from repeatlens.llm import hashing
 from repeatlens.llm.common import flat_columns, flat_map, table
 from repeatlens.llm.near_dup import (BROADCAST_IDS, FEATURES, Scheme, describe, link_classes,
                                      where_id)
-from repeatlens.session import write_shared
+from repeatlens.session import discard, write_shared
 
 #: Shorter paragraphs are titles, salutations and the like, not passages.
 MIN_WORDS = 20
@@ -43,7 +42,6 @@ BANDS = Scheme(percent=80, rows=2, recall=0.999, minima=64)
 RUN = 40
 #: Words of an anchor; each run holds RUN - ANCHOR + 1 candidates.
 ANCHOR = 20
-_WORD = re.compile(r"[^ \t-\r]+")
 
 
 def paragraphs(text: str | None, min_words: int) -> tuple[list[tuple], list]:
@@ -104,20 +102,22 @@ def _tags(para: str, fp: str) -> Column:
     return F.shiftleft(F.col(para).cast("long"), 32).bitwiseOR(bits)
 
 
-def _lines(text: str, gone: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Hash and line of each word, and whether the line is one of ``gone``,
-    ``_tags`` of lines that are repeats already."""
-    lines = [hashing.split(line) for line in text.split("\n")]
-    h = hashing._hash_words([w for line in lines for w in line])
-    at = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+def _lines(text: str, gone: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray,
+                                                  np.ndarray, np.ndarray | None]:
+    """Hash, line, start and end (code points) of each word, and whether the
+    line is one of ``gone``, ``_tags`` of lines that are repeats already."""
+    h, starts, ends = hashing.words_of(text)
+    lines = text.split("\n")
+    breaks = np.cumsum([len(line) + 1 for line in lines])
+    at = np.searchsorted(breaks, starts, "right")
     if not gone:
-        return h, at, None
+        return h, at, starts, ends, None
     out = np.zeros(len(lines), bool)
     for tag in gone:
         i = tag >> 32  # rows of one id may have different texts
         out[i:i + 1] = i < len(lines) and int.from_bytes(hashing.fingerprint(
-            hashing.shingles_of([lines[i]])[0])[:4], "big") == tag & 0xFFFFFFFF
-    return h, at, out[at]
+            hashing.shingles_of([hashing.split(lines[i])])[0])[:4], "big") == tag & 0xFFFFFFFF
+    return h, at, starts, ends, out[at]
 
 
 def _cycling(windows: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     def anchors():
         def one(doc_id, text, gone):
-            h, _, out = _lines(text, gone)
+            h, *_, out = _lines(text, gone)
             _, hashes = _anchored(h, out)
             return [(doc_id, np.unique(hashes).view("int64"))] if len(hashes) else []
         return one
@@ -163,6 +163,7 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
                          .select("a"), "again")
     wanted = write_shared(each.join(_few(again), "a").groupBy("doc_id")
                           .agg(F.collect_set("a").alias("anchors")), "anchored")
+    discard(found, again)
     narrow = _few(wanted.withColumnRenamed("doc_id", "_a_id"), "anchors", 4 * BROADCAST_IDS)
     near = where_id(texts, "doc_id", wanted.select("doc_id"), "left_semi")
     near = near.join(narrow, F.col("doc_id").eqNullSafe(F.col("_a_id")))
@@ -175,46 +176,60 @@ def _passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
         rids = itertools.count(task)
 
         def one(doc_id, text, gone, anchors):
-            h, at, out = _lines(text, gone)
+            h, at, begins, ends, out = _lines(text, gone)
             starts, hashes = _anchored(h, out)
             starts = starts[np.isin(hashes, np.array(anchors, np.int64).view(np.uint64))]
             if not len(starts):
                 return None
             hashes = hashing.rolling(h, RUN)[starts]
-            spans = np.array([m.span() for m in _WORD.finditer(text)])
             return [np.full(len(starts), next(rids)), pa.repeat(pa.scalar(doc_id, id_type), len(starts)),
-                    hashes.view(np.int64), starts, at[starts], spans[starts, 0],
-                    spans[starts + RUN - 1, 1], _cycling(hashes, starts, at)]
+                    hashes.view(np.int64), starts << 32 | at[starts],
+                    begins[starts] << 32 | ends[starts + RUN - 1], _cycling(hashes, starts, at)]
         return one
 
-    longs = [T.StructField(n, T.LongType()) for n in ("h", "pos", "line", "start", "end")]
+    # place: position and line; chars: start and end; 32 bits each, so that rows stay narrow
+    longs = [T.StructField(n, T.LongType()) for n in ("h", "place", "chars")]
+
+    def high(c: str) -> Column:
+        return F.shiftright(c, 32)
+
+    def low(c: str) -> Column:
+        return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+
     every = write_shared(flat_columns(
         near.select("doc_id", "text", "gone", "anchors"), windows, T.StructType([
             T.StructField("rid", T.LongType()), docs.schema["doc_id"], *longs,
             T.StructField("cycles", T.BooleanType())])), "windows")
     first = write_shared(every.groupBy("h").agg(
-        F.min(F.struct("doc_id", "pos", "line")).alias("first"),
-        F.count(F.when(~F.col("cycles"), 1)).alias("n")).filter("n > 1").drop("n"), "recurring")
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    hits = (every.join(_few(first), "h")
-            .withColumn("kept", own & (F.col("pos") == F.col("first.pos")))
-            .filter(~(F.col("cycles") & own) | F.col("kept")))
+        F.min(F.struct("doc_id", "place")).alias("first"),
+        F.count(F.when(~F.col("cycles"), 1)).alias("n")).filter("n > 1")
+        .select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")),
+        "recurring")
+    own = F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    # written, so that the join's files are gone before the rows are dealt by document
+    hits = write_shared(
+        every.join(_few(first), "h")
+        .withColumn("kept", own & (high("place") == high("first_place")))
+        .filter(~(F.col("cycles") & own) | F.col("kept"))
+        .select("rid", "doc_id", "place", "chars", "first_doc", "first_place", "kept"), "hits")
+    discard(every, first)
     # neighbours whose first places are neighbours too make one span
-    w = Window.partitionBy("rid").orderBy("pos")
-    follows = ((F.col("pos") == F.lag("pos").over(w) + 1)
-               & (F.col("first.pos") == F.lag("first.pos").over(w) + 1)
-               & F.col("first.doc_id").eqNullSafe(F.lag("first.doc_id").over(w))
+    w = Window.partitionBy("rid").orderBy("place")
+    follows = ((high("place") == F.lag(high("place")).over(w) + 1)
+               & (high("first_place") == F.lag(high("first_place")).over(w) + 1)
+               & F.col("first_doc").eqNullSafe(F.lag("first_doc").over(w))
                & (F.col("kept") == F.lag("kept").over(w)))
     spans = hits.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn(
         "span", F.sum("new").over(w))
-    return (spans.groupBy("rid", "span").agg(
-        F.first("doc_id").alias("doc_id"), F.min("line").alias("para"),
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        (F.count("*") + RUN - 1).alias("n_words"), F.min("first").alias("first"),
-        F.first("kept").alias("kept"))
-        .select("doc_id", "para", "start", "end", "n_words",
-                F.col("first.doc_id").alias("group_doc_id"),
-                F.col("first.line").alias("group_para"), "kept"))
+    passages = write_shared(spans.groupBy("rid", "span").agg(
+        F.first("doc_id").alias("doc_id"), F.min(low("place")).alias("para"),
+        F.min(high("chars")).alias("start"), F.max(low("chars")).alias("end"),
+        (F.count("*") + RUN - 1).alias("n_words"), F.first("first_doc").alias("group_doc_id"),
+        F.min("first_place").alias("first_place"), F.first("kept").alias("kept"))
+        .select("doc_id", "para", "start", "end", "n_words", "group_doc_id",
+                low("first_place").alias("group_para"), "kept"), "passages")
+    discard(hits)
+    return passages
 
 
 def _repeats(docs: DataFrame, min_words: int, scheme: Scheme) -> DataFrame:
@@ -247,7 +262,8 @@ def _repeats(docs: DataFrame, min_words: int, scheme: Scheme) -> DataFrame:
         F.struct("doc_id", "para").eqNullSafe(F.col("head")).alias("kept"), "fp"), "lines")
     gone = write_shared(lines.filter("not kept and doc_id is not null").groupBy("doc_id").agg(
         F.collect_set(_tags("para", "fp")).alias("gone")), "gone")
-    passages = write_shared(_passages(docs, gone), "passages")
+    discard(feats, classes)
+    passages = _passages(docs, gone)
     # the first place of a passage may be a line that has its row already
     heads = lines.filter("kept").select("doc_id", "para", "start", "end").distinct()
     inside = (F.col("p.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("p.kept")

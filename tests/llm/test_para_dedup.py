@@ -95,3 +95,38 @@ def test_windows_against_all_runs(spark):
         at = len(dict(rows)[r.doc_id][:r.start].split())
         covered |= {(r.doc_id, at + j) for j in range(r.n_words)}
     assert want and want <= covered
+
+
+def test_intermediates_do_not_stay(spark):
+    import os
+
+    from repeatlens.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    p = prose(31, 60)
+    rows = [(1, " ".join(prose(32, 30) + p)), (2, " ".join(prose(33, 45) + p + prose(34, 9))),
+            (3, " ".join(prose(35, 30))), (4, " ".join(prose(35, 30)))]
+    out = para_dedup.repeated_paragraphs(docs(spark, rows))
+    # not "links" and the like: what has a row for each line or window, or shingles
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before}
+    assert {"lines", "passages"} <= left
+    assert not left & {"paragraphs", "classes", "sets", "anchors", "windows", "recurring", "hits"}
+    assert sorted((r.doc_id, r.kept) for r in out.collect()) == [
+        (1, True), (2, False), (3, True), (4, False)]
+
+
+def test_words_and_their_places():
+    import re
+
+    import numpy as np
+
+    from repeatlens.llm import hashing
+
+    for t in ("", "  ", "a b\n\nc é x \x85 \U0001f600z\n", "É\x0bA\x1cB \ud800 q",
+              " " + "x" * 5000 + " y", "\n\na\rb\n"):
+        h, starts, ends = hashing.words_of(t)
+        assert list(zip(starts, ends)) == [m.span() for m in re.finditer(r"[^ \t-\r]+", t)]
+        assert np.array_equal(h, hashing._hash_words(hashing.split(t)))
+        lines = [i for i, line in enumerate(t.split("\n")) for _ in hashing.split(line)]
+        assert list(para_dedup._lines(t, None)[1]) == lines
